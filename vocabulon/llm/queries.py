@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import packing, pii, quality, secretscan, urls
+from .durable import written
 from .ship import ship
 
 
@@ -26,11 +27,58 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, labels).select("doc_id", *quality.FEATURES, "base_failed", "kept", "stratum", "severity")
 
 
+#: Fixed by the query: (host, path, action).
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame(list(URL_RULES), "host string, path string, action string")
+    return urls.verdicts(_read(spark, sf_dir, "pages").select("page_id", "url"), listed)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
+    docs = _read(spark, sf_dir, "documents")
+    ledger = written(secretscan.scan_unseen(docs), "ledger")
+    return secretscan.digest(secretscan.findings(docs, ledger))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    _prepare(spark)
+    parts = packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(parts)
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
+    return pii.digests(_read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = """
+with rules(rule_host, rule_path, action) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+after as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+parts as (
+  select page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from after),
+best as (
+  select host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(action, length(rule_host || rule_path)) as verdict
+  from (select distinct host, path from parts) p join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+  group by host, path)
+select page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') as verdict from parts left join best on parts.host = best.host and parts.path = best.path
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_url_filter": op3_url_filter,
+        "op7_secret_scan": op7_secret_scan,
+        "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_personal_data": op10_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": OP3_SQL}

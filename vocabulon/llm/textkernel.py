@@ -16,12 +16,6 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 _U = np.uint64
-_rng = np.random.default_rng(20240229)
-BYTE_TABLE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | _U(1)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
-#: Byte table under which A-Z hash like a-z.
-BYTE_TABLE_LOWER = BYTE_TABLE[LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
@@ -38,6 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+#: Odd 64-bit values, one for each byte.
+BYTE_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Byte table under which A-Z hash like a-z.
+BYTE_TABLE_LOWER = BYTE_TABLE[LOWER]
 _powers = {}
 
 
