@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, secretscan, urls
+from . import packing, pii, quality, secretscan, substrings, urls
 from .durable import written
 from .ship import ship
 
@@ -36,6 +36,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(_read(spark, sf_dir, "pages").select("page_id", "url"), listed)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
+    return substrings.deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _prepare(spark)
     docs = _read(spark, sf_dir, "documents")
@@ -69,11 +74,24 @@ best as (
 select page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') as verdict from parts left join best on parts.host = best.host and parts.path = best.path
 """
 
+OP4_SQL = """
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as s from words, lateral unnest(range(1, len(w) - 48)) as t(i)),
+firsts as (select s, min(doc_id) as first_id from windows group by s having min(doc_id) < max(doc_id)),
+gone as (select distinct windows.doc_id, k from windows join firsts using (s), lateral unnest(range(i, i + 50)) as u(k) where first_id < windows.doc_id),
+kept as (
+  select doc_id, len(w) as n_words, count(k) as n_removed, coalesce(string_agg(word, ' ' order by p) filter (where k is null), '') as text
+  from (select words.doc_id, w, p, w[p] as word, gone.k from words left join lateral unnest(range(1, len(w) + 1)) as t(p) on true
+        left join gone on gone.doc_id = words.doc_id and gone.k = p) group by doc_id, w)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(text) as kept_sha256 from kept
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_url_filter": op3_url_filter,
+        "op4_substring_dedup": op4_substring_dedup,
         "op7_secret_scan": op7_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_personal_data": op10_personal_data,
@@ -81,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL}
+    return {"op3_url_filter": OP3_SQL, "op4_substring_dedup": OP4_SQL}

@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_LONGS, HASHES, KEYS_PER_BLOCK, MAX_BLOCKS = 8, 6, 32, 1 << 14
+from . import bloom
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,28 +36,6 @@ def _after(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def _slot(key: str, blocks: int) -> tuple[str, str]:
-    """SQL for a key's block and for its bit number i (0 <= i < HASHES) in the block."""
-    return f"pmod(xxhash64({key}), {blocks})", f"cast(shiftrightunsigned(xxhash64({key}, 17), 9 * i) & {64 * BLOCK_LONGS - 1} as int)"
-
-
-def bloom(listed: DataFrame, blocks: int) -> DataFrame:
-    """One row, one array<long>: the filter of the column ``key``.
-
-    It has at most ``MAX_BLOCKS`` blocks of 64 bytes, 1 MB, however long the list; beyond
-    ``KEYS_PER_BLOCK`` keys a block it lets more false hits through, which the join removes.
-    """
-    block, bit = _slot("key", blocks)
-    bits = (
-        listed.selectExpr("key", f"explode(sequence(0, {HASHES - 1})) as i")
-        .selectExpr(f"{block} as block", f"{bit} as bit")
-        .selectExpr(f"block * {BLOCK_LONGS} + shiftright(bit, 6) as slot", "shiftleft(1L, bit & 63) as bits")
-    )
-    every = listed.sparkSession.range(blocks * BLOCK_LONGS).withColumnRenamed("id", "slot").withColumn("bits", F.lit(0).cast("long"))
-    merged = bits.unionByName(every).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
-    return merged.agg(F.array_sort(F.collect_list(F.struct("slot", "bits"))).alias("all")).select(F.col("all.bits").alias("bloom"))
-
-
 def verdicts(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict for ``pages`` (page_id, url) and ``listed`` (host, path, action).
 
@@ -76,24 +55,20 @@ def verdicts(pages: DataFrame, listed: DataFrame, default: str = "allow") -> Dat
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not facts["n"]:
         return parsed.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    blocks = min(MAX_BLOCKS, -(-facts["n"] // KEYS_PER_BLOCK))
+    blocks = bloom.blocks_for(facts["n"])
+    listed_keys = bloom.build(entries, "key", blocks)
     counts = "array(" + ",".join(str(x) for x in facts["labels"]) + ")"
     lengths = "array(" + ",".join(str(x) for x in facts["lengths"]) + ")"
     suffixes = f"transform(filter({counts}, n -> n <= size(split(host, '[.]'))), n -> substring_index(host, '.', -n))"
     prefixes = f"transform(filter({lengths}, n -> n <= length(path)), n -> substring(path, 1, n))"
-    block, bit = _slot("key", blocks)
-    hit = f"forall(sequence(0, {HASHES - 1}), i -> bit_get(bloom[{block} * {BLOCK_LONGS} + shiftright({bit}, 6)], {bit} & 63) = 1)"
     possible = (
-        parsed.withColumn("bloom", bloom(entries, blocks).scalar())
-        .withColumn("keys", F.expr(f"flatten(transform({suffixes}, s -> transform({prefixes}, p -> concat(s, p))))"))
-        .withColumn("keys", F.expr(f"filter(keys, key -> {hit})"))
-        .where("size(keys) > 0")
+        parsed.select("host", "path", F.explode(F.expr(f"flatten(transform({suffixes}, s -> transform({prefixes}, p -> concat(s, p))))")).alias("key"))
+        .where(bloom.may_contain(listed_keys, F.col("key"), blocks))
+        .distinct()
     )
     rank = F.struct(F.length("key"), F.length("entry_host"), "key", "action")
     found = (
-        possible.groupBy("host", "path").agg(F.first("keys").alias("keys"))
-        .select("host", "path", F.explode("keys").alias("key"))
-        .join(entries.select("key", F.col("host").alias("entry_host"), "action"), "key")
+        possible.join(entries.select("key", F.col("host").alias("entry_host"), "action"), "key")
         .groupBy("host", "path").agg(F.max(rank).alias("best"))
         .select("host", "path", F.col("best.key").alias("rule"), F.col("best.action").alias("verdict"))
     )
