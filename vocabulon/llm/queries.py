@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, quality, secretscan, substrings, urls
+from . import neardup, packing, pii, quality, secretscan, substrings, urls
 from .durable import written
 from .ship import ship
 
@@ -41,6 +42,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _prepare(spark)
+    found = neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     _prepare(spark)
     docs = _read(spark, sf_dir, "documents")
@@ -92,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_url_filter": op3_url_filter,
         "op4_substring_dedup": op4_substring_dedup,
+        "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_personal_data": op10_personal_data,
