@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, pii, quality, secretscan, substrings, urls
+from . import mixing, neardup, packing, pii, quality, secretscan, substrings, urls
 from .durable import written
 from .ship import ship
 
@@ -16,14 +16,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def _prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
     """Executors can import this package; Arrow batches of whole texts stay small: 1,000 rows."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+    prepare(spark)
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     return quality.judged(docs, labels).select("doc_id", *quality.FEATURES, "base_failed", "kept", "stratum", "severity")
 
@@ -38,33 +44,37 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+    prepare(spark)
     return substrings.deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+    prepare(spark)
     found = neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+    prepare(spark)
     docs = _read(spark, sf_dir, "documents")
     ledger = written(secretscan.scan_unseen(docs), "ledger")
     return secretscan.digest(secretscan.findings(docs, ledger))
 
 
-def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = _read(spark, sf_dir, "documents")
+    mix = mixing.taken(docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size")))
+    return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
-    _prepare(spark)
-    parts = packing.pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(parts)
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return packing.pack(packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+    prepare(spark)
     return pii.digests(_read(spark, sf_dir, "documents"))
 
 
@@ -101,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
+        "op8_source_mixing": op8_source_mixing,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_personal_data": op10_personal_data,
     }
