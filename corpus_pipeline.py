@@ -4,19 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vocabulon.llm import quality
+from vocabulon.llm import mixing, neardup, packing, pii, quality
 from vocabulon.llm.durable import written
-from vocabulon.llm.queries import _prepare
+from vocabulon.llm.queries import prepare, tokenizer_path
 
-ORACLE_SQL = None  # random balanced sampling and subword packing aren't expressible in SQL
+ORACLE_SQL = None  # balanced random sampling and subword packing aren't expressible in SQL
 
 
-def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _prepare(spark)
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    prepare(spark)
     return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality_rules", _quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    prepare(spark)
+    return neardup.first_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by its kind."""
+    prepare(spark)
+    return pii.redacted(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each source to its target; documents taken twice or thrice are there as often."""
+    prepare(spark)
+    return mixing.mixed(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; a document that is there several times is packed as often."""
+    prepare(spark)
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
