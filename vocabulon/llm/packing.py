@@ -14,6 +14,7 @@ a text of any length is tokenised whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,52 +30,116 @@ from .durable import written
 CAPACITY, END_ID = 4096, 1
 NEARLY_FULL = 0.99
 GROUP_ITEMS = 100_000
-#: Words whose ids a worker keeps; beyond it, it starts anew.
-KEPT_WORDS = 2_000_000
+#: Words and parts of words whose ids a worker keeps; beyond it, it starts anew.
+KEPT_WORDS, KEPT_PARTS = 2_000_000, 200_000
+#: Words of these characters alone are composed, have plain lower case and no white space, so they can be cut by
+#: the tokenizer's own pattern here and need its merges only; all others go through the whole tokenizer.
+_PLAIN = re.compile("[\\x21-\\x7e\u00a1-\u012f\u0131-\u0148\u014a-\u017e]+")
+# Fixed value: the split pattern of the tokenizer's file.
+_PART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level BPE writes bytes as: printable ones as themselves, the rest from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class HashTable:
+    """64-bit keys to places, open addressing, whole arrays at a time; doubles when half full."""
+
+    def __init__(self):
+        self.keys, self.place, self.count = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of the keys; -1 for those that are missing."""
+        out = np.full(len(h), -1, np.int32)
+        mask = np.uint64(len(self.keys) - 1)
+        todo, slot = np.arange(len(h)), h & mask
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == h[todo]
+            out[todo[hit]] = self.place[slot[hit]]
+            more = ~hit & (there != 0)
+            todo, slot = todo[more], (slot[more] + np.uint64(1)) & mask
+        return out
+
+    def add(self, h: np.ndarray, place: np.ndarray) -> None:
+        """Distinct keys that are not in the table; none is 0."""
+        if 2 * (self.count + len(h)) > len(self.keys):
+            used = np.flatnonzero(self.keys)
+            h, place = np.concatenate((self.keys[used], h)), np.concatenate((self.place[used], place))
+            n = 1 << int(2 * len(h)).bit_length()
+            self.keys, self.place, self.count = np.zeros(n, np.uint64), np.zeros(n, np.int32), 0
+        mask = np.uint64(len(self.keys) - 1)
+        self.count += len(h)
+        slot = h & mask
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]  # of several keys for one slot the last gets it
+            won = self.keys[slot] == h
+            self.place[slot[won]] = place[won]
+            lost = ~won
+            h, place, slot = h[lost], place[lost], (slot[lost] + np.uint64(1)) & mask
 
 
 class WordIds:
-    """Token ids of words by their 64-bit hash: sorted keys, and per key a range of ids."""
+    """Token ids of words by their 64-bit hash."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.cut = self.tokenizer.model, regex.compile(_PART)
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+        self.parts: dict[str, tuple[int, ...]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.lo, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.table, self.n_ids = HashTable(), 0
+        self.lo, self.n, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > KEPT_WORDS:
-            self._clear()
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int32, len(found))
-        lo = len(self.ids) + np.concatenate(([0], np.cumsum(n[:-1], dtype=np.int64)))
-        self.ids = np.concatenate((self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(n.sum()))))
-        every = np.concatenate((self.keys, keys))
-        order = np.argsort(every, kind="stable")
-        self.keys, self.lo, self.n = every[order], np.concatenate((self.lo, lo))[order], np.concatenate((self.n, n))[order]
+    def word(self, text: str) -> list[int]:
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in self.cut.findall(text.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) >= KEPT_PARTS:
+                    self.parts.clear()
+                ids = self.parts[part] = tuple(t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters)))
+            out += ids
+        return out
 
-    def _at(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        return at, (self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool))
+    def _learn(self, keys: np.ndarray, words: Iterator[str]) -> None:
+        found = [self.word(x) for x in words]
+        n = np.fromiter(map(len, found), np.int32, len(found))
+        new = np.fromiter((i for f in found for i in f), np.uint32, int(n.sum()))
+        at, end = self.table.count, self.table.count + len(keys)
+        if end > len(self.lo):
+            self.lo, self.n = np.resize(self.lo, 2 * end), np.resize(self.n, 2 * end)
+        if self.n_ids + len(new) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * (self.n_ids + len(new)))
+        self.lo[at:end] = self.n_ids + np.cumsum(n, dtype=np.int64) - n
+        self.n[at:end] = n
+        self.ids[self.n_ids : self.n_ids + len(new)] = new
+        self.n_ids += len(new)
+        self.table.add(keys, np.arange(at, end, dtype=np.int32))
 
     def encode(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows of ``w``, END_ID after each row, and the rows' bounds."""
-        h, which = np.unique(w.hashes(), return_inverse=True)
-        first = np.zeros(len(h), np.int64)
-        first[which[::-1]] = np.arange(len(which))[::-1]
-        at, known = self._at(h)
-        if not known.all():
-            new = np.flatnonzero(~known)
-            text = [bytes(w.buf[w.start[i] : w.end[i]]).decode() for i in first[new]]
-            if len(self.keys) + len(new) > KEPT_WORDS:  # starting anew, the known ones are asked for again
-                self._clear()
-                new, text = np.arange(len(h)), [bytes(w.buf[w.start[i] : w.end[i]]).decode() for i in first]
-            self._learn(h[new], text)
-            at, known = self._at(h)
+        h, first, which = np.unique(w.hashes() | np.uint64(1), return_index=True, return_inverse=True)
+        at = self.table.find(h)
+        new = np.flatnonzero(at < 0)
+        if self.table.count + len(new) > KEPT_WORDS:
+            self._clear()
+            new = np.arange(len(h))
+        if len(new):
+            self._learn(h[new], (bytes(w.buf[w.start[i] : w.end[i]]).decode() for i in first[new].tolist()))
+            at = self.table.find(h)
         lo, n = self.lo[at], self.n[at].astype(np.int64)
         each = n[which]
         total = np.concatenate(([0], np.cumsum(each)))
