@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, pii, quality, secretscan, substrings, urls
+from . import annsearch, mixing, neardup, packing, pii, quality, secretscan, substrings, urls
 from .durable import written
 from .ship import ship
 
@@ -54,6 +54,12 @@ def op5_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return annsearch.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = _read(spark, sf_dir, "documents")
@@ -110,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filter": op3_url_filter,
         "op4_substring_dedup": op4_substring_dedup,
         "op5_minhash_near_duplicates": op5_minhash_near_duplicates,
+        "op6_nearest_vectors": op6_nearest_vectors,
         "op7_secret_scan": op7_secret_scan,
         "op8_source_mixing": op8_source_mixing,
         "op9_best_fit_packing": op9_best_fit_packing,
