@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annsearch, mixing, neardup, packing, pii, quality, secretscan, substrings, urls
+from . import annsearch, extraction, mixing, neardup, packing, pii, quality, secretscan, substrings, urls
 from .durable import written
 from .ship import ship
 
@@ -28,6 +28,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return extraction.extracted(_read(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
@@ -112,6 +117,7 @@ select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_quality_rules": op2_quality_rules,
         "op3_url_filter": op3_url_filter,
         "op4_substring_dedup": op4_substring_dedup,
