@@ -1,11 +1,353 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables, and the SQL that each is held against.
+
+Text queries read all of ``documents``.  Vector queries take ``embeddings`` as a model: its ids are
+words ``w<id>``, its labels categories, and runs of four ids of a label analogy questions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import Settings
+from ..functions.scalars import uniform
+from ..operators import analogy, cooc, pairs, sgns, svd, vectors, vocab
+from ..sources import corpus, questions
+
+S = Settings()
+SEMANTIC = ("label_0", "label_1", "label_2", "label_3", "label_4")
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+# --- inputs ---------------------------------------------------------------------------------------
+
+
+def _tokens(spark, d):
+    return corpus.tokens(corpus.documents(spark, d))
+
+
+def _vocab(spark, d):
+    return vocab.build_vocab(_tokens(spark, d), S.min_count)
+
+
+def _ids(spark, d):
+    t = _tokens(spark, d)
+    return vocab.encode(t, vocab.build_vocab(t, S.min_count))
+
+
+def _lengths(spark, d):
+    return _ids(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _model(spark, d):
+    return corpus.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def _other(spark, d):
+    """A second model: the vectors backwards."""
+    return _model(spark, d).select("id", F.reverse("vec").alias("vec"))
+
+
+def _weaker(spark, d):
+    """The model without its last quarter of dimensions."""
+    return _model(spark, d).select("id", F.transform("vec", lambda x, i: F.when(i < 48, x).otherwise(F.lit(0.0).cast("float"))).alias("vec"))
+
+
+def _words(spark, d):
+    return _model(spark, d).select("id", F.concat(F.lit("w"), F.col("id").cast("string")).alias("word"))
+
+
+def _questions(spark, d):
+    """Fours of consecutive ids of each label; every fifth names a word that doesn't exist, and every
+    other one asks for what the model answers, so that there is something to get right."""
+    plain = _fours(spark, d)
+    best = analogy.answers(_model(spark, d), _words(spark, d), plain, 1).select("category", "qno", F.col("answer").alias("best"))
+    right = F.when(F.col("qno") % 5 == 0, F.lit("w-1")).when(F.col("qno") % 2 == 0, F.col("best")).otherwise(F.col("d"))
+    return plain.join(best, ["category", "qno"]).select("category", "qno", "a", "b", "c", right.alias("d"))
+
+
+def _fours(spark, d):
+    rows = corpus.table(spark, d, "embeddings").select("vec_id", "label")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    fours = rows.withColumn("p", place).withColumn("qno", F.floor(F.col("p") / 4) + 1).withColumn("k", F.col("p") % 4)
+    word = lambda k: F.max(F.when(F.col("k") == k, F.concat(F.lit("w"), F.col("vec_id").cast("string"))))
+    found = fours.groupBy("label", "qno").agg(*[word(k).alias(x) for k, x in enumerate("abcd")]).where("d is not null")
+    return found.select(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("category"), F.col("qno").cast("long").alias("qno"), "a", "b", "c", "d")
+
+
+def _batch(spark, d):
+    """A training batch with repeated ids: row, center, pos, negs, w."""
+    rows = _model(spark, d).select("id")
+    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    r = rows.select(F.col("id").alias("row"), n.alias("n"))
+    spread = lambda a, b: (F.col("row") * a + b) % F.col("n")
+    return r.select("row", F.floor(F.col("row") / 2).alias("center"), spread(7, 1).alias("pos"), F.array(spread(11, 3), spread(13, 5), F.floor(spread(17, 9) / 3)).alias("negs"), (1.0 / (1 + F.col("row") % 5)).alias("w"))
+
+
+def _history(spark, d):
+    e = corpus.table(spark, d, "events")
+    return e.select((F.col("event_id") - F.lit(0)).alias("batch"), F.col("value").alias("loss"))
+
+
+def _r(c, n=6):
+    return F.round(c, n)
+
+
+# --- queries --------------------------------------------------------------------------------------
+
+
+def tokenize(spark, d):
+    return _tokens(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), "word")
+
+
+def corpus_stats(spark, d):
+    v = _vocab(spark, d)
+    return v.agg(F.count(F.lit(1)).alias("n_words"), F.sum("cnt").alias("n_tokens"), F.max("cnt").alias("top"))
+
+
+def subsample_probs(spark, d):
+    return vocab.keep_probabilities(_vocab(spark, d), S.subsample_t).select("id", "word", "cnt", _r(F.col("keep_prob"), 9).alias("keep_prob"))
+
+
+def subsample_tokens(spark, d):
+    t = _tokens(spark, d)
+    kept = vocab.keep_probabilities(vocab.build_vocab(t, S.min_count), S.subsample_t)
+    return vocab.subsample(vocab.encode(t, kept), kept, S.seed)
+
+
+def neg_table(spark, d):
+    return vocab.negative_table(_vocab(spark, d), S.neg_table_size)
+
+
+def neg_sample(spark, d):
+    """K draws for each position of every document's in-vocabulary tokens, counted by id."""
+    t = _tokens(spark, d)
+    v = vocab.build_vocab(t, S.min_count)
+    slots = vocab.encode(t, v).select("doc_id", "pos", F.explode(F.sequence(F.lit(0), F.lit(S.neg_samples - 1))).alias("k"))
+    drawn = slots.withColumn("r", F.floor(uniform(S.seed, "=neg", 0, "doc_id", "pos", "k") * S.neg_table_size))
+    found = vocab.draw_negatives(drawn, vocab.negative_table(v, S.neg_table_size), S.neg_table_size)
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("draws"), F.sum("r").alias("slots"))
+
+
+def chunk_ids(spark, d):
+    return vocab.chunk_sizes(_lengths(spark, d), 50_000).select("chunk_id", "n")
+
+
+def _pair_digest(p):
+    return p.groupBy("center", "dist").agg(F.count(F.lit(1)).alias("n"), F.sum("context").alias("contexts")).select("center", F.col("dist").cast("long").alias("dist"), "n", "contexts")
+
+
+def pairs_window(spark, d):
+    return _pair_digest(pairs.both_ways(pairs.look_ahead(_ids(spark, d), S.window_size)))
+
+
+def pairs_sampled(spark, d):
+    return pairs.sampled(_ids(spark, d), S.window_size, S.seed).groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.sum("context").alias("contexts"))
+
+
+def pairs_weighted(spark, d):
+    p = pairs.sampled(_ids(spark, d), S.window_size, S.seed)
+    return p.groupBy("center", "dist").agg(F.count(F.lit(1)).alias("n")).select("center", F.col("dist").cast("long").alias("dist"), "n", _r(F.col("n") * F.pow(F.col("dist").cast("double"), F.lit(-1.0))).alias("weight"))
+
+
+def pairs_afws(spark, d):
+    t = _tokens(spark, d)
+    v = vocab.build_vocab(t, S.min_count)
+    return _pair_digest(pairs.adaptive(vocab.encode(t, v), v, S.afws_min_window, S.afws_max_window, S.afws_alpha, S.seed))
+
+
+def expected_pairs(spark, d):
+    return pairs.expected(_lengths(spark, d), S.window_size).select(_r(F.col("expected_pairs"), 3).alias("expected_pairs"), "tokens")
+
+
+def cooc_(spark, d):
+    return cooc.cooccurrence(_ids(spark, d), S.window_size).select("i", "j", _r(F.col("value")).alias("value"))
+
+
+def cooc_marginals(spark, d):
+    return cooc.marginals(cooc.cooccurrence(_ids(spark, d), S.window_size)).select("i", _r(F.col("total"), 4).alias("total"), "n_cells")
+
+
+def _sppmi(spark, d, top=None):
+    cells = cooc.cooccurrence(_ids(spark, d), S.window_size, top=top)
+    return cooc.sppmi(cells, 15.0)
+
+
+def sppmi_(spark, d):
+    return _sppmi(spark, d).select("i", "j", _r(F.col("value"), 5).alias("value"))
+
+
+def cooc_topn(spark, d):
+    cells = cooc.cooccurrence(_ids(spark, d), S.window_size, top=2000)
+    return cells.groupBy("i").agg(F.count(F.lit(1)).alias("n_cells"), _r(F.sum("value"), 4).alias("total"))
+
+
+def sppmi_top(spark, d):
+    """For each word its five strongest associations."""
+    t = _tokens(spark, d)
+    v = vocab.build_vocab(t, S.min_count)
+    scored = cooc.sppmi(cooc.cooccurrence(vocab.encode(t, v), S.window_size), 15.0)
+    order = Window.partitionBy("i").orderBy(F.desc(_r(F.col("value"), 5)), "j")
+    best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
+    w = v.select(F.col("id").alias("i"), F.col("word").alias("word"))
+    a = v.select(F.col("id").alias("j"), F.col("word").alias("associate"))
+    return best.join(w, "i").join(a, "j").select("word", "rank", "associate", _r(F.col("value"), 5).alias("value"))
+
+
+def lr_schedule(spark, d):
+    e = corpus.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    return sgns.learning_rates(e, 50_000.0, S.lr_start, S.lr_min).select("batch", "processed", _r(F.col("lr"), 9).alias("lr"))
+
+
+def _long(emb, name="value", places=6):
+    return emb.select("id", F.posexplode("vec").alias("dim", "x")).select("id", F.col("dim").cast("long").alias("dim"), _r(F.col("x"), places).alias(name))
+
+
+def l2_normalize(spark, d):
+    return _long(vectors.l2_normalized(_model(spark, d)))
+
+
+def nearest_neighbors(spark, d):
+    w = _words(spark, d)
+    asked = w.select("word").unionByName(spark.createDataFrame([("w-1",)], "word string"))
+    return analogy.neighbors(_model(spark, d), w, asked, 10).select("query", "rank", "word", _r(F.col("score")).alias("score"))
+
+
+def analogy_topk(spark, d):
+    found = analogy.answers(_model(spark, d), _words(spark, d), _questions(spark, d), 5)
+    return found.select("category", "qno", "rank", "answer", _r(F.col("score")).alias("score"))
+
+
+def _judged(spark, d):
+    return analogy.judged(_model(spark, d), _words(spark, d), _questions(spark, d))
+
+
+def analogy_eval(spark, d):
+    r = analogy.by_category(_judged(spark, d), SEMANTIC)
+    return r.select("category", "correct", "total", "skipped", _r(F.col("accuracy")).alias("accuracy"), "is_semantic")
+
+
+def analogy_rollup(spark, d):
+    return analogy.summary(_judged(spark, d), SEMANTIC).select("part", "correct", "total", "skipped", _r(F.col("accuracy")).alias("accuracy"))
+
+
+def analogy_report(spark, d):
+    return analogy.report(_judged(spark, d), SEMANTIC)
+
+
+def failure_analysis(spark, d):
+    return analogy.compared(_model(spark, d), _weaker(spark, d), _words(spark, d), _questions(spark, d), 10)
+
+
+def model_select(spark, d):
+    q, w, out = _questions(spark, d), _words(spark, d), None
+    for no, (name, emb) in enumerate((("base", _model(spark, d)), ("other", _other(spark, d)), ("weaker", _weaker(spark, d)))):
+        s = analogy.summary(analogy.judged(emb, w, q), SEMANTIC).where("part = 'semantic'")
+        s = s.select(F.lit(no).cast("long").alias("config_no"), F.lit(name).alias("name"), _r(F.col("accuracy")).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return analogy.selected(out)
+
+
+def combine(spark, d):
+    return _long(vectors.combine(_model(spark, d), _other(spark, d)))
+
+
+def blend(spark, d):
+    return _long(vectors.blend(_model(spark, d), _other(spark, d), 0.7))
+
+
+def extend_svd(spark, d):
+    """The second model knows every third word only."""
+    return _long(vectors.extend(_other(spark, d).where("id % 3 = 0"), _model(spark, d)))
+
+
+def mean_center(spark, d):
+    return vectors.mean_vector(vectors.l2_normalized(_model(spark, d))).select(F.col("dim").cast("long").alias("dim"), _r(F.col("mean")).alias("mean"))
+
+
+def covariance(spark, d):
+    return vectors.covariance(vectors.l2_normalized(_model(spark, d))).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r(F.col("value")).alias("value"))
+
+
+def postprocess(spark, d):
+    return vectors.postprocess(_model(spark, d), 2)
+
+
+def svd_embeddings(spark, d):
+    n = _vocab(spark, d).count()
+    return svd.svd_embeddings(_sppmi(spark, d), n, S.embed_dim)
+
+
+def svd_singular_values(spark, d):
+    _, s = svd.randomized_svd(_sppmi(spark, d), _vocab(spark, d).count(), S.embed_dim)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "rank long, value double")
+
+
+def sgns_loss(spark, d):
+    b = _batch(spark, d).withColumn("w", F.lit(1.0))
+    return sgns.loss(b, _model(spark, d), _other(spark, d)).select(_r(F.col("loss")).alias("loss"), "samples")
+
+
+def sgns_grad(spark, d):
+    b = _batch(spark, d).withColumn("w", F.lit(1.0))
+    return sgns.gradients(b, _model(spark, d), _other(spark, d)).select("side", "id", F.col("dim").cast("long").alias("dim"), _r(F.col("grad")).alias("grad"))
+
+
+def sgns_grad_last(spark, d):
+    b = _batch(spark, d).withColumn("w", F.lit(1.0))
+    return sgns.gradients(b, _model(spark, d), _other(spark, d), "last").select("side", "id", F.col("dim").cast("long").alias("dim"), _r(F.col("grad")).alias("grad"))
+
+
+def sgns_step(spark, d):
+    b = _batch(spark, d).withColumn("w", F.lit(1.0))
+    return sgns.step(b, _model(spark, d), _other(spark, d), S.lr_start).select("side", "id", F.col("dim").cast("long").alias("dim"), _r(F.col("value")).alias("value"))
+
+
+def sgns_step_weighted(spark, d):
+    return sgns.step(_batch(spark, d), _model(spark, d), _other(spark, d), S.lr_start).select("side", "id", F.col("dim").cast("long").alias("dim"), _r(F.col("value")).alias("value"))
+
+
+def train_sgns(spark, d):
+    s = S.with_(embed_dim=32, epochs=2, subsample_t=1e-3, batch_size=256)
+    return sgns.train(_tokens(spark, d), s).w_in
+
+
+def loss_history(spark, d):
+    return sgns.loss_windows(_history(spark, d), 2000).select("win", _r(F.col("loss")).alias("loss"))
+
+
+def smooth_loss(spark, d):
+    return sgns.smoothed(_history(spark, d)).select("batch", _r(F.col("loss")).alias("loss"), _r(F.col("smooth")).alias("smooth"))
+
+
+def parse_questions(spark, d):
+    """Written out as lines with headers, blank and short lines, the questions come back."""
+    q = _questions(spark, d)
+    key = lambda *c: F.struct(*[x.alias(f"k{i}") for i, x in enumerate(c)])
+    no = lambda x: F.lit(x).cast("long")
+    heads = q.select("category").distinct().select(key(F.col("category"), no(0), no(0)).alias("k"), F.concat(F.lit(": "), "category").alias("value"))
+    full = q.select(key(F.col("category"), F.col("qno"), no(1)).alias("k"), F.concat(F.lit("  "), F.upper("a"), F.lit(" "), F.concat_ws(" ", "b", "c", "d")).alias("value"))
+    short = q.select(key(F.col("category"), F.col("qno"), no(2)).alias("k"), F.concat_ws(" ", "a", "b", "c").alias("value"))
+    early = spark.createDataFrame([("one two three four",), ("",)], "value string").select(key(F.lit(""), no(0), no(0)).alias("k"), "value")
+    lines = heads.unionByName(full).unionByName(short).unionByName(early).select((F.row_number().over(Window.orderBy("k"))).alias("line_no"), "value")
+    return questions.parse(lines)
+
+
+def queries() -> dict[str, Query]:
+    plain = [
+        tokenize, corpus_stats, subsample_probs, subsample_tokens, neg_table, neg_sample, chunk_ids, pairs_window, pairs_sampled, pairs_weighted, pairs_afws, expected_pairs,
+        cooc_marginals, cooc_topn, sppmi_top, lr_schedule, l2_normalize, nearest_neighbors, analogy_topk, analogy_eval, analogy_rollup, analogy_report, failure_analysis,
+        model_select, combine, blend, extend_svd, mean_center, covariance, postprocess, svd_embeddings, svd_singular_values, sgns_loss, sgns_grad, sgns_grad_last, sgns_step,
+        sgns_step_weighted, train_sgns, loss_history, smooth_loss, parse_questions,
+    ]
+    return {"build_vocab": _vocab, "encode_ids": _ids, "cooc": cooc_, "sppmi": sppmi_} | {f.__name__: f for f in plain}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracles import oracle_sql as found
 
-def queries() -> dict:
-    return {}
+    return found()
 
 
-def oracle_sql() -> dict:
-    return {}
