@@ -7,6 +7,7 @@ block it only lets more false hits through, so whoever probes it must still join
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,7 +37,19 @@ def build(df: DataFrame, key: str, blocks: int) -> DataFrame:
     return merged.agg(F.array_sort(F.collect_list(F.struct("slot", "bits"))).alias("all")).select(F.col("all.bits").alias("bloom"))
 
 
-def may_contain(bloom: DataFrame, key: Column, blocks: int) -> Column:
-    """Whether ``key`` may be in the filter; a null key is not."""
-    tests = [F.getbit(F.get(bloom.scalar(), slot), bit) == 1 for slot, bit in _slots(key, blocks)]
-    return key.isNotNull() & reduce(lambda a, b: a & b, tests)
+def filtered(rows: DataFrame, key: str, listed: DataFrame, listed_key: str, listed_count: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """``rows`` whose ``key`` may be in ``listed``; those with a null key are not.
+
+    The filter is made once, as the value of a session variable, which the plan holds as a literal.
+    """
+    spark, name = rows.sparkSession, f"bloom_{uuid.uuid4().hex}"
+    blocks = blocks_for(listed_count, max_blocks)
+    build(listed, listed_key, blocks).createOrReplaceTempView(name)
+    spark.sql(f"declare or replace variable {name} array<bigint>")
+    spark.sql(f"set var {name} = (select bloom from {name})")
+    bits = F.expr(f"session.{name}")
+    tests = [F.getbit(F.get(bits, slot), bit) == 1 for slot, bit in _slots(F.col(key), blocks)]
+    found = rows.where(F.col(key).isNotNull() & reduce(lambda a, b: a & b, tests))
+    spark.sql(f"drop temporary variable {name}")
+    spark.catalog.dropTempView(name)
+    return found

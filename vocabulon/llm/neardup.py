@@ -2,13 +2,15 @@
 
 1. Of each document's shingle set the ``K`` least hashes are kept.  Equal sets form a class, whose
    document with the smallest id stands for it from here on.
-2. Two sets of similarity 0.8 share at least half of their sketches but for a chance of about 1e-7
-   (a binomial tail), so, with values put in order of rarity, they share one of the first
-   K - K/2 + 1 (prefix filtering).  The inverted lists of those values, split by set size, hold all
-   candidates; values that one document alone retains need no list.
-3. Lists give candidates in rounds.  First every document meets one pivot of each of its lists, so
-   a group of copies costs a row a document, not a pair of each two.  Then documents meet each
-   other across what is still separate.  The bottom-k sketch of the union estimates similarity and
+2. Retained values are looked up by runs: ``RUN`` values that follow each other in the sketch.  Where
+   two sets of similarity 0.8 differ they break their common values into runs, one of which has
+   four values or more, by counting for whole sets of 16 values or more (two, for smaller ones),
+   and for sketches that leave values out but for a chance of 0.8 ** K, 2e-8.  A run of four is met by
+   chance so rarely that lists stay short however many documents share a word pair or a passage.
+3. Inverted lists of runs generate the overlaps in rounds.  First every document meets one pivot of
+   each of its lists, so a group of near-copies costs a row a document, not a pair of each two, and
+   again with other pivots while lists hold many documents that are still apart.  Then documents
+   meet each other across what is left.  The bottom-k sketch of the union estimates similarity and
    drops what is far below the threshold; the full sets decide the rest.
 4. Links join components; a pair within one component is never looked at again.
 
@@ -34,7 +36,10 @@ from . import textkernel as tk
 from .components import components
 from .durable import written
 
-WORDS, SIMILARITY, K, STAR_ROUNDS = 5, 80, 64, 2
+WORDS, SIMILARITY, K = 5, 80, 80
+RUN, SHORT_RUN, SHORT_SET, ANY_RUN = 4, 2, 19, 16
+MOST_STARS, APART, WORTH = 5, 8, 0.1
+SHARE = 0.56
 
 
 def shingles(w: tk.Words, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,18 +97,30 @@ def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
     return picked.mapInArrow(run, f"doc_id {kind}, n long, set1 long, set2 long, sketch array<long>")
 
 
-def prefixes(sketched: DataFrame, k: int = K, similarity: int = SIMILARITY) -> DataFrame:
-    """(v, band, doc, n): a row for each list that a document is in.  Sets within the size ratio share a band."""
-    posts = written(sketched.select(F.col("doc_id").alias("doc"), "n", F.explode("sketch").alias("v")), "posts")
-    common = posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    size = F.least(F.col("n"), F.lit(k))
-    reach = (size - F.ceil(size / 2) + 1).cast("int")  # how many of the rarest values must be tried
-    shared = posts.join(common, "v").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    alone = size - F.size("vs")  # values of its own come first in order of rarity
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similarity)))
-    rows = shared.select("doc", "n", F.explode(F.slice("vs", 1, F.greatest(reach - alone, F.lit(0)).cast("int"))).alias("x"))
-    # the ratio of two linked sets is one band's width at most; a hair more covers rounding
-    return rows.select("doc", "n", F.col("x.v").alias("v"), F.explode(F.array_distinct(F.array(band, F.floor(F.log(F.col("n") * 1.0000001) / F.log(F.lit(100.0 / similarity))), band + 1))).alias("band"))
+def runs(sketched: DataFrame) -> DataFrame:
+    """(run, cls) for each run of values in each sketch; equal sets have one ``cls``.
+
+    Sets of up to SHORT_SET values have short runs, sets from ANY_RUN values on long ones, so two sets that
+    may be linked have one kind in common.
+    """
+    def windows(width: int) -> str:
+        values = ", ".join(f"sketch[i + {j}]" for j in range(width))
+        return f"transform(sequence(0, size(sketch) - {width}), i -> xxhash64({values}))"
+
+    none = "cast(array() as array<bigint>)"
+    keys = F.expr(f"concat(if(n between {SHORT_RUN} and {SHORT_SET}, {windows(SHORT_RUN)}, {none}), if(n >= {ANY_RUN}, {windows(RUN)}, {none}))")
+    return sketched.where("doc_id is not null and n > 0").select(F.explode(keys).alias("run"), F.xxhash64("n", "set1", "set2").alias("cls"))
+
+
+def lists_of(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """(run, doc, n): the members of the lists that hold two classes or more."""
+    posts = runs(sketched)
+    shared = posts.groupBy("run").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("run")
+    members = written(posts.join(shared, "run").distinct(), "members")
+    # lists with the same members generate the same overlaps: one of them is enough
+    alike = members.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
+    one = alike.groupBy("m", "x", "y").agg(F.min("run").alias("run")).select("run")
+    return members.join(one, "run").join(classes.select(F.xxhash64("n", "set1", "set2").alias("cls"), F.col("rep").alias("doc"), "n"), "cls").select("run", "doc", "n")
 
 
 def _estimated(pairs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
@@ -115,14 +132,13 @@ def _estimated(pairs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
     )
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     share = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    return both.select("a", "b", share.alias("share")).where("share >= 0.5")
+    return both.select("a", "b", share.alias("share")).where(F.col("share") >= SHARE)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    blocks = bloom.blocks_for(2 * pairs.count(), 1 << 17)
-    texts = docs.select("doc_id", "text").where(bloom.may_contain(bloom.build(ids, "doc_id", blocks), F.col("doc_id"), blocks))
+    texts = bloom.filtered(docs.select("doc_id", "text"), "doc_id", ids, "doc_id", 2 * pairs.count(), 1 << 17)
     both = (
         texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}).join(pairs.hint("shuffle_hash"), "a")
         .join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
@@ -155,45 +171,47 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     sketched = written(sketches(docs, words, k), "sketches")
     full = sketched.where("doc_id is not null and n > 0")
-    classes = full.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n", "sketch"), "reps")
-    lists = written(prefixes(reps, k, similarity), "lists")
+    classes = written(full.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep")), "classes")
+    lists = written(lists_of(sketched, classes), "lists")
+    reps = written(sketched.join(lists.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "sketch").distinct(), "reps")
     fits = F.expr(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
-    links, roots, tried = None, None, None
+    links = roots = tried = None
+    total = lists.count()
 
     def linked(more: DataFrame) -> tuple[DataFrame, DataFrame]:
         every = written(more if links is None else links.unionByName(more), "links")
         return every, written(components(every), "roots")
 
-    def rooted(df: DataFrame) -> DataFrame:
-        if roots is None:
-            return df.withColumn("root", F.col("doc"))
-        return df.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-
-    for r in range(STAR_ROUNDS):
-        members = rooted(lists)
+    for r in range(MOST_STARS):
+        members = lists.withColumn("root", F.col("doc")) if roots is None else (
+            lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        )
         order = F.struct((F.xxhash64("root", F.lit(r)) if r else F.col("doc")).alias("key"), "doc", "n", "root")
-        pivot = members.groupBy("v", "band").agg(F.min(order).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+        pivot = members.groupBy("run").agg(F.min(order).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 < r1")
+        if r:
+            pivot = written(pivot, "pivots")
+            if gained < WORTH * asked or (pivot.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0) <= APART * total:
+                break
         pairs = (
-            members.join(pivot, ["v", "band"]).where("root <> p.root")
+            members.join(pivot, "run").where("root <> p.root")
             .select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(fits).select("a", "b").distinct()
         )
         # of its pivots a document first tries the likeliest
         likely = _estimated(pairs, reps, k).groupBy("a").agg(F.max(F.struct("share", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
         likely = written(likely, "likely")
         tried = likely if tried is None else tried.unionByName(likely)
+        asked, before = likely.count(), 0 if links is None else links.count()
         links, roots = linked(_verified(docs, likely, words, similarity))
-    members = rooted(lists)
-    apart = members.groupBy("v", "band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("v", "band")
-    left = members.join(apart, ["v", "band"])
-    a, b = (left.select("v", "band", *[F.col(c).alias(c + x) for c in ("doc", "n", "root")]) for x in "ab")
+        gained = links.count() - before
+    left = members.join(pivot.select("run"), "run")
+    a, b = (left.select("run", *[F.col(c).alias(c + x) for c in ("doc", "n", "root")]) for x in "ab")
     pairs = (
-        a.join(b, ["v", "band"]).where("doca > docb and roota <> rootb").where(fits)
+        a.join(b, "run").where("doca > docb and roota <> rootb").where(fits)
         .select(F.col("doca").alias("a"), F.col("docb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     )
     rest = written(_estimated(pairs, reps, k).select("a", "b"), "rest")
-    links, roots = linked(_verified(docs, rest, words, similarity))
+    if not rest.isEmpty():
+        links, roots = linked(_verified(docs, rest, words, similarity))
     whole = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "set1", "set2", F.coalesce("root", "rep").alias("component"))
     return (
         sketched.join(whole, ["n", "set1", "set2"], "left")

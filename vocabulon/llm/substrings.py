@@ -137,8 +137,7 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(rk, text) of the documents whose key is in ``rows`` (rk), and few others: filtered before they move."""
-    blocks = bloom.blocks_for(rows.count(), 1 << 17)
-    return docs.select("doc_id", row_key().alias("rk"), "text").where(bloom.may_contain(bloom.build(rows, "rk", blocks), F.col("rk"), blocks))
+    return bloom.filtered(docs.select("doc_id", row_key().alias("rk"), "text"), "rk", rows, "rk", rows.count(), 1 << 17)
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:

@@ -55,17 +55,12 @@ def verdicts(pages: DataFrame, listed: DataFrame, default: str = "allow") -> Dat
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not facts["n"]:
         return parsed.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    blocks = bloom.blocks_for(facts["n"])
-    listed_keys = bloom.build(entries, "key", blocks)
     counts = "array(" + ",".join(str(x) for x in facts["labels"]) + ")"
     lengths = "array(" + ",".join(str(x) for x in facts["lengths"]) + ")"
     suffixes = f"transform(filter({counts}, n -> n <= size(split(host, '[.]'))), n -> substring_index(host, '.', -n))"
     prefixes = f"transform(filter({lengths}, n -> n <= length(path)), n -> substring(path, 1, n))"
-    possible = (
-        parsed.select("host", "path", F.explode(F.expr(f"flatten(transform({suffixes}, s -> transform({prefixes}, p -> concat(s, p))))")).alias("key"))
-        .where(bloom.may_contain(listed_keys, F.col("key"), blocks))
-        .distinct()
-    )
+    keys = F.explode(F.expr(f"flatten(transform({suffixes}, s -> transform({prefixes}, p -> concat(s, p))))")).alias("key")
+    possible = bloom.filtered(parsed.select("host", "path", keys), "key", entries, "key", facts["n"]).distinct()
     rank = F.struct(F.length("key"), F.length("entry_host"), "key", "action")
     found = (
         possible.join(entries.select("key", F.col("host").alias("entry_host"), "action"), "key")
