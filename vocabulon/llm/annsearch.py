@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .durable import written
 
 SAMPLE, SAMPLE_QUERIES, RECALL, CELL_ROWS, TABLES, SEED = 4096, 256, 0.95, 4000, 2, 20240301
-SPLIT_ROWS = 8000
+SPLIT_ROWS, HELD_ROWS = 8000, 400_000
 
 
 class Hashing:
@@ -159,6 +159,42 @@ def _vectors(batch: pa.RecordBatch, dim: int) -> np.ndarray:
 
 
 def _best(groups: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """What each place finds, merged within the task before it is shuffled: ``k`` rows a query at most.
+
+    A task that serves very many queries passes on what it holds in between, so its memory is bounded.
+    """
+    held: list[np.ndarray] = []
+    rows = 0
+
+    def merged() -> np.ndarray:
+        every = np.concatenate(held)
+        every = np.unique(every)
+        every = every[np.lexsort((every["vec_id"], -every["score"], every["query_id"]))]
+        first = np.flatnonzero(np.concatenate(([True], every["query_id"][1:] != every["query_id"][:-1])))
+        place = np.arange(len(every)) - np.repeat(first, np.diff(np.concatenate((first, [len(every)]))))
+        return every[place < k]
+
+    def batch(part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c])) for c in part.dtype.names], list(part.dtype.names))
+
+    kind = [("query_id", np.int64), ("vec_id", np.int64), ("score", np.float64)]
+    for b in _by_place(groups, dim, k):
+        part = np.empty(b.num_rows, kind)
+        for c, _ in kind:
+            part[c] = b.column(c).to_numpy()
+        held.append(part)
+        rows += len(part)
+        if rows > HELD_ROWS:
+            held = [merged()]
+            rows = len(held[0])
+            if rows > HELD_ROWS // 2:
+                yield batch(held[0])
+                held, rows = [], 0
+    if held:
+        yield batch(merged())
+
+
+def _by_place(groups: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by place, rows before queries, the nearest of each query in each place."""
     held: list[pa.Table] = []
 
