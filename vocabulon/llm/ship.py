@@ -1,25 +1,5 @@
 """Making this package importable on executors, however the driver was started."""
 
-from __future__ import annotations
+from ..sources.ship import ship
 
-import tempfile
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import SparkSession
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package's source to the executors of this application, once."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.name}_src.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
+__all__ = ["ship"]
