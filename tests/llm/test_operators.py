@@ -262,6 +262,19 @@ def test_near_duplicates_against_brute_force(sp, docs, words):
     assert got == brute_components(rows.items(), words)
 
 
+def test_contained_texts_link_at_the_threshold(sp):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(300):  # each text and its first four fifths or a little more
+        text = base_text(1000 + g, int(rng.integers(94, 205))).split()
+        part = int(np.ceil((len(text) - 4) * rng.uniform(0.80, 0.83))) + 4
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(text[:part]))]
+    df = sp.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df).collect()}
+    assert got == brute_components(rows, 5)
+    assert all(got[2 * g + 1][1] == 2 * g for g in range(300))
+
+
 def test_one_of_each_group_stays(sp, docs):
     kept = neardup.first_of_each(docs.dropDuplicates(["doc_id"]).withColumn("n", F.lit(1)))
     ids = {r["doc_id"] for r in kept.collect()}

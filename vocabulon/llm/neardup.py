@@ -40,6 +40,7 @@ WORDS, SIMILARITY, K = 5, 80, 80
 RUN, SHORT_RUN, SHORT_SET, ANY_RUN = 4, 2, 19, 16
 MOST_STARS, APART, WORTH = 5, 8, 0.1
 SHARE = 0.56
+SIGN = np.uint64(1 << 63)
 
 
 def shingles(w: tk.Words, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +67,10 @@ def shingles(w: tk.Words, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
-    """doc_id, n (size of its set), set1, set2 (128 bits of the set), sketch (its k least hashes, signed)."""
+    """doc_id, n (size of its set), set1, set2 (128 bits of the set), sketch (its k least hashes).
+
+    Hashes are kept with the sign bit flipped, so that signed order is the order in which the least were chosen.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,7 +91,7 @@ def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id")[lo:hi], pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in sums),
-                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(h[kept].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((h[kept] ^ SIGN).view(np.int64))),
                     ],
                     ["doc_id", "n", "set1", "set2", "sketch"],
                 )
