@@ -232,3 +232,14 @@ def test_streaming_counts_equal_the_batch(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("word_counts").collect()} == {("a", 2), ("b", 2), ("c", 1)}
+
+
+def test_registered_training_is_the_whole_job(monkeypatch):
+    from vocabulon.config import Settings
+    from vocabulon.plans import catalogue
+
+    asked = []
+    monkeypatch.setattr(catalogue, "_tokens", lambda spark, d: None)
+    monkeypatch.setattr(catalogue.sgns, "train", lambda tokens, s: asked.append(s) or type("Trained", (), {"w_in": None}))
+    catalogue.queries()["train_sgns"](None, "")
+    assert asked == [Settings()] and (asked[0].embed_dim, asked[0].epochs, asked[0].subsample_t, asked[0].batch_size) == (300, 20, 1e-5, 4096)

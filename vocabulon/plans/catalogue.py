@@ -310,8 +310,7 @@ def sgns_step_weighted(spark, d):
 
 
 def train_sgns(spark, d):
-    s = S.with_(embed_dim=32, epochs=2, subsample_t=1e-3, batch_size=256)
-    return sgns.train(_tokens(spark, d), s).w_in
+    return sgns.train(_tokens(spark, d), S).w_in
 
 
 def loss_history(spark, d):
