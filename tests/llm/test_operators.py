@@ -451,6 +451,22 @@ def test_personal_data(text, base, every):
     assert (pii.joined(got[0]), pii.joined(got[1])) == (base, every)
 
 
+@pytest.mark.parametrize(
+    ("text", "every"),
+    [
+        *((f"{a} here", f"email:0:{len(a)}") for a in ("jan at firma dot pl", "ana at loja dot com dot br", "x at y dot se", "x at y dot ru", "x at y dot be", "x at y dot dev", "x@y dot pl", "x_at_y_dot_dk")),
+        ("mail jan at firma.com now", "email:5:21"),
+        ("write to jan at firma.co.uk.", "email:9:27"),
+        ("contact us at firma.com", ""),
+        ("we met at firma.com", ""),
+        ("look at the dot is it moving", ""),
+        ("point at the dot to see it", ""),
+    ],
+)
+def test_spelled_addresses_of_all_countries(text, every):
+    assert pii.joined(pii.spans_of(text)[1]) == every
+
+
 def test_personal_data_against_the_patterns_on_random_texts():
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     rng = np.random.default_rng(3)

@@ -90,11 +90,31 @@ _I = re.I | re.A
 _BRACKET_AT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:at|@)[\x20\t]*[\])}>][\x20\t]*", _I)
 _BRACKET_DOT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:dot|punkt|point|punto|\.)[\x20\t]*[\])}>][\x20\t]*", _I)
 # Last labels with which a domain spelled in plain words is believed.
-TOP_LEVEL = "com|net|org|edu|gov|info|biz|io|co|eu|uk|us|de|fr|es|it|nl|ch|at|ca|au|in|jp|example|test"
+TOP_LEVEL = "|".join(
+    (
+        "com net org edu gov mil int info biz name pro aero coop museum jobs mobi tel travel asia cat post arpa app dev page cloud online site website tech "
+        "store shop blog email xyz club agency company digital solutions services systems software design media news network studio academy center community "
+        "consulting foundation group health law live ltd llc gmbh world space berlin wien london nyc paris example test ac ad ae af ag ai al am ao aq ar as at "
+        "au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee "
+        "eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp "
+        "ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni "
+        "nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc "
+        "td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw"
+    ).split()
+)
+# Last labels that are also words; a determiner as the whole domain before one is prose ("look at the dot is").
+_PROSE = r"(?!(?:the|an?|this|that|each|every|any|another|its?|his|her|their|our|your|my|one|which)[\x20\t]+(?:dot|punkt|point|punto)[\x20\t]+(?:am|as|be|by|do|et|is|la|live|me|my|name|no|online|post|so|to|center|space|group|news)(?![A-Za-z0-9-]))"
 _DOT = r"[\x20\t]+(?:dot|punkt|point|punto)[\x20\t]+"
-_WORDS = re.compile(rf"(?<=[A-Za-z0-9])([\x20\t]+at[\x20\t]+)([A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}(?:{TOP_LEVEL}))(?![A-Za-z0-9-]|{_DOT})", _I)
+_WORDS = re.compile(rf"(?<=[A-Za-z0-9])([\x20\t]+at[\x20\t]+)({_PROSE}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*?{_DOT}(?:{TOP_LEVEL}))(?![A-Za-z0-9-]|{_DOT})", _I)
 _AFTER_SIGN = re.compile(rf"(?<=[A-Za-z0-9])(@)([A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)*?{_DOT}(?:{TOP_LEVEL}))(?![A-Za-z0-9-]|{_DOT})", _I)
 _JOINED = re.compile(rf"(?<=[A-Za-z0-9])([_-]at[_-])([A-Za-z0-9]+(?:[_-]dot[_-][A-Za-z0-9]+)*?[_-]dot[_-](?:{TOP_LEVEL}))(?![A-Za-z0-9])", _I)
+# A spelled sign before a domain as it is written counts only after words that announce an address.
+_ANNOUNCED = re.compile(
+    r"\b(?:e-?mail|mail|contact|write[\x20\t]+to|reach)(?:[\x20\t]+(?:me|us|him|her|them))?(?:[\x20\t]+(?:at|to|is))?(?:[\x20\t]*:)?[\x20\t]+(?!(?:me|us|him|her|them|it|you|is|at|to)[\x20\t])"
+    rf"[A-Za-z0-9._%+-]*[A-Za-z0-9]([\x20\t]+at[\x20\t]+)((?:[A-Za-z0-9-]+\.)+(?:{TOP_LEVEL}))(?![A-Za-z0-9-]|\.[A-Za-z0-9])",
+    _I,
+)
+_ANNOUNCE_HINTS = ("mail", "contact", "write", "reach")
 _SEPARATOR = re.compile(rf"{_DOT}|[_-]dot[_-]", _I)
 _NUMBER_DOT = re.compile(r"(?<=[0-9])[\x20\t]+(?:dot|punkt|point|punto)[\x20\t]+(?=[0-9])", _I)
 _NUMBER_WORD = "zero|oh|one|two|three|four|five|six|seven|eight|nine"
@@ -165,7 +185,8 @@ def deobfuscate(text: str) -> Mapped | None:
     lower = (m.text if m else text).lower()
     spelled = any(w in lower for w in DIGITS) and _SPELLED_HINT.search(m.text if m else text)
     dots = any(h in lower for h in _DOT_HINTS)
-    if not (changed or spelled or dots):
+    announced = any(h in lower for h in _ANNOUNCE_HINTS) and _ANNOUNCED.search(m.text if m else text)
+    if not (changed or spelled or dots or announced):
         return None
     m = m or Mapped(text)
     if spelled:
@@ -177,6 +198,8 @@ def deobfuscate(text: str) -> Mapped | None:
             changed |= m.rewrite([(x.start(), x.end(), by) for x in rule.finditer(m.text)])
         for rule in (_WORDS, _AFTER_SIGN, _JOINED):
             changed |= m.rewrite([piece for x in rule.finditer(m.text) for piece in _signs(x)])
+    if announced:
+        changed |= m.rewrite([(x.start(1), x.end(1), "@") for x in _ANNOUNCED.finditer(m.text)])
     return m if changed else None
 
 
