@@ -467,6 +467,12 @@ def test_spelled_addresses_of_all_countries(text, every):
     assert pii.joined(pii.spans_of(text)[1]) == every
 
 
+@pytest.mark.parametrize("zero", [0x660, 0x6F0, 0x966, 0xFF10])
+@pytest.mark.parametrize(("text", "kind"), [("+1 (555) 010-9999", "phone"), ("4111 1111 1111 1111", "card"), ("1.2.3.4", "ip")])
+def test_digits_of_other_scripts(text, kind, zero):
+    assert pii.joined(pii.spans_of(re.sub("[0-9]", lambda m: chr(zero + int(m[0])), text))[1]) == f"{kind}:0:{len(text)}"
+
+
 def test_personal_data_against_the_patterns_on_random_texts():
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
     rng = np.random.default_rng(3)

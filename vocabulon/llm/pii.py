@@ -153,6 +153,9 @@ class Mapped:
 def _plain(c: str) -> str:
     if c in INVISIBLE:
         return ""
+    digit = unicodedata.decimal(c, None)
+    if digit is not None:
+        return str(digit)
     folded = HOMOGLYPHS.get(c) or unicodedata.normalize("NFKC", c)
     return folded if folded.isascii() and len(folded) == 1 else c
 
