@@ -92,6 +92,17 @@ def test_extraction_of_a_layout_it_was_not_fitted_on(sp):
     assert extraction.extracted(sp.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_unclosed_silent_elements_leave_the_page():
+    runs = lambda html: " ".join(t for t in dom.parse(html).text if t)
+    for name in "button select svg canvas noscript audio video datalist template".split():
+        assert runs(f"<p>a</p><{name} id=x><p>b</p>") == "a b" and runs(f"<p>a<{name}>no</{name}> c</p><{name}><p>b</p>") == "a c b"
+    for name in "script style textarea iframe xmp".split():
+        assert runs(f"<p>a</p><{name}><p>b</p>") == "a"
+    for name in "math object map".split():
+        assert runs(f"<p>a <{name}>x + 1</{name}> b</p>") == "a x + 1 b"
+    assert runs("<p>a</p>" + "<button>" * 50_000 + "b").endswith("b")  # one search for an end that isn't there
+
+
 def test_extraction_on_held_out_pages():
     trees, right, wrong, missed = extraction.model(), 0, 0, 0
     for source in extraction.generated(60, 4242):

@@ -1,8 +1,8 @@
 """A forgiving HTML reader: block elements and runs of text, in page order, with features of each.
 
 Only what features need is kept.  Inline elements belong to the run they stand in; scripts, styles,
-form controls and other elements without readable text vanish with their content; missing end tags
-are implied as browsers imply them.
+form controls and other elements without readable text vanish with their content, or alone where such
+an element is never closed and isn't raw text; missing end tags are implied as browsers imply them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(id|class|role|itemprop|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_SILENT = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg math canvas object audio video select datalist button map applet".split())
+_SILENT = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg canvas audio video select datalist button applet annotation annotation-xml".split())
+#: Without an end tag these reach to the page's end, as in browsers; of the others only the start tag goes.
+_RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 _BLOCKS = frozenset(
     "html body div p section article main header footer nav aside form fieldset details summary dialog h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address center hgroup menu search".split()
 )
@@ -91,6 +93,7 @@ def parse(source: str) -> Page:
     page, stack = Page(), [("", 0)]
     pieces: list[str] = []
     linked = [0, 0]  # open links, characters in them
+    endless = set()  # silent elements without an end tag in the rest of the page
 
     def flush() -> None:
         if pieces:
@@ -145,8 +148,13 @@ def parse(source: str) -> Page:
             continue
         if name in _SILENT:
             if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else n
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                if end:
+                    at = end.end()
+                elif name in _RAW:
+                    at = n
+                else:
+                    endless.add(name)
             if name in ("select", "button", "textarea"):
                 page.controls[stack[-1][1]] += 1
             continue
