@@ -321,6 +321,14 @@ def test_vector_search(sp):
     assert annsearch.search(df.where("false"), df).count() == 0
 
 
+def test_rows_of_the_querys_own_id_take_no_place():
+    x = np.arange(1.0, 41.0)[::-1, None] * np.ones((1, 2))
+    ids = np.concatenate((np.zeros(10, np.int64), np.arange(1, 31)))
+    near, score = annsearch.nearest(np.ones((1, 2)), np.array([0]), x, ids, 5)[0]
+    assert near.tolist() == [1, 2, 3, 4, 5] and score.tolist() == [60, 58, 56, 54, 52]
+    assert [len(a) for a, _ in annsearch.nearest(np.ones((1, 2)), np.array([0]), x[:12], ids[:12], 5)] == [2]
+
+
 # --- 7 --------------------------------------------------------------------------------------------
 
 

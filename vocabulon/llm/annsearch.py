@@ -103,7 +103,8 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
     out = []
     for lo in range(0, len(q), 256):
         rough = q[lo : lo + 256] @ x.T
-        kk = min(k + 1, rough.shape[1])
+        rough[q_ids[lo : lo + 256, None] == x_ids[None, :]] = -np.inf  # however many rows have the query's id
+        kk = min(k, rough.shape[1])
         floor = np.partition(rough, rough.shape[1] - kk, axis=1)[:, rough.shape[1] - kk] - 1e-9
         for i in range(len(rough)):
             at = np.flatnonzero(rough[i] >= floor[i] - 1e-9 * abs(floor[i]))
