@@ -37,8 +37,8 @@ def build(df: DataFrame, key: str, blocks: int) -> DataFrame:
     return merged.agg(F.array_sort(F.collect_list(F.struct("slot", "bits"))).alias("all")).select(F.col("all.bits").alias("bloom"))
 
 
-def filtered(rows: DataFrame, key: str, listed: DataFrame, listed_key: str, listed_count: int, max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """``rows`` whose ``key`` may be in ``listed``; those with a null key are not.
+def filtered(rows: DataFrame, key: str, listed: DataFrame, listed_key: str, listed_count: int, max_blocks: int = MAX_BLOCKS, keep: bool = True) -> DataFrame:
+    """``rows`` whose ``key`` may be in ``listed``; those with a null key are not.  Without ``keep``, all others.
 
     The filter is made once, as the value of a session variable, which the plan holds as a literal.
     """
@@ -49,7 +49,8 @@ def filtered(rows: DataFrame, key: str, listed: DataFrame, listed_key: str, list
     spark.sql(f"set var {name} = (select bloom from {name})")
     bits = F.expr(f"session.{name}")
     tests = [F.getbit(F.get(bits, slot), bit) == 1 for slot, bit in _slots(F.col(key), blocks)]
-    found = rows.where(F.col(key).isNotNull() & reduce(lambda a, b: a & b, tests))
+    hit = F.col(key).isNotNull() & reduce(lambda a, b: a & b, tests)
+    found = rows.where(hit if keep else ~hit)
     spark.sql(f"drop temporary variable {name}")
     spark.catalog.dropTempView(name)
     return found

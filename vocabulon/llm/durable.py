@@ -2,6 +2,7 @@
 
 Intermediate tables are written as Parquet to the folder in ``spark.checkpoint.dir``, which
 driver and executors share.  Only a local session without that setting gets a folder of its own.
+A table goes as soon as nothing reads it any more (``dropped``), at the latest when the driver ends.
 """
 
 from __future__ import annotations
@@ -42,4 +43,17 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/vocabulon/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written ``tables`` that nothing reads any more.
+
+    Shuffle files of finished jobs go when the driver's collector finds their plans unreachable, so it is run.
+    """
+    for t in tables:
+        _delete(t.sparkSession, t._scratch)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()

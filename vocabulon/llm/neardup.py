@@ -1,46 +1,55 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
-1. Of each document's shingle set the ``K`` least hashes are kept.  Equal sets form a class, whose
-   document with the smallest id stands for it from here on.
+1. Of each document's shingle set the ``K`` least hashes are kept.  Equal sets form a class, which one
+   document stands for from here on.
 2. Retained values are looked up by runs: ``RUN`` values that follow each other in the sketch.  Where
    two sets of similarity 0.8 differ they break their common values into runs, one of which has
    four values or more, by counting for whole sets of 16 values or more (two, for smaller ones),
    and for sketches that leave values out but for a chance of 0.8 ** K, 2e-8.  A run of four is met by
    chance so rarely that lists stay short however many documents share a word pair or a passage.
-3. Inverted lists of runs generate the overlaps in rounds.  First every document meets one pivot of
-   each of its lists, so a group of near-copies costs a row a document, not a pair of each two, and
-   again with other pivots while lists hold many documents that are still apart.  Then documents
-   meet each other across what is left.  The bottom-k sketch of the union estimates similarity and
-   drops what is far below the threshold; the full sets decide the rest.
-4. Links join components; a pair within one component is never looked at again.
+3. Each class meets the hub of its longest list, the member that stands in the longest lists: a group
+   of near-copies costs a row a document, not a pair of each two.
+4. Classes that still share a list with another component keep a wider sketch of ``WIDE`` values, the
+   whole set for most.  Its values are ordered by how rare they are and only the rarest are listed:
+   two sets above the threshold share so many values that one of them is among the first few of
+   both, by counting for whole sets and but for a chance of 1e-8 for longer ones.  Members of a group
+   that each differ by more than the threshold list their own words alone and never meet, however
+   many they are.  Who is in one component with most of a list meets the others of it only.
+5. Candidates meet in cells: every group is dealt into blocks of bounded size, and a text goes once
+   to each pair of blocks that it has a candidate in, not once a pair.  There the bottom-k sketch
+   of the union drops what is far below the threshold, and the full sets decide the rest.
 
 Similarity is exact for every link: intersection and union of the full sets of distinct shingles,
 by 64-bit hashes.
 
 Defined cases: null text and texts without words have empty sets and link with nothing; with fewer
 words than a shingle has, the whole sequence is the one shingle; rows with a null id stay alone;
-rows that share an id are one document, as an id stands for one; empty tables give no rows.
+rows that share an id are one document, linked with whatever any of them links with; empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from . import textkernel as tk
 from .components import components
-from .durable import written
+from .durable import dropped, written
 
-WORDS, SIMILARITY, K = 5, 80, 80
+WORDS, SIMILARITY, K, WIDE = 5, 80, 80, 1000
 RUN, SHORT_RUN, SHORT_SET, ANY_RUN = 4, 2, 19, 16
-MOST_STARS, APART, WORTH = 5, 8, 0.1
+#: A block holds so many shingles or one document; a cell meets two blocks.
+BLOCK_VALUES = 100_000
 SHARE = 0.56
 SIGN = np.uint64(1 << 63)
+BLOOM_BLOCKS = 1 << 17
 
 
 def shingles(w: tk.Words, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,11 +75,20 @@ def shingles(w: tk.Words, words: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], values[new]
 
 
-def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
-    """doc_id, n (size of its set), set1, set2 (128 bits of the set), sketch (its k least hashes).
+def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted hashes of its shingles) of every row."""
+    for lo, hi, w in tk.slices(texts):
+        rows, h = shingles(w, words)
+        yield from enumerate(np.split(h, np.searchsorted(rows, np.arange(1, hi - lo))), lo)
+
+
+def _least(h: np.ndarray, bounds: np.ndarray, kept: np.ndarray) -> pa.ListArray:
+    """Lists of hashes with the sign bit flipped, so that signed order is the order in which the least were chosen."""
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((h[kept] ^ SIGN).view(np.int64)))
 
-    Hashes are kept with the sign bit flipped, so that signed order is the order in which the least were chosen.
-    """
+
+def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
+    """doc_id, t (hash of the text), n (size of its set), set1, set2 (128 bits of the set), sketch (its k least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,20 +103,25 @@ def sketches(docs: DataFrame, words: int = WORDS, k: int = K) -> DataFrame:
                     with np.errstate(over="ignore"):
                         sums[0, full] = np.add.reduceat(tk.mix(h), first[full])
                         sums[1, full] = np.bitwise_xor.reduceat(tk.mix(h + np.uint64(5)), first[full])
-                place = np.arange(len(h)) - first[rows]
-                kept = place < k
+                kept = np.arange(len(h)) - first[rows] < k
                 bounds = np.concatenate(([0], np.cumsum(np.minimum(size, k))))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id")[lo:hi], pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in sums),
-                        pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((h[kept] ^ SIGN).view(np.int64))),
-                    ],
-                    ["doc_id", "n", "set1", "set2", "sketch"],
-                )
-
-    picked = docs.select("doc_id", "text")
+                    [b.column("doc_id")[lo:hi], b.column("t")[lo:hi], pa.array(size, pa.int64()), *(pa.array(x.view(np.int64)) for x in sums), _least(h, bounds, kept)],
+                    ["doc_id", "t", "n", "set1", "set2", "sketch"],
+                )
+
+    picked = docs.select("doc_id", _text_hash(), "text")
     kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(run, f"doc_id {kind}, n long, set1 long, set2 long, sketch array<long>")
+    return picked.mapInArrow(run, f"doc_id {kind}, t long, n long, set1 long, set2 long, sketch array<long>")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text").alias("t")
+
+
+def _class() -> Column:
+    """64 bits of a set; two sets that agree in it meet in vain, never take each other's place."""
+    return F.xxhash64("n", "set1", "set2").alias("cls")
 
 
 def runs(sketched: DataFrame) -> DataFrame:
@@ -107,124 +130,243 @@ def runs(sketched: DataFrame) -> DataFrame:
     Sets of up to SHORT_SET values have short runs, sets from ANY_RUN values on long ones, so two sets that
     may be linked have one kind in common.
     """
+
     def windows(width: int) -> str:
         values = ", ".join(f"sketch[i + {j}]" for j in range(width))
         return f"transform(sequence(0, size(sketch) - {width}), i -> xxhash64({values}))"
 
     none = "cast(array() as array<bigint>)"
     keys = F.expr(f"concat(if(n between {SHORT_RUN} and {SHORT_SET}, {windows(SHORT_RUN)}, {none}), if(n >= {ANY_RUN}, {windows(RUN)}, {none}))")
-    return sketched.where("doc_id is not null and n > 0").select(F.explode(keys).alias("run"), F.xxhash64("n", "set1", "set2").alias("cls"))
+    return sketched.where("doc_id is not null and n > 0").select(F.explode(keys).alias("run"), _class())
 
 
-def lists_of(sketched: DataFrame, classes: DataFrame) -> DataFrame:
-    """(run, doc, n): the members of the lists that hold two classes or more."""
+def lists_of(sketched: DataFrame) -> DataFrame:
+    """(run, cls, m): the members of the lists that hold two classes or more, and how many rows name the list."""
     posts = runs(sketched)
-    shared = posts.groupBy("run").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("run")
-    members = written(posts.join(shared, "run").distinct(), "members")
-    # lists with the same members generate the same overlaps: one of them is enough
-    alike = members.groupBy("run").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-    one = alike.groupBy("m", "x", "y").agg(F.min("run").alias("run")).select("run")
-    return members.join(one, "run").join(classes.select(F.xxhash64("n", "set1", "set2").alias("cls"), F.col("rep").alias("doc"), "n"), "cls").select("run", "doc", "n")
-
-
-def _estimated(pairs: DataFrame, sketched: DataFrame, k: int) -> DataFrame:
-    """``pairs`` (a, b) whose union sketch leaves the threshold possible, with the share of it that both have."""
-    s = sketched.select("doc_id", "sketch")
-    both = (
-        pairs.join(s.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(s.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-    )
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    share = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) / F.size(union)
-    return both.select("a", "b", share.alias("share")).where(F.col("share") >= SHARE)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = bloom.filtered(docs.select("doc_id", "text"), "doc_id", ids, "doc_id", 2 * pairs.count(), 1 << 17)
-    both = (
-        texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}).join(pairs.hint("shuffle_hash"), "a")
-        .join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-    )
+    bounds = posts.groupBy("run").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("m"))
+    shared = written(bounds.where("lo < hi").select("run", "m"), "shared")
+    possible = bloom.filtered(posts, "run", shared.withColumnRenamed("run", "listed"), "listed", shared.count(), BLOOM_BLOCKS)
+    members = written(possible.distinct().join(shared, "run"), "members")
+    dropped(shared)
+    return members
+
+
+def _hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, rep, t, n, hub, block of the classes in lists; the blocks of a hub's classes hold BLOCK_VALUES or so."""
+    top = members.groupBy("cls").agg(F.max(F.struct("m", "run")).alias("top"), F.sum("m").alias("reach")).select("cls", F.col("top.run").alias("run"), "reach")
+    hub = top.groupBy("run").agg(F.max(F.struct("reach", "cls")).alias("h")).select("run", F.col("h.cls").alias("hub"))
+    rows = written(top.join(hub, "run").select("cls", "hub").join(classes.select("cls", "rep", "t", "n"), "cls"), "hubs")
+    blocks = rows.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_VALUES).alias("blocks"))
+    return rows.join(blocks, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls", F.lit(1)), "blocks"))).drop("blocks")
+
+
+def _texts_of(docs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``hubs`` with the text of each class: rows that can't be wanted are dropped before they move."""
+    wanted = hubs.select(F.col("rep").alias("doc_id"), *[c for c in hubs.columns if c != "rep"])
+    rows = bloom.filtered(docs.select("doc_id", _text_hash(), "text"), "doc_id", wanted.select(F.col("doc_id").alias("listed")), "listed", wanted.count(), BLOOM_BLOCKS)
+    once = rows.groupBy("doc_id", "t").agg(F.first("text").alias("text"))  # a row that is there many times
+    return once.join(wanted, ["doc_id", "t"]).drop("t").withColumnRenamed("doc_id", "rep")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: int, k: int) -> DataFrame:
+    """(a, b): the nodes of those ``pairs`` (a, b, cell: classes and where they meet) whose full sets reach the similarity.
+
+    ``texts`` has cls, node, text.  A cell's texts of ``a`` are held, which are a block's at most, and those of ``b`` stream by.
+    """
+    held = pairs.select("cell", F.col("a").alias("cls")).distinct().select("cell", "cls", F.lit(None).cast("array<bigint>").alias("others"))
+    others = pairs.groupBy("cell", F.col("b").alias("cls")).agg(F.collect_set("a").alias("others"))
+    rows = held.unionByName(others).join(texts.select("cls", "node", "text"), "cls")
+    kind = texts.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, own = None, _Cell(similarity, k)
+        for b in batches:
+            cells, cls, nodes, lists = b.column("cell").to_pylist(), b.column("cls").to_pylist(), b.column("node").to_pylist(), b.column("others")
+            left, right = [], []
+            for i, h in _sets(b.column("text"), words):
+                if cells[i] != cell:
+                    cell, own = cells[i], _Cell(similarity, k)
+                if not lists[i].is_valid:
+                    own.hold(cls[i], nodes[i], h)
+                else:
+                    for other in own.linked(lists[i].as_py(), h):
+                        left.append(other)
+                        right.append(nodes[i])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, b.column("node").type), pa.array(right, b.column("node").type)], ["a", "b"])
+
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", F.col("others").isNotNull())
+    return dealt.select("cell", "cls", "node", "others", "text").mapInArrow(run, f"a {kind}, b {kind}").where("a <> b").distinct()
+
+
+class _Cell:
+    """The sets held in a cell, and which of them a set that passes links with."""
+
+    def __init__(self, similarity: int, k: int):
+        self.similarity, self.k = similarity, k
+        self.at: dict[int, list[int]] = {}
+        self.nodes: list = []
+        self.sets: list[np.ndarray] = []
+        self.flat = None
+
+    def hold(self, cls: int, node, h: np.ndarray) -> None:
+        self.at.setdefault(cls, []).append(len(self.sets))
+        self.nodes.append(node)
+        self.sets.append(h)
+        self.flat = None
+
+    def _settle(self) -> None:
+        self.n = np.array([len(s) for s in self.sets], np.int64)
+        self.start = np.concatenate(([0], np.cumsum(self.n)))[:-1]
+        self.flat = np.concatenate(self.sets)
+        last = np.minimum(self.start + self.k, self.start + self.n) - 1
+        #: Up to here a sketch knows all values of its set; everything, where the sketch is the set.
+        self.known = np.where(self.n > self.k, self.flat[last], np.uint64(2**64 - 1))
+
+    def _values(self, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first ``n`` values of the held sets ``x``, and where each set's begin."""
+        first = np.concatenate(([0], np.cumsum(n)))[:-1]
+        return self.flat[np.arange(int(n.sum())) + np.repeat(self.start[x] - first, n)], first
+
+    @staticmethod
+    def _among(values: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return h[np.minimum(np.searchsorted(h, values), len(h) - 1)] == values
+
+    def linked(self, others: list[int], h: np.ndarray) -> list:
+        if self.flat is None:
+            if not self.sets:
+                return []
+            self._settle()
+        x = np.array([i for c in others for i in self.at.get(c, ())], np.int64)
+        ny, s = len(h), self.similarity
+        x = x[100 * np.minimum(self.n[x], ny) >= s * np.maximum(self.n[x], ny)]
+        if not len(x):
+            return []
+        # union sketch: the values of both up to where both sketches know all
+        size = np.minimum(self.n[x], self.k)
+        values, first = self._values(x, size)
+        upto = np.minimum(self.known[x], h[self.k - 1] if ny > self.k else np.uint64(2**64 - 1))
+        under = values <= np.repeat(upto, size)
+        common = np.add.reduceat(under & self._among(values, h[: self.k]), first, dtype=np.int64)
+        union = np.add.reduceat(under, first, dtype=np.int64) + np.searchsorted(h[: self.k], upto, "right") - common
+        x = x[common >= SHARE * union]
+        if not len(x):
+            return []
+        values, first = self._values(x, self.n[x])
+        common = np.add.reduceat(self._among(values, h), first, dtype=np.int64)
+        return [self.nodes[i] for i in x[100 * common >= s * (self.n[x] + ny - common)]]
+
+
+def _wide(texts: DataFrame, words: int) -> DataFrame:
+    """cls, n, root, block, values (the WIDE least hashes) of ``texts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 50):
-                b = batch.slice(lo, 50)
-                own = []
-                for c in ("ta", "tb"):
-                    offset, rows, values = 0, [], []
-                    for first, last, w in tk.slices(b.column(c)):
-                        r, h = shingles(w, words)
-                        rows.append(r + first)
-                        values.append(h)
-                        offset += last - first
-                    rows, values = np.concatenate(rows), np.concatenate(values)
-                    own.append(np.split(values, np.searchsorted(rows, np.arange(1, b.num_rows))))
-                keep = []
-                for x, y in zip(*own, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= similarity * (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, pairs.select("a", "b").schema).distinct()
+        for b in batches:
+            sets = [h for _, h in _sets(b.column("text"), words)]
+            short = [h[:WIDE] for h in sets]
+            bounds = np.concatenate(([0], np.cumsum([len(h) for h in short], dtype=np.int64)))
+            flat = np.concatenate(short) if short else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("cls"), pa.array([len(h) for h in sets], pa.int64()), b.column("node"), b.column("block"), _least(flat, bounds, slice(None))],
+                ["cls", "n", "root", "block", "values"],
+            )
+
+    kind = texts.schema["node"].dataType.simpleString()
+    return texts.select("cls", "node", "block", "text").mapInArrow(run, f"cls long, n long, root {kind}, block long, values array<long>")
+
+
+def _rare_pairs(wide: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, cell): pairs of different components that share a value which is rare for both.
+
+    In one order of all values, rare ones first, two sets that share c values and have x and y share one of
+    the first x - c + 1 and y - c + 1.  For whole sets c is the least overlap at the threshold; where one
+    is longer than WIDE, c is what two wide sketches share but for a chance of 1e-8 (5.6 standard deviations).
+    Values of one document alone only count: they stand before all others.
+    """
+    s = similarity / 100
+    least = math.floor(WIDE * s - 5.6 * math.sqrt(WIDE * s * (1 - s)))
+    few = f"least(n, {WIDE})"
+    posts = wide.select("cls", F.explode("values").alias("v"))
+    twice = posts.groupBy("v").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    ranked = posts.join(twice, "v").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("l"))
+    # the most that any partner can ask for: one as small as can be, or one longer than WIDE
+    most = f"if(n <= {WIDE}, greatest(n - ceil({similarity} * n / 100), n - {least}), {WIDE} - {least}) + 1"
+    listed = (
+        ranked.join(wide.select("cls", "n", "root", "block"), "cls").withColumn("alone", F.expr(f"{few} - size(l)"))
+        .withColumn("l", F.expr(f"slice(l, 1, greatest(0, {most} - alone))"))
+        .select("cls", "n", "root", "block", "alone", F.posexplode("l").alias("p", "e")).select(F.col("e.v").alias("v"), "cls", "n", "root", "block", F.expr("alone + p").alias("p"))
+    )
+    listed = written(listed, "listed")
+    per_root = listed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
+    lists = per_root.groupBy("v").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("v", F.col("m.root").alias("most"))
+    live = written(listed.join(lists, "v").withColumn("minor", F.expr("root <> most")).drop("most"), "live")
+    dropped(listed)
+    a, b = (live.select("v", *[F.col(c).alias(c + x) for c in live.columns if c != "v"]) for x in "ab")
+    # a is the longer one
+    both_whole, overlap = f"na <= {WIDE}", f"ceil({similarity} * (na + nb) / {100 + similarity})"
+    fits = F.expr(
+        f"roota <> rootb and (na > nb or (na = nb and clsa > clsb)) and 100 * nb >= {similarity} * na"
+        f" and pa <= if({both_whole}, na - {overlap}, {WIDE} - {least}) and pb <= if({both_whole}, nb - {overlap}, least(nb, {WIDE}) - {least})"
+    )
+    met = a.where("minora").join(b, "v").where(fits).unionByName(a.where("not minora").join(b.where("minorb"), "v").where(fits))
+    pairs = met.select(F.col("clsa").alias("a"), F.col("clsb").alias("b"), F.xxhash64("blocka", "blockb").alias("cell")).distinct()
+    found = written(pairs, "pairs")
+    dropped(live)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     sketched = written(sketches(docs, words, k), "sketches")
-    full = sketched.where("doc_id is not null and n > 0")
-    classes = written(full.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("rep")), "classes")
-    lists = written(lists_of(sketched, classes), "lists")
-    reps = written(sketched.join(lists.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "sketch").distinct(), "reps")
-    fits = F.expr(f"100 * least(na, nb) >= {similarity} * greatest(na, nb)")
-    links = roots = tried = None
-    total = lists.count()
-
-    def linked(more: DataFrame) -> tuple[DataFrame, DataFrame]:
-        every = written(more if links is None else links.unionByName(more), "links")
-        return every, written(components(every), "roots")
-
-    for r in range(MOST_STARS):
-        members = lists.withColumn("root", F.col("doc")) if roots is None else (
-            lists.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        )
-        order = F.struct((F.xxhash64("root", F.lit(r)) if r else F.col("doc")).alias("key"), "doc", "n", "root")
-        pivot = members.groupBy("run").agg(F.min(order).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 < r1")
-        if r:
-            pivot = written(pivot, "pivots")
-            if gained < WORTH * asked or (pivot.agg(F.sum(F.col("m") * F.col("m"))).first()[0] or 0) <= APART * total:
-                break
-        pairs = (
-            members.join(pivot, "run").where("root <> p.root")
-            .select(F.greatest("doc", "p.doc").alias("a"), F.least("doc", "p.doc").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(fits).select("a", "b").distinct()
-        )
-        # of its pivots a document first tries the likeliest
-        likely = _estimated(pairs, reps, k).groupBy("a").agg(F.max(F.struct("share", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        likely = written(likely, "likely")
-        tried = likely if tried is None else tried.unionByName(likely)
-        asked, before = likely.count(), 0 if links is None else links.count()
-        links, roots = linked(_verified(docs, likely, words, similarity))
-        gained = links.count() - before
-    left = members.join(pivot.select("run"), "run")
-    a, b = (left.select("run", *[F.col(c).alias(c + x) for c in ("doc", "n", "root")]) for x in "ab")
-    pairs = (
-        a.join(b, "run").where("doca > docb and roota <> rootb").where(fits)
-        .select(F.col("doca").alias("a"), F.col("docb").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    )
-    rest = written(_estimated(pairs, reps, k).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        links, roots = linked(_verified(docs, rest, words, similarity))
-    whole = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("n", "set1", "set2", F.coalesce("root", "rep").alias("component"))
-    return (
-        sketched.join(whole, ["n", "set1", "set2"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    )
+    key = ["n", "set1", "set2"]
+    per_set = sketched.where("doc_id is not null and n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("r"))
+    classes = written(per_set.select(_class(), *key, F.col("r.doc_id").alias("rep"), F.col("r.t").alias("t")), "classes")
+    own = written(sketched.select("doc_id", *key).join(classes.select(*key, "rep"), key, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "own")
+    several = own.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    one_id = own.join(several, "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
+    members = lists_of(sketched)
+    dropped(sketched)
+    texts = written(_texts_of(docs, _hubs(members, classes)), "texts")
+
+    stars = texts.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.xxhash64("hub", "block").alias("cell"))
+    links = _verified(stars, texts.withColumn("node", F.col("rep")), words, similarity, k)
+    first = written(components(links.unionByName(one_id)), "roots")
+    known = texts.select("cls", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", F.coalesce("root", "rep").alias("node"))
+    known = written(known, "known")
+    open_ = members.join(known.select("cls", "node"), "cls").groupBy("run").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("run")
+    live = members.join(open_, "run").select("cls").distinct()
+    apart = written(texts.join(live, "cls", "left_semi").join(known, ["cls", "rep"]), "apart")
+    dropped(members, texts)
+    wide = written(_wide(apart, words), "wide")
+    more = components(_verified(_rare_pairs(wide, similarity), apart, words, similarity, k))
+    dropped(wide, apart)
+    second = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    # a class in no list is its own root; one that the hub left alone may be linked by the second step only
+    alone = known.select(F.col("rep").alias("node"), F.col("node").alias("root")).unionByName(first.select("node", "root")).distinct()
+    whole = written(alone.join(second, "root", "left").select(F.col("node").alias("rep"), F.coalesce("top", "root").alias("component")), "components")
+    return own.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def row_key() -> Column:
+    """Sorts as the id does, for whole numbers from 0 on, null last, and tells texts of one id apart."""
+    return F.concat(F.coalesce(F.lpad(F.hex("doc_id"), 16, "0"), F.lit("null")), F.lit("-"), F.md5(F.to_json(F.struct("doc_id", "text"))))
 
 
 def first_of_each(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, k: int = K) -> DataFrame:
-    """The documents that stand for their group, with their own columns; rows with a null id stay."""
-    found = written(near_duplicates(docs, words, similarity, k), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group, the first by id, with its own columns.
+
+    Here each text is a document, also where several have one id or none; rows with one id and one text are one document, so
+    one of them stays.  Only rows that are to go or are there several times move, and the few that the filter lets through with them.
+    """
+    found = written(near_duplicates(docs.select(row_key().alias("doc_id"), "text"), words, similarity, k), "groups")
+    per_row = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    moved = written(per_row.where("rows > 1 or doc_id <> component_id").select(F.col("doc_id").alias("key"), (F.col("doc_id") == F.col("component_id")).alias("stays")), "moved")
+    dropped(found)
+    rows = docs.withColumn("_key", row_key())
+    count = moved.count()
+    listed = moved.select(F.col("key").alias("listed"))
+    suspects = bloom.filtered(rows, "_key", listed, "listed", count, BLOOM_BLOCKS)
+    clear = bloom.filtered(rows, "_key", listed, "listed", count, BLOOM_BLOCKS, keep=False)
+    once = suspects.groupBy("_key").agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("doc"))
+    stay = once.join(moved.where("not stays").withColumnRenamed("key", "_key"), "_key", "left_anti").select("doc.*")
+    return clear.select(*docs.columns).unionByName(stay)
