@@ -229,7 +229,21 @@ def test_substrings_against_brute_force(sp, docs):
             if i is not None and first[tuple(w[k : k + 50])] < i:
                 gone |= set(range(k, k + 50))
         want[i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()] += 1
-    assert Counter(map(tuple, substrings.deduplicated(df).collect())) == want
+    got = substrings.deduplicated(df).collect()
+    assert Counter(tuple(r)[:4] for r in got) == want
+    spans = {}
+    for i, t in df.collect():
+        if i is not None:
+            for n in (50, 100, 200, 400):
+                w = WORD.findall(t or "")
+                for k in range(len(w) - n + 1):
+                    spans.setdefault((n, tuple(w[k : k + n])), set()).add(i)
+    level = Counter()
+    for (n, _), ids in spans.items():
+        for i in ids if len(ids) > 1 else ():
+            level[i] = max(level[i], n)
+    # of rows that share an id, those without the passage have a lower level
+    assert {i: max(r["level"] for r in got if r["doc_id"] == i) for i in {r["doc_id"] for r in got if r["doc_id"] is not None}} == {r["doc_id"]: level[r["doc_id"]] for r in got if r["doc_id"] is not None}
     assert sum(k[2] for k in want) > 200
     assert substrings.deduplicated(df.where("false")).count() == 0
 
@@ -368,7 +382,7 @@ def test_mixing_meets_targets(sp):
     rng = np.random.default_rng(0)
     rows = [(i, ["b", "a", None, "c", "tiny"][int(rng.choice(5, p=[0.4, 0.3, 0.1, 0.19, 0.01]))], int(rng.integers(0, 400))) for i in range(9000)]
     df = sp.createDataFrame([*rows, rows[5]], "doc_id long, source string, size long")
-    got = mixing.taken(df).collect()
+    got = mixing.per_row(mixing.taken(df)).collect()
     sizes, taken = Counter(), Counter()
     for r in got:
         assert 0 <= r["copies"] <= 3
@@ -377,7 +391,7 @@ def test_mixing_meets_targets(sp):
     goal = water(sizes)
     assert len(got) == 9001 and all(r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(goal[r["source"]]) for r in got)
     assert all(abs(taken[k] - goal[k]) <= max(60, 0.005 * goal[k]) for k in goal)
-    again = mixing.taken(df.repartition(7)).collect()
+    again = mixing.per_row(mixing.taken(df.repartition(7))).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
@@ -387,7 +401,38 @@ def test_flight_keeps_both_totals():
     x = mixing.flight(p, size, rng)
     assert ((x > 0) & (x < 1)).sum() <= 2
     assert x.sum() == pytest.approx(p.sum(), abs=1e-5) and (x * size).sum() == pytest.approx((p * size).sum(), abs=1e-3)
-    assert set(np.unique(mixing.landing(p, size, rng))) <= {0.0, 1.0}
+    left = x[(x > 0) & (x < 1)]
+    landed = np.array([mixing.landing(left, rng) for _ in range(4000)])
+    assert set(np.unique(landed)) <= {0.0, 1.0} and np.abs(landed.sum(axis=1) - left.sum()).max() < 1
+    assert landed.mean(axis=0) == pytest.approx(left, abs=0.04)
+    drawn = np.mean([mixing.flight(np.full(4, 0.3), np.array([5, 50, 50, 900]), rng) for _ in range(4000)], axis=0)
+    assert drawn == pytest.approx(np.full(4, 0.3), abs=0.04)
+
+
+@pytest.mark.parametrize("n", [5, 500, 50_000])
+def test_mixing_keeps_documents_and_tokens_of_each_source(sp, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, f"s{i % 3}", int(s)) for i, s in enumerate(np.exp(rng.normal(5, 1, 3 * n)).astype(int) + 1)]
+    got = mixing.taken(sp.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    for _, g in got.groupby("source"):
+        rate = g["target"].iloc[0] / g["source_size"].iloc[0]
+        copies = g["whole"] + g["extra"]
+        short = np.sort(g["size"])[max(2, n // 10) if n > 5 else 4]
+        assert abs(copies.sum() - rate * n) < 1 + 1e-6
+        assert abs((copies * g["size"]).sum() - g["target"].iloc[0]) <= short + 1e-3
+
+
+def test_mixing_takes_repeated_rows_as_often(sp):
+    rows = [(i, "a", 10 + i) for i in range(40)] + [(7, "b", 30)] * 2500 + [(8, "b", 5)]
+    got = mixing.per_row(mixing.taken(sp.createDataFrame(rows, "doc_id long, source string, size long"))).toPandas()
+    assert len(got) == len(rows) and (got["doc_id"] == 7).sum() >= 2500
+    for _, g in got.groupby("source"):
+        assert abs((g["size"] * g["copies"]).sum() - g["target"].iloc[0]) <= 45 and g["copies"].max() <= 3
+    docs = sp.createDataFrame([(i, f"w{i} x y z", "a") for i in range(30)] + [(1007, "one two three", "b")] * 1200, "doc_id long, text string, source string")
+    mix = Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
+    sizes = {"a": 30 * 4 + 0, "b": 3600}
+    goal = water(sizes)
+    assert abs(3 * mix[1007] - goal["b"] - 12) <= 16
 
 
 def test_mixed_documents_are_repeated_whole(sp, docs):

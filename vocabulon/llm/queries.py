@@ -75,7 +75,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = _read(spark, sf_dir, "documents")
-    mix = mixing.taken(docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size")))
+    mix = mixing.per_row(mixing.taken(docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -103,15 +103,23 @@ select page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') as verd
 """
 
 OP4_SQL = """
-with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+with recursive words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
 windows as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as s from words, lateral unnest(range(1, len(w) - 48)) as t(i)),
 firsts as (select s, min(doc_id) as first_id from windows group by s having min(doc_id) < max(doc_id)),
-gone as (select distinct windows.doc_id, k from windows join firsts using (s), lateral unnest(range(i, i + 50)) as u(k) where first_id < windows.doc_id),
+repeated as (select windows.doc_id, i, md5(s) as h, first_id from windows join firsts using (s)),
+doubled(n, doc_id, i, h) as (
+  select 50, doc_id, i, h from repeated
+  union all
+  select 2 * x.n, x.doc_id, x.i, md5(x.h || y.h) from doubled x join doubled y on x.n = y.n and x.doc_id = y.doc_id and y.i = x.i + x.n),
+levels as (
+  select doc_id, max(n) as level from doubled join (select n, h from doubled group by n, h having min(doc_id) < max(doc_id)) using (n, h) group by doc_id),
+gone as (select distinct doc_id, k from repeated, lateral unnest(range(i, i + 50)) as u(k) where first_id < doc_id),
 kept as (
   select doc_id, len(w) as n_words, count(k) as n_removed, coalesce(string_agg(word, ' ' order by p) filter (where k is null), '') as text
   from (select words.doc_id, w, p, w[p] as word, gone.k from words left join lateral unnest(range(1, len(w) + 1)) as t(p) on true
         left join gone on gone.doc_id = words.doc_id and gone.k = p) group by doc_id, w)
-select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(text) as kept_sha256 from kept
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(text) as kept_sha256, cast(coalesce(level, 0) as bigint) as level
+from kept left join levels using (doc_id)
 """
 
 

@@ -4,7 +4,9 @@ Level one looks at windows of half the deciding width.  Of every stretch of that
 window with the least hash, so two documents that share a stretch share its chosen window, and one
 window in thirteen is moved instead of all.  Only those that occur in two different documents are
 extended to twice the length; of these, again only repeated ones survive, and they decide which
-words go.  Doubling ends with the deciding width: what survives longer repeats the same words.
+words go.  Survivors go on: a window of twice the length is made of two neighbours that survived, and
+its hash of theirs, so no text is read again; until a level has no survivor.  The levels beyond the
+deciding width remove no further word, they tell how long a document's repeated passages are.
 
 Whole documents that equal an earlier one need no windows: all their words go, if they have enough
 of them, and what they repeat is repeated by the earliest copy as well.  So a group of copies that
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +30,19 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import textkernel as tk
-from .durable import written
+from .durable import dropped, written
 
 WIDTH = 50
 _SECOND_BASE = 0x8CB92BA72F3D8DD7
 tk._INV[_SECOND_BASE] = pow(_SECOND_BASE, -1, 1 << 64)
 
 
+#: Rows that are equal in id and text share it, and everything else about them.
+KEY = ["doc_id", "rk"]
+
+
 def row_key() -> Column:
-    """Tells rows apart; rows that are equal in id and text share it, and everything else about them."""
+    """Tells the rows of one id apart."""
     return F.xxhash64("doc_id", "text")
 
 
@@ -132,45 +139,82 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             gone = np.cumsum(cover[:-1]) > 0
             removed.append(int(gone.sum()))
             sha.append(hashlib.sha256(b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g])).digest())
-        yield pa.RecordBatch.from_arrays([b.column("rk"), pa.array(removed, pa.int64()), pa.array(sha, pa.binary())], ["rk", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rk"), pa.array(removed, pa.int64()), pa.array(sha, pa.binary())], [*KEY, "n_removed", "kept"])
 
 
 def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(rk, text) of the documents whose key is in ``rows`` (rk), and few others: filtered before they move."""
-    return bloom.filtered(docs.select("doc_id", row_key().alias("rk"), "text"), "rk", rows, "rk", rows.count(), 1 << 17)
+    """(doc_id, rk, text) of the documents whose key is in ``rows`` (doc_id, rk), and few others: filtered before they move."""
+    return bloom.filtered(docs.select("doc_id", row_key().alias("rk"), "text"), "rk", rows.select("rk"), "rk", rows.count(), 1 << 17)
+
+
+def _shared(windows: DataFrame) -> DataFrame:
+    """The ``windows`` (key, start, a, b) that start in two documents or more, with ``lo``, the smallest id they start in.
+
+    The list of shared windows is written before the join, so both sides are plain shuffles and a window that a third of all
+    documents hold is split over tasks.
+    """
+    bounds = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    return windows.join(written(bounds.select("a", "b", "lo"), "shared"), ["a", "b"])
 
 
-def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
-    """Heads with ``first_id`` (the smallest id with the same words), and the windows of ``width`` words
-    (rk, doc_id, start) whose words also start in a document with a smaller id."""
+def _doubled(kept: DataFrame, width: int) -> DataFrame:
+    """Windows of twice ``width`` words made of two neighbouring windows of ``kept``: their hashes are those of the halves."""
+    rows = kept.groupBy(*KEY).agg(F.map_from_entries(F.collect_set(F.struct("start", F.struct("a", "b")))).alias("at"))
+    pairs = F.expr(f"filter(transform(map_entries(at), e -> struct(e.key as start, e.value as x, try_element_at(at, e.key + {width}) as y)), e -> e.y is not null)")
+    both = rows.select(*KEY, F.explode(pairs).alias("e"))
+    return both.select(*KEY, "e.start", F.xxhash64("e.x.a", "e.y.a", "e.x.b").alias("a"), F.xxhash64("e.y.b", "e.x.b", "e.y.a", F.lit(width)).alias("b"))
+
+
+def levels(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """Heads with ``first_id`` and ``last_id`` (smallest and largest id with the same words), and per level from ``width`` words on the repeated
+    windows (doc_id, rk, start, lo: the smallest id they start in), until a level has none."""
     own = written(heads(docs, width), "heads")
-    copies = own.where("doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("first_id"))
+    copies = written(own.where("doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")), "copies")
     head = own.join(copies, "seq", "left")
-    anchors = written(head.where("doc_id = first_id").select("doc_id", "rk", F.explode("anchors").alias("h")), "anchors")
-    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    live = written(anchors.join(shared, "h").groupBy("rk").agg(F.collect_set("h").alias("live")), "live")
+    anchors = written(head.where("doc_id = first_id").select(*KEY, F.explode("anchors").alias("h")), "anchors")
+    shared = written(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "shared")
+    live = written(anchors.join(shared, "h").groupBy(*KEY).agg(F.collect_set("h").alias("live")), "live")
+    dropped(anchors, shared)
     wide = (
-        _texts_of(docs, live).join(live.hint("shuffle_hash"), "rk")
+        _texts_of(docs, live).join(live.hint("shuffle_hash"), KEY)
         .mapInArrow(lambda it: _wide(it, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, start array<int>, a array<long>, b array<long>")
-        .select("doc_id", "rk", F.explode(F.arrays_zip("start", "a", "b")).alias("w")).select("doc_id", "rk", "w.start", "w.a", "w.b")
+        .select(*KEY, F.explode(F.arrays_zip("start", "a", "b")).alias("w")).select(*KEY, "w.start", "w.a", "w.b")
     )
-    wide = written(wide, "windows")
-    first = wide.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
-    again = wide.join(first, ["a", "b"]).where("lo < doc_id").select("rk", "doc_id", "start")
-    return head.drop("anchors"), again
+    windows, found = written(wide, "windows"), []
+    while True:
+        kept = written(_shared(windows), "repeated")
+        dropped(windows)
+        if kept.isEmpty():
+            return head.drop("anchors"), found
+        found.append((width, kept))
+        windows = written(_doubled(kept, width), "windows")
+        width *= 2
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256."""
-    head, again = repeats(docs, width)
-    starts = written(again.groupBy("rk").agg(F.collect_list("start").alias("starts")), "starts")
-    cut = (
-        _texts_of(docs, starts).select("rk", "text").join(starts.hint("shuffle_hash"), "rk").select("rk", "text", "starts")
-        .mapInArrow(lambda it: _cut(it, width), "rk long, n_removed long, kept binary").groupBy("rk").agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
-    )
+    """Per row: doc_id, n_words, n_removed, kept_sha256, level (words of its longest windows that another document has; 0: none)."""
+    head, found = levels(docs, width)
+    starts, level = None, None
+    if found:
+        again = found[0][1].where("lo < doc_id")
+        starts = written(again.groupBy(*KEY).agg(F.collect_set("start").alias("starts")), "starts")
+        per_level = [kept.select(*KEY, F.lit(w).alias("level")).distinct() for w, kept in found]
+        level = written(reduce(DataFrame.unionByName, per_level).groupBy(*KEY).agg(F.max("level").alias("level")), "levels")
+        dropped(*[kept for _, kept in found])
+        cut = (
+            _texts_of(docs, starts).join(starts.hint("shuffle_hash"), KEY).select(*KEY, "text", "starts")
+            .mapInArrow(lambda it: _cut(it, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, n_removed long, kept binary")
+            .groupBy(*KEY).agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
+        )
+        head = head.join(cut, KEY, "left").join(level, KEY, "left")
+    else:
+        head = head.select("*", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("int").alias("level"))
     whole = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= width), F.lit(False))
-    return head.join(cut, "rk", "left").select(
+    copied = F.coalesce((F.col("first_id") < F.col("last_id")) & (F.col("n_words") >= width), F.lit(False))
+    doubling = F.lit(width) * F.expr(f"shiftleft(1, length(bin(greatest(n_words, {width}) div {width})) - 1)")
+    return head.select(
         "doc_id", "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "seq")))).alias("kept_sha256"),
+        F.when(copied, doubling).otherwise(F.coalesce("level", F.lit(0))).cast("long").alias("level"),
     )
