@@ -1,14 +1,16 @@
 """A forgiving HTML reader: block elements and runs of text, in page order, with features of each.
 
 Only what features need is kept.  Inline elements belong to the run they stand in; scripts, styles,
-form controls and other elements without readable text vanish with their content, or alone where such
-an element is never closed and isn't raw text; missing end tags are implied as browsers imply them.
+form controls and other elements without readable text vanish with their content, up to their own end
+or their parent's, or alone where neither comes; missing end tags are implied as browsers imply them.
+Reading takes time in proportion to the page, however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 
@@ -19,7 +21,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(id|class|role|itemprop|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SILENT = frozenset("script style title textarea xmp iframe noembed noframes noscript template svg canvas audio video select datalist button applet annotation annotation-xml".split())
-#: Without an end tag these reach to the page's end, as in browsers; of the others only the start tag goes.
+#: What stands in these isn't markup; without an end tag they reach to the page's end, as in browsers.
 _RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 _BLOCKS = frozenset(
     "html body div p section article main header footer nav aside form fieldset details summary dialog h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption address center hgroup menu search".split()
@@ -80,6 +82,11 @@ class Page:
         self.controls.append(0)
         return len(self.parent) - 1
 
+    def cut(self, to: int) -> None:
+        """Forgets the nodes from ``to`` on."""
+        for a in (self.parent, self.kind, self.family, self.depth, self.links, self.text, self.controls):
+            del a[to:]
+
 
 def _family(attributes: str) -> int:
     found = 0
@@ -89,18 +96,54 @@ def _family(attributes: str) -> int:
     return found
 
 
+class _Open:
+    """The open elements, with the places of each name, so no tag walks the whole stack."""
+
+    def __init__(self):
+        self.names, self.nodes, self.silent, self.places = [""], [0], [], {}
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def cut(self, to: int) -> None:
+        for name in self.names[to:]:
+            self.places[name].pop()
+        del self.names[to:], self.nodes[to:]
+
+    def last(self, *names: str) -> int:
+        """The place of the innermost of ``names``; 0 if none is open."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def first_after(self, place: int, *names: str) -> int:
+        """The place of the outermost of ``names`` inside ``place``; 0 if none is."""
+        found = [p[at] for n in names if (p := self.places.get(n)) and (at := bisect_right(p, place)) < len(p)]
+        return min(found, default=0)
+
+
 def parse(source: str) -> Page:
-    page, stack = Page(), [("", 0)]
+    """The nodes of a page.  A silent element ends with its end tag or its parent; one that never does hides nothing."""
+    ignored: set[int] = set()
+    while True:
+        page, endless = _parse(source, ignored)
+        if not endless:
+            return page
+        ignored |= endless
+
+
+def _parse(source: str, ignored: set[int]) -> tuple[Page, set[int]]:
+    """Reads a page without the silent start tags at ``ignored``; the places of those that are open at its end come with it."""
+    page, stack = Page(), _Open()
     pieces: list[str] = []
     linked = [0, 0]  # open links, characters in them
-    endless = set()  # silent elements without an end tag in the rest of the page
-
     def flush() -> None:
+        nonlocal pieces
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                page.add(stack[-1][1], 0, 0, text, min(linked[1], len(text)))
-            pieces.clear()
+                page.add(stack.nodes[-1], 0, 0, text, min(linked[1], len(text)))
+            pieces = []
         linked[1] = 0
 
     def data(raw: str) -> None:
@@ -110,8 +153,15 @@ def parse(source: str) -> Page:
             linked[1] += len(text.strip())
 
     def close(to: int) -> None:
-        flush()
-        del stack[to:]
+        """Ends the elements from place ``to`` on; what stands in silent ones among them was never there."""
+        nonlocal pieces
+        while stack.silent and stack.silent[-1][0] >= to:
+            place, mark, pieces, linked[:], _ = stack.silent.pop()
+            page.cut(mark)
+            stack.cut(place)
+        if len(stack.names) > to:
+            flush()
+            stack.cut(to)
 
     at, n, in_head = 0, len(source), False
     while at < n:
@@ -129,34 +179,40 @@ def parse(source: str) -> Page:
                 in_head = False
             elif name == "a":
                 linked[0] = max(0, linked[0] - 1)
+            elif name in _SILENT:
+                place = stack.last(name)
+                if place:
+                    close(place)
             elif name in _BLOCKS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        close(i)
-                        break
+                place = stack.last(name)
+                if place:
+                    close(place)
                 else:
                     flush()
             continue
         name = (m[2] or m[4] or "").lower()
         if not name:
-            if m[0].startswith("<![CDATA["):
-                continue
             continue
         attributes = m[3] if m[2] else m[5]
         if name == "head":
             in_head = True
             continue
-        if name in _SILENT:
+        if name in _RAW:
             if not attributes.endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                if end:
-                    at = end.end()
-                elif name in _RAW:
-                    at = n
-                else:
-                    endless.add(name)
-            if name in ("select", "button", "textarea"):
-                page.controls[stack[-1][1]] += 1
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
+                at = end.end() if end else n
+            if name == "textarea" and not stack.silent:
+                page.controls[stack.nodes[-1]] += 1
+            continue
+        if name in _SILENT:
+            if name == "button" and (place := stack.last(name)):
+                close(place)  # a button can't hold a button
+            if not stack.silent and name in ("select", "button"):
+                page.controls[stack.nodes[-1]] += 1
+            if not attributes.endswith("/") and not in_head and m.start() not in ignored:
+                stack.silent.append((len(stack.names), len(page.parent), pieces, linked[:], m.start()))
+                stack.push(name, stack.nodes[-1])
+                pieces, linked[:] = [], (0, 0)
             continue
         if name == "body":
             in_head = False
@@ -171,36 +227,28 @@ def parse(source: str) -> Page:
             if name == "hr":
                 flush()
         elif name == "input":
-            page.controls[stack[-1][1]] += 1
+            if not stack.silent:
+                page.controls[stack.nodes[-1]] += 1
         elif name in _BLOCKS:
             flush()
             if name in ("html", "body"):
-                if any(s[0] == name for s in stack):
+                if stack.last(name):
                     continue
             elif name in _ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in ("table", "td", "th", "caption"):
-                        break
+                place = stack.last("p")
+                if place > stack.last("table", "td", "th", "caption", *_SILENT):
+                    close(place)
             if name in _IMPLIED:
                 ends, up_to = _IMPLIED[name]
-                cut = None
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in up_to:
-                        break
-                    if stack[i][0] in ends:
-                        cut = i
-                        if name in ("li", "dt", "dd", "td", "th"):
-                            break
-                if cut is not None:
-                    del stack[cut:]
-            node = page.add(stack[-1][1], _KIND.get(name, _OTHER), _family(attributes) if attributes else 0, None, 0)
+                bound = stack.last(*up_to, *_SILENT)
+                cut = stack.last(*ends) if name in ("li", "dt", "dd", "td", "th") else stack.first_after(bound, *ends)
+                if cut > bound:
+                    close(cut)
+            node = page.add(stack.nodes[-1], _KIND.get(name, _OTHER), _family(attributes) if attributes else 0, None, 0)
             linked[0] = 0
-            stack.append((name, node))
+            stack.push(name, node)
     flush()
-    return page
+    return page, {s[-1] for s in stack.silent}
 
 
 def features(page: Page) -> np.ndarray:
