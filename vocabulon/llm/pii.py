@@ -87,8 +87,10 @@ INVISIBLE = "­​‌‍⁠﻿"
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _EXOTIC = re.compile("[­ıɡͰ-ϿЀ-ԯ٠-٩۰-۹०-९​-‍‐-–․⁠-ₜ−①-⒛。﹒﹫﻿！-～\U0001d400-\U0001d7ff]")
 _I = re.I | re.A
-_BRACKET_AT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:at|@)[\x20\t]*[\])}>][\x20\t]*", _I)
-_BRACKET_DOT = re.compile(r"[\x20\t]*[\[({<][\x20\t]*(?:dot|punkt|point|punto|\.)[\x20\t]*[\])}>][\x20\t]*", _I)
+# Blanks are read from the start of their run only, and never given back, so long runs take linear time.
+_BLANKS = r"(?:(?<![\x20\t])[\x20\t]++)?"
+_BRACKET_AT = re.compile(_BLANKS + r"[\[({<][\x20\t]*+(?:at|@)[\x20\t]*+[\])}>][\x20\t]*+", _I)
+_BRACKET_DOT = re.compile(_BLANKS + r"[\[({<][\x20\t]*+(?:dot|punkt|point|punto|\.)[\x20\t]*+[\])}>][\x20\t]*+", _I)
 # Last labels with which a domain spelled in plain words is believed.
 TOP_LEVEL = "|".join(
     (
