@@ -7,8 +7,8 @@
    four values or more, by counting for whole sets of 16 values or more (two, for smaller ones),
    and for sketches that leave values out but for a chance of 0.8 ** K, 2e-8.  A run of four is met by
    chance so rarely that lists stay short however many documents share a word pair or a passage.
-3. Each class meets the hub of its longest list, the member that stands in the longest lists: a group
-   of near-copies costs a row a document, not a pair of each two.
+3. Each class meets the hub of its longest list and that of its shortest, the member that stands in the
+   longest lists: a group of near-copies costs a row or two a document, not a pair of each two.
 4. Classes that still share a list with another component keep a wider sketch of ``WIDE`` values, the
    whole set for most.  Its values are ordered by how rare they are and only the rarest are listed:
    two sets above the threshold share so many values that one of them is among the first few of
@@ -151,18 +151,31 @@ def lists_of(sketched: DataFrame) -> DataFrame:
     return members
 
 
-def _hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """cls, rep, t, n, hub, block of the classes in lists; the blocks of a hub's classes hold BLOCK_VALUES or so."""
-    top = members.groupBy("cls").agg(F.max(F.struct("m", "run")).alias("top"), F.sum("m").alias("reach")).select("cls", F.col("top.run").alias("run"), "reach")
-    hub = top.groupBy("run").agg(F.max(F.struct("reach", "cls")).alias("h")).select("run", F.col("h.cls").alias("hub"))
-    rows = written(top.join(hub, "run").select("cls", "hub").join(classes.select("cls", "rep", "t", "n"), "cls"), "hubs")
+def _hubs(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, rep, t, n, block) of the classes in lists, and (hub, cls, cell): whom each meets, and where.
+
+    A class picks its longest and its shortest list.  Of those that pick a list the one that stands in the longest lists is
+    the hub.  The blocks of a hub's classes hold BLOCK_VALUES shingles or so.
+    """
+    picks = members.groupBy("cls").agg(F.max(F.struct("m", "run")).alias("longest"), F.min(F.struct("m", "run")).alias("shortest"), F.sum("m").alias("reach"))
+    picks = written(picks.select("cls", "reach", F.col("longest.run").alias("longest"), F.col("shortest.run").alias("shortest")), "picks")
+
+    def met(pick: str) -> DataFrame:
+        hub = picks.groupBy(pick).agg(F.max(F.struct("reach", "cls")).alias("h")).select(pick, F.col("h.cls").alias("hub"))
+        return picks.join(hub, pick).select("cls", "hub", F.lit(pick == "longest").alias("first"))
+
+    rows = met("longest").unionByName(met("shortest")).join(classes.select("cls", "rep", "t", "n"), "cls")
+    rows = written(rows, "hubs")
     blocks = rows.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK_VALUES).alias("blocks"))
-    return rows.join(blocks, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls", F.lit(1)), "blocks"))).drop("blocks")
+    placed = rows.join(blocks, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls", F.lit(1)), "blocks")))
+    own = written(placed.where("first").select("cls", "rep", "t", "n", "block"), "own")
+    stars = placed.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.xxhash64("hub", "block").alias("cell"))
+    return own, written(stars.distinct(), "stars")
 
 
-def _texts_of(docs: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``hubs`` with the text of each class: rows that can't be wanted are dropped before they move."""
-    wanted = hubs.select(F.col("rep").alias("doc_id"), *[c for c in hubs.columns if c != "rep"])
+def _texts_of(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """``listed`` (cls, rep, t, any others) with the text of each class: rows that can't be wanted are dropped before they move."""
+    wanted = listed.withColumnRenamed("rep", "doc_id")
     rows = bloom.filtered(docs.select("doc_id", _text_hash(), "text"), "doc_id", wanted.select(F.col("doc_id").alias("listed")), "listed", wanted.count(), BLOOM_BLOCKS)
     once = rows.groupBy("doc_id", "t").agg(F.first("text").alias("text"))  # a row that is there many times
     return once.join(wanted, ["doc_id", "t"]).drop("t").withColumnRenamed("doc_id", "rep")
@@ -326,9 +339,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     one_id = own.join(several, "doc_id").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
     members = lists_of(sketched)
     dropped(sketched)
-    texts = written(_texts_of(docs, _hubs(members, classes)), "texts")
-
-    stars = texts.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.xxhash64("hub", "block").alias("cell"))
+    listed, stars = _hubs(members, classes)
+    texts = written(_texts_of(docs, listed), "texts")
     links = _verified(stars, texts.withColumn("node", F.col("rep")), words, similarity, k)
     first = written(components(links.unionByName(one_id)), "roots")
     known = texts.select("cls", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", F.coalesce("root", "rep").alias("node"))
