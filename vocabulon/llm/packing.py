@@ -18,6 +18,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,14 @@ from .durable import written
 CAPACITY, END_ID = 4096, 1
 NEARLY_FULL = 0.99
 GROUP_ITEMS = 100_000
-#: Words and parts of words whose ids a worker keeps; beyond it, it starts anew.
-KEPT_WORDS, KEPT_PARTS = 2_000_000, 200_000
+#: Words and parts of words whose ids a worker keeps, and bytes of what it keeps of the words; beyond any, it starts anew.
+KEPT_WORDS, KEPT_PARTS, KEPT_BYTES = 1_000_000, 100_000, 64 << 20
 #: Words of these characters alone are composed, have plain lower case and no white space, so they can be cut by
 #: the tokenizer's own pattern here and need its merges only; all others go through the whole tokenizer.
 _PLAIN = re.compile("[\\x21-\\x7e\u00a1-\u012f\u0131-\u0148\u014a-\u017e]+")
-# Fixed value: the split pattern of the tokenizer's file.
+# Fixed value: the split pattern of the tokenizer's file, and what it says of lower-case printable ASCII.
 _PART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -85,7 +87,7 @@ class HashTable:
 
 
 class WordIds:
-    """Token ids of words by their 64-bit hash."""
+    """Token ids of words, found by their 64-bit hash and compared."""
 
     def __init__(self, path: str):
         import regex
@@ -94,59 +96,110 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.cut = self.tokenizer.model, regex.compile(_PART)
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, list[int]] = {}
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.n_ids = HashTable(), 0
-        self.lo, self.n, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.table, self.n_ids, self.n_bytes = HashTable(), 0, 0
+        self.lo, self.n, self.at, self.size = (np.zeros(1 << 16, t) for t in (np.int32, np.int32, np.int32, np.int32))
+        self.head, self.tail = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.ids, self.bytes = np.zeros(1 << 18, np.uint32), np.zeros(1 << 18, np.uint8)
 
     def word(self, text: str) -> list[int]:
+        if text.isascii() and text.isprintable() and "<|" not in text:
+            lower = text.lower()
+            return self._part(lower) if lower.isalpha() else [i for part in _ASCII_PART.findall(lower) for i in self._part(part)]
         if not _PLAIN.fullmatch(text) or "<|" in text:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in self.cut.findall(text.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= KEPT_PARTS:
-                    self.parts.clear()
-                ids = self.parts[part] = tuple(t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters)))
-            out += ids
-        return out
-
-    def _learn(self, keys: np.ndarray, words: Iterator[str]) -> None:
-        found = [self.word(x) for x in words]
+        return [i for part in self.cut.findall(text.lower()) for i in self._part(part.encode().decode("latin-1").translate(self.letters))]
+
+    def _part(self, letters: str) -> list[int]:
+        """Ids of a part of a word, in the letters that stand for its bytes (printable ASCII stands for itself)."""
+        ids = self.parts.get(letters)
+        if ids is None:
+            if len(self.parts) >= KEPT_PARTS:
+                self.parts.clear()
+            ids = self.parts[letters] = [t.id for t in self.model.tokenize(letters)]
+        return ids
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        """``a`` with room for ``n`` entries; new pages stay untouched until they are used."""
+        if n <= len(a):
+            return a
+        more = np.zeros(2 * n, a.dtype)
+        more[: len(a)] = a
+        return more
+
+    def _learn(self, keys: np.ndarray, words: list[bytes], head: np.ndarray, tail: np.ndarray) -> None:
+        found = [self.word(x) for x in b" ".join(words).decode().split(" ")]  # words hold no blanks
         n = np.fromiter(map(len, found), np.int32, len(found))
-        new = np.fromiter((i for f in found for i in f), np.uint32, int(n.sum()))
+        new = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+        size = np.fromiter(map(len, words), np.int32, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8)
         at, end = self.table.count, self.table.count + len(keys)
-        if end > len(self.lo):
-            self.lo, self.n = np.resize(self.lo, 2 * end), np.resize(self.n, 2 * end)
-        if self.n_ids + len(new) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (self.n_ids + len(new)))
+        for name in ("lo", "n", "at", "size", "head", "tail"):
+            setattr(self, name, self._room(getattr(self, name), end))
+        self.ids, self.bytes = self._room(self.ids, self.n_ids + len(new)), self._room(self.bytes, self.n_bytes + len(text))
         self.lo[at:end] = self.n_ids + np.cumsum(n, dtype=np.int64) - n
-        self.n[at:end] = n
+        self.at[at:end] = self.n_bytes + np.cumsum(size, dtype=np.int64) - size
+        self.n[at:end], self.size[at:end], self.head[at:end], self.tail[at:end] = n, size, head, tail
         self.ids[self.n_ids : self.n_ids + len(new)] = new
+        self.bytes[self.n_bytes : self.n_bytes + len(text)] = text
         self.n_ids += len(new)
+        self.n_bytes += len(text)
         self.table.add(keys, np.arange(at, end, dtype=np.int32))
 
+    @staticmethod
+    def _ends(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Size, first eight and last eight bytes of each word, which tell words of up to sixteen bytes apart."""
+        padded = np.zeros(len(w.buf) + 16, np.uint8)
+        padded[8:-8] = w.buf
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+        size = (w.end - w.start).astype(np.int32)
+        spare = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+        return size, eight[w.start + 8] << spare, eight[w.end] >> spare
+
+    def _others(self, w: tk.Words, place: np.ndarray, size: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Words of ``w`` that aren't the word kept at their ``place``: two words of one hash."""
+        same = (size == self.size[place]) & (head == self.head[place]) & (tail == self.tail[place])
+        for i in np.flatnonzero(same & (size > 16)).tolist():
+            k = self.at[place[i]]
+            same[i] = np.array_equal(w.buf[w.start[i] : w.end[i]], self.bytes[k : k + size[i]])
+        return np.flatnonzero(~same)
+
     def encode(self, w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows of ``w``, END_ID after each row, and the rows' bounds."""
-        h, first, which = np.unique(w.hashes() | np.uint64(1), return_index=True, return_inverse=True)
-        at = self.table.find(h)
-        new = np.flatnonzero(at < 0)
-        if self.table.count + len(new) > KEPT_WORDS:
-            self._clear()
-            new = np.arange(len(h))
+        """All ids of the rows of ``w``, END_ID after each row, and the rows' bounds.
+
+        Words are looked up by hash and then compared; of two words of one hash the one that isn't kept is encoded by itself.
+        """
+        h = w.hashes() | np.uint64(1)
+        size, head, tail = self._ends(w)
+        place = self.table.find(h)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            self._learn(h[new], (bytes(w.buf[w.start[i] : w.end[i]]).decode() for i in first[new].tolist()))
-            at = self.table.find(h)
-        lo, n = self.lo[at], self.n[at].astype(np.int64)
-        each = n[which]
-        total = np.concatenate(([0], np.cumsum(each)))
+            keys, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            if self.table.count + len(first) > KEPT_WORDS or self.n_bytes + int(size[first].sum()) > KEPT_BYTES:
+                self._clear()
+                keys, first = np.unique(h, return_index=True)
+                new = np.arange(len(h))
+            whole = w.buf.tobytes()
+            self._learn(keys, [whole[s:e] for s, e in zip(w.start[first].tolist(), w.end[first].tolist(), strict=True)], head[first], tail[first])
+            place[new] = self.table.find(h[new])
+        each, lo = self.n[place], self.lo[place]
+        kept, others = self.ids, self._others(w, place, size, head, tail)
+        if len(others):
+            own = [self.word(bytes(w.buf[w.start[i] : w.end[i]]).decode()) for i in others.tolist()]
+            each[others] = [len(x) for x in own]
+            lo[others] = self.n_ids + np.cumsum(each[others]) - each[others]
+            kept = np.concatenate((self.ids[: self.n_ids], np.array([i for x in own for i in x], np.uint32)))
+        total = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
         bounds = total[w.first] + np.arange(len(w.first))
         out = np.full(int(bounds[-1]), END_ID, np.uint32)
-        slots = np.arange(int(total[-1]))
-        out[slots + np.repeat(w.row, each)] = self.ids[slots - np.repeat(total[:-1] - lo[which], each)]
+        ids = np.ones(len(out), bool)
+        ids[bounds[1:] - 1] = False
+        out[ids] = kept[np.arange(int(total[-1]), dtype=np.int32) - np.repeat((total[:-1] - lo).astype(np.int32), each)]
         return out, bounds
 
 
