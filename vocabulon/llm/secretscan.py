@@ -2,8 +2,10 @@
 
 Every text is addressed by its SHA-256.  The ledger holds the findings of each (blob, rule version)
 scanned so far; a run scans one copy of each blob that the ledger lacks, and joins findings back to
-all rows (paths, versions) with that content.  A blob that fills a third of the table is scanned
-once: addresses are pre-aggregated, and only its first row meets its text.
+all rows (paths, versions) with that content.  Addresses are counted first.  A Bloom filter of those
+that the ledger has or that several rows share tells which rows are alone and new; these are scanned
+where they are, and only the others' texts move, one a blob and task, to meet the exact list of
+unseen blobs.  So a blob that fills a third of the table is scanned once.
 
 Defined cases: null text counts as empty; repeated rows each get a row; null ids are kept; matches
 that fail their kind's test are dropped without a second try, as the kinds' rules say.
@@ -20,6 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
+from .durable import written
+
+BLOOM_BLOCKS = 1 << 17
 RULE_VERSION = 2
 #: The base kinds, in the order in which they are listed, then those that version 2 adds.
 KINDS = ("assign", "access", "hex", "pem", "github", "slack", "jwt", "google")
@@ -63,26 +69,39 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _addressed(versions: DataFrame) -> DataFrame:
+def _with_blob(versions: DataFrame) -> DataFrame:
     return versions.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
 
 
+def addressed(versions: DataFrame) -> DataFrame:
+    """doc_id, blob: the address of each row's content."""
+    return _with_blob(versions).select("doc_id", "blob")
+
+
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """New ledger rows (blob, rule_version, findings) for the texts of ``versions`` (doc_id, text)."""
-    rows = _addressed(versions)
-    first = rows.groupBy("blob").agg(F.min("doc_id").alias("first_id"))
-    if ledger is not None:
-        first = first.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    first = first.withColumnRenamed("blob", "first_blob")
-    one = rows.join(first.hint("shuffle_hash"), (F.col("blob") == F.col("first_blob")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-    # a row that is repeated as it is, id and all, is scanned as often and entered once
-    return one.select("blob", "text").mapInArrow(_scan, FINDINGS).groupBy("blob", "rule_version").agg(F.first("findings").alias("findings"))
-
-
-def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """doc_id, blob, findings: the ledger's findings joined to all rows of ``versions``."""
+    rows = _with_blob(versions)
+    counted = written(rows.groupBy("blob").agg(F.count(F.lit(1)).alias("rows")), "blobs")
+    if ledger is None:
+        unseen, held = counted, counted.where("rows > 1")
+    else:
+        known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob").withColumn("known", F.lit(True))
+        marked = written(counted.join(known, "blob", "left"), "marked")
+        unseen, held = marked.where("known is null"), marked.where("known or rows > 1")
+    held = held.select(F.col("blob").alias("listed"))
+    count = held.count()
+    alone = bloom.filtered(rows, "blob", held, "listed", count, BLOOM_BLOCKS, keep=False)
+    others = bloom.filtered(rows, "blob", held, "listed", count, BLOOM_BLOCKS)
+    if ledger is not None:  # what the ledger has needn't move
+        others = bloom.filtered(others, "blob", unseen.select(F.col("blob").alias("listed")), "listed", unseen.count(), BLOOM_BLOCKS)
+    once = others.groupBy("blob").agg(F.first("text").alias("text")).join(unseen.select("blob"), "blob", "left_semi")
+    return alone.select("blob", "text").mapInArrow(_scan, FINDINGS).unionByName(once.mapInArrow(_scan, FINDINGS))
+
+
+def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
+    """doc_id, blob, findings: the ledger's findings joined to all rows of ``paths`` (of addressed())."""
     known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "findings")
-    return _addressed(versions).select("doc_id", "blob").join(known, "blob")
+    return paths.select("doc_id", "blob").join(known, "blob")
 
 
 def digest(found: DataFrame) -> DataFrame:
