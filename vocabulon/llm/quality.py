@@ -11,7 +11,8 @@ prove anything rejects nothing.
 
 Defined cases: null text counts as empty; a null stratum is a stratum of its own; a document
 with several label rows is good only if all say so; null labels are ignored; repeated document rows
-each get their own row; empty tables give empty results.
+each get their own row, and all copies of a text in a stratum are one trial; empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .durable import written
+from .durable import dropped, written
 
 ALPHA, DELTA, REPEAT_WINDOW, MIN_WORDS, MAX_REPEAT = 0.03, 0.05, 8, 20, 30
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -171,15 +172,18 @@ def choose_level(good: np.ndarray, bad: np.ndarray, strata: int, alpha: float, d
 
 
 def calibrate(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, level) from features (doc_id, stratum, base figures) and labels (doc_id, quality).
+    """(stratum, level) from features (doc_id, stratum, content, base figures) and labels (doc_id, quality).
 
-    Only counts by stratum and severity leave the join, so it holds at any number of labels.
+    A trial is a distinct content of a stratum, good if no label of any of its copies says otherwise: copies aren't
+    independent, and the bound is exact for independent trials only.  Only counts by stratum and severity leave the join,
+    so it holds at any number of labels.
     """
     last = len(next(iter(LEVELS.values()))) + 1
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    copies = features.where(~base_failed()).select("doc_id", "stratum", "content", severity().alias("severity")).join(truth, "doc_id")
+    trials = copies.groupBy("stratum", "content").agg(F.min("severity").alias("severity"), F.min("quality").alias("quality"))
     counts = written(
-        features.where(~base_failed()).select("doc_id", "stratum", severity().alias("severity")).join(truth, "doc_id")
-        .groupBy("stratum", "severity").agg(F.count_if(F.col("quality") >= 1).alias("good"), F.count_if(F.col("quality") < 1).alias("bad")),
+        trials.groupBy("stratum", "severity").agg(F.count_if(F.col("quality") >= 1).alias("good"), F.count_if(F.col("quality") < 1).alias("bad")),
         "severity",
     )
     strata = max(1, counts.select("stratum").distinct().count())
@@ -206,10 +210,15 @@ def verdicts(features: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
+def trial_row() -> dict[str, Column]:
+    """What thresholds are fitted on, beside the figures; null texts are one content."""
+    return {"doc_id": F.col("doc_id"), "stratum": F.col("lang"), "content": F.xxhash64("text")}
+
+
 def judged(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Per document: doc_id, stratum (its language), base figures, base_failed, severity, kept."""
-    features = written(with_features(docs, {"doc_id": F.col("doc_id"), "stratum": F.col("lang")}), "features")
-    return verdicts(features, calibrate(features, labels, alpha, delta))
+    features = written(with_features(docs, trial_row()), "features")
+    return verdicts(features, calibrate(features, labels, alpha, delta)).drop("content")
 
 
 def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -218,7 +227,8 @@ def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     Figures are computed twice, once for the thresholds and once beside the rows, which costs less
     than moving whole texts to join verdicts to them.
     """
-    features = written(with_features(docs, {"doc_id": F.col("doc_id"), "stratum": F.col("lang")}), "features")
+    features = written(with_features(docs, trial_row()), "features")
     levels = written(calibrate(features, labels, alpha, delta), "levels")
+    dropped(features)
     rows = with_features(docs, {"stratum": F.col("lang"), "doc": F.struct(*[F.col(c) for c in docs.columns])})
     return verdicts(rows, levels).where("kept").select("doc.*")
