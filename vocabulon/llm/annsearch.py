@@ -10,8 +10,10 @@ task reranks exactly and passes on the nearest ``k`` of each query, which merge
 
 Cell width, number of functions and of probes are fitted on at most ``SAMPLE`` rows: the number of
 functions follows the number of rows (a cell holds ``CELL_ROWS`` or so), and the probes grow until the
-sample's own queries find ``RECALL`` of their true neighbours.  All rows are indexed.  A query
-that has met fewer than ``k`` rows is answered again by exact search over all rows, in blocks.
+sample's own queries find ``RECALL`` of their true neighbours; where the moves over the nearest
+walls run out before that, the index isn't used and all queries are answered by exact search.  All
+rows are indexed.  A query that has met fewer than ``k`` rows is answered again by exact search over
+all rows, in blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do those whose width is not the commonest; a query's own rows (its id) are never its neighbours;
@@ -40,6 +42,7 @@ class Hashing:
     def __init__(self, dim: int, functions: int, tables: int, width: float, norm: float):
         rng = np.random.default_rng(SEED)
         self.dim, self.functions, self.tables, self.width, self.norm, self.probes = dim, functions, tables, width, norm, 1
+        self.reached = True  # whether the sample's queries found enough; if not, search is exact
         self.a = rng.standard_normal((tables, functions, dim + 1))
         self.shift = rng.random((tables, functions)) * width
 
@@ -97,8 +100,8 @@ class Hashing:
 def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query (ids, scores) of its ``k`` largest inner products, ties to the smaller id, its own id left out.
 
-    A matrix product finds those that may be among them; each of these is summed alone, in one order,
-    so equal vectors get equal scores wherever they are.
+    A matrix product finds those that may be among them; each of these is summed alone, from first to
+    last component, so equal vectors get equal scores wherever they are.
     """
     out = []
     for lo in range(0, len(q), 256):
@@ -109,7 +112,7 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray,
         for i in range(len(rough)):
             at = np.flatnonzero(rough[i] >= floor[i] - 1e-9 * abs(floor[i]))
             at = at[x_ids[at] != q_ids[lo + i]]
-            score = (x[at] * q[lo + i]).sum(axis=1)
+            score = np.add.accumulate(x[at] * q[lo + i], axis=1)[:, -1]
             best = np.lexsort((x_ids[at], -score))[:k]
             out.append((x_ids[at][best], score[best]))
     return out
@@ -150,7 +153,8 @@ def fit(vectors: DataFrame, k: int) -> Hashing | None:
             for t in range(h.tables):
                 hit |= np.isin(cells[t][near], probes[t][i])
             found, total = found + int(hit.sum()), total + len(near)
-        if found >= RECALL * total or h.probes >= most:
+        h.reached = found >= RECALL * total
+        if h.reached or h.probes >= most:
             return h
         h.probes = min(most, int(np.ceil(h.probes * 1.5)))
 
@@ -268,6 +272,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashing: Hashing
         return none.where("false")
     dim = h.dim
     rows, asked = rows.where(F.size("x") == dim), asked.where(F.size("x") == dim)
+    if not h.reached:
+        return exact(rows, asked, dim, k, rows.count())
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
