@@ -133,6 +133,25 @@ def test_boosting_learns_an_interaction():
     assert ((boosting.fit(x, y).score(x) > 0) == (y > 0)).mean() > 0.95
 
 
+def test_silent_elements_end_with_their_parent_and_nest():
+    texts = lambda h: [t for t in dom.parse(h).text if t]
+    assert texts("<p>one two</p><button>Go<p>three four five</p><p>six</p>") == ["one two", "Go", "three four five", "six"]
+    assert texts("<svg><svg></svg>X</svg> y") == ["y"] and texts("a <svg> b <p>c</p>") == ["a b", "c"]
+    assert texts("<div><button>Go</div><p>three</p><button>ok</button>") == ["three"]
+    assert texts("<p>a<button>x<button>y</button>b</p>") == ["ab"] and texts("<noscript><p>z</p></noscript>t") == ["t"]
+
+
+@pytest.mark.parametrize("make", ["<div>{}x", "<li>{}x", "<div>{}<li></li>", "<svg>{}x", "<tr><div>{}x", "<td><p>{}</table>", "<button>{}x</div>", "x<svg></svg>{}", "<b></i>{}</p>"])
+def test_deep_pages_take_linear_time(make):
+    import time
+
+    first, last = make.split("{}")
+    began = time.perf_counter()
+    page = dom.parse(first * 30_000 + last * 30_000)
+    dom.features(page) if len(page.parent) < 40_000 else None
+    assert time.perf_counter() - began < 8
+
+
 # --- 2 --------------------------------------------------------------------------------------------
 
 
@@ -182,6 +201,22 @@ def test_quality_verdicts_with_and_without_labels(sp, docs):
     assert kept.columns == [*docs.columns, "n_words"] and {r["n_words"] for r in kept.collect()} == {"mine"}
 
 
+def test_a_proven_threshold_rejects(sp):
+    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    clean = [(i, words(i, 40), "en") for i in range(400)]
+    junk = [(1000 + i, words(1000 + i, 40) + " #" * 50, "en") for i in range(100)]
+    other = [(2000 + i, words(2000 + i, 40), "de") for i in range(20)] + [(2100, words(2100, 40) + " #" * 50, "de")]
+    copies = [(3000 + i, clean[0][1] + " #" * 60, "fr") for i in range(400)]  # 400 rows, one trial: nothing is proven
+    docs = sp.createDataFrame(clean + junk + other + copies, "doc_id long, text string, lang string")
+    truth = [(i, 1) for i, _, _ in clean + other + copies] + [(i, 0) for i, _, _ in junk]
+    labels = sp.createDataFrame(truth + truth[:50], "doc_id long, quality int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judged(docs, labels).collect()}
+    assert all(got[i] for i, _, _ in clean + other + copies) and not any(got[i] for i, _, _ in junk)
+    assert {r["doc_id"] for r in quality.passing(docs, labels).collect()} == {i for i, k in got.items() if k}
+    levels = {r["stratum"]: r["level"] for r in quality.calibrate(quality.with_features(docs, quality.trial_row()), labels).collect()}
+    assert levels["en"] > 0 and levels["de"] == levels["fr"] == 0
+
+
 # --- 3 --------------------------------------------------------------------------------------------
 
 
@@ -352,14 +387,45 @@ def test_secrets_and_their_ledger(sp):
     df = sp.createDataFrame([*texts.items(), (4, texts[4])], "doc_id long, text string")
     ledger = secretscan.scan_unseen(df)
     assert ledger.count() == 4  # equal texts are scanned once, null as the empty one
-    got = {r["doc_id"]: r for r in secretscan.digest(secretscan.findings(df, ledger)).collect()}
+    got = {r["doc_id"]: r for r in secretscan.digest(secretscan.findings(secretscan.addressed(df), ledger)).collect()}
     assert {k: (r["n_assign"], r["n_access"], r["n_hex"]) for k, r in got.items()} == {1: (1, 1, 1), 2: (1, 0, 0), 3: (0, 0, 0), 4: (0, 0, 1), 5: (1, 1, 1), 6: (0, 0, 0)}
     assert got[1]["spans"] == "assign:0:19,access:21:41,hex:42:66"
     assert got[1]["base_sha256"] == hashlib.sha256(got[1]["spans"].encode()).hexdigest()
     assert secretscan.scan_unseen(df, ledger).count() == 0
     grown = df.unionByName(sp.createDataFrame([(9, "new secret=abcdefg")], df.schema))
     new = secretscan.scan_unseen(grown, ledger)
-    assert new.count() == 1 and secretscan.findings(grown, ledger.unionByName(new)).count() == 8
+    assert new.count() == 1 and secretscan.findings(secretscan.addressed(grown), ledger.unionByName(new)).count() == 8
+
+
+def brute_secrets(text):
+    from vocabulon.llm.secretscan import BASE, KINDS
+
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(out)), [sum(k == x for _, k, _ in out) for x in range(BASE)]
+
+
+def test_base_secrets_against_brute_force(sp):
+    rng = np.random.default_rng(4)
+    parts = ["password", "TOKEN", "api_key", "apikey", "secret", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCD1234EFGH5678", "0a1b2c3d4e5f", "deadbeef", "x", "é", "\n", "abcdef", "+/", "-"]
+    rows = [(i, "".join(rng.choice(parts, int(rng.integers(0, 60))))) for i in range(600)]
+    df = sp.createDataFrame(rows, "doc_id long, text string")
+    ledger = secretscan.scan_unseen(df)
+    texts = dict(rows)
+    for r in secretscan.digest(secretscan.findings(secretscan.addressed(df), ledger)).collect():
+        spans, counts = brute_secrets(texts[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == counts and r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text", ["eyJaaaaaaaa-" * 80_000, "-----BEGIN " + "A" * 500_000 + "-----BEGIN " * 40_000, "token" * 200_000, "a point" + " " * 1_000_000 + "b", "( at" + " " * 500_000 + " at" * 100_000, "mail " * 200_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    began = time.perf_counter()
+    secretscan.spans_of(text)
+    pii.spans_of(text)
+    assert time.perf_counter() - began < 8
 
 
 # --- 8 --------------------------------------------------------------------------------------------
