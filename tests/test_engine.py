@@ -198,6 +198,117 @@ def test_training_lowers_the_loss(spark):
     done = sgns.train(corpus.tokens(docs(spark, text, text)), s)
     losses = [r["loss"] for r in done.history.orderBy("batch").collect()]
     assert losses[-1] < losses[0] and done.w_in.count() == 12
+    rows = done.history.orderBy("batch").collect()
+    assert [r["processed"] for r in rows] == sorted(r["processed"] for r in rows) and rows[-1]["processed"] == done.pairs
+    assert {r["epoch"] for r in rows} == set(range(4)) and rows[-1]["lr"] < 0.01 < rows[0]["lr"]
+
+
+def test_training_refuses_models_that_do_not_fit_and_reports_as_it_goes(spark, monkeypatch):
+    t = corpus.tokens(docs(spark, "a b c d " * 40))
+    monkeypatch.setattr(sgns, "MODEL_BYTES", 100)
+    with pytest.raises(ValueError, match="raise min_count"):
+        sgns.train(t, Settings(embed_dim=8, min_count=1))
+    monkeypatch.undo()
+    seen = []
+    s = Settings(embed_dim=4, epochs=5, min_count=1, subsample_t=1.0, neg_table_size=100, window_size=2, batch_size=16)
+    done = sgns.train(t, s, lambda epoch, emb: seen.append((epoch, emb.count())), log_every=3)
+    assert seen == [(5, 4)] and done.history.count() > 5
+    with pytest.raises(ValueError, match="fewer"):
+        monkeypatch.setattr(svd, "THIN_BYTES", 100)
+        svd.randomized_svd(spark.createDataFrame([(0, 0, 1.0)], "i long, j long, value double"), 50, 10)
+
+
+def test_ordered_sums_do_not_depend_on_blocks(spark):
+    from vocabulon.operators import ordered
+
+    rng = np.random.default_rng(0)
+    rows = spark.createDataFrame([(int(k), int(v)) for k, v in zip(rng.permutation(400)[:150], rng.integers(0, 50, 150), strict=True)], "k long, v long")
+    at = sorted((r["k"], r["v"]) for r in rows.collect())
+    for width in (7, 100, 1 << 16):
+        got = {r["k"]: r["s"] for r in ordered.running(rows, "k", F.col("v"), "s", width).collect()}
+        before = {r["k"]: r["s"] for r in ordered.running(rows, "k", F.col("v"), "s", width, inclusive=False).collect()}
+        top = {r["k"]: (r["m"], r["l"]) for r in ordered.running_max(rows, "k", "v", "m", "l", width).collect()}
+        rank = {r["k"]: r["r"] for r in ordered.ranked(rows.withColumn("g", F.col("v") % 3), "g", F.col("k"), ["k"], "r", width).collect()}
+        for i, (k, v) in enumerate(at):
+            assert got[k] == sum(x for _, x in at[: i + 1]) and before[k] == got[k] - v
+            assert top[k] == (max(x for _, x in at[: i + 1]), max((x for _, x in at[:i]), default=None))
+            assert rank[k] == sum(x % 3 == v % 3 for _, x in at[: i + 1])
+    t = corpus.tokens(docs(spark, *[f"w{i} w{(i * 7) % 20} x" for i in range(30)]))
+    vocabularies = [{tuple(r) for r in vocab.build_vocab(t, 1, width).collect()} for width in (1, 4, 1 << 16)]
+    assert vocabularies[0] == vocabularies[1] == vocabularies[2]
+    slots = [{tuple(r) for r in vocab.negative_table(vocab.build_vocab(t, 1), 1000, width=w).collect()} for w in (3, 1 << 16)]
+    assert slots[0] == slots[1]
+
+
+def test_chunks_of_one_stream_are_read_like_documents(spark):
+    rows = ids(spark, [0, 1, 2], [3, 4, 5, 6], [7])
+    got = sorted((r["doc_id"], r["pos"], r["id"]) for r in vocab.chunked(rows, 3, width=2).collect())
+    assert got == [(i // 3, i % 3, i) for i in range(8)]
+    assert vocab.chunked(rows, 3, drop_tail=True).count() == 6
+    assert cooc.cooccurrence(vocab.chunked(rows, 8), 1).count() == 14
+
+
+def test_words_are_cut_at_unicode_white_space(spark):
+    text = "a\u0085b\u00a0c\u2003d\u3000e\x1cf\tg\u200bh"
+    got = [r["word"] for r in corpus.tokens(docs(spark, text)).orderBy("pos").collect()]
+    assert got == text.split()
+
+
+def test_moving_average_of_losses(spark):
+    loss = np.random.default_rng(3).random(170)
+    history = spark.createDataFrame([(3 * i, float(x)) for i, x in enumerate(loss)], "batch long, loss double")
+    got = {r["batch"]: r["smooth"] for r in sgns.smoothed(history, 16).collect()}
+    assert got == {3 * i: pytest.approx(loss[i : i + 2].mean()) for i in range(169)}
+    assert sgns.smoothed(history.limit(50)).count() == 0
+
+
+def test_experiments(spark, tmp_path):
+    from vocabulon.operators import experiments
+    from vocabulon.sources import plots
+
+    t = corpus.tokens(docs(spark, " ".join(["a b c d e f", "g h i j k l"] * 60)))
+    asked = spark.createDataFrame([("family", 1, "a", "b", "c", "d"), ("other", 1, "e", "f", "g", "h"), ("other", 2, "a", "zz", "c", "d")], "category string, qno long, a string, b string, c string, d string")
+    s = Settings(embed_dim=6, epochs=5, min_count=1, subsample_t=1.0, neg_table_size=1000, window_size=3, batch_size=8)
+    contest = experiments.baseline_and_adaptive(t, asked, s, 2, log_every=10)
+    rows = contest.scores.collect()
+    assert {(r["model"], r["weights"]) for r in rows} == {(m, w) for m in ("baseline", "adaptive") for w in ("in", "in+out")}
+    assert all(sum(r["chosen"] for r in rows if r["model"] == m) == 1 for m in ("baseline", "adaptive"))
+    for m in ("baseline", "adaptive"):
+        best = max((r for r in rows if r["model"] == m), key=lambda r: (r["semantic"], r["weights"] == "in"))
+        assert best["chosen"]
+    assert [(r["model"], r["epoch"]) for r in contest.checks.collect()] == [("baseline", 5)]
+    words = vocab.build_vocab(t, 1).select("id", "word")
+    cells = cooc.sppmi(cooc.cooccurrence(vocab.encode(t, vocab.build_vocab(t, 1)), 3), 1.0)
+    models = experiments.blend_grid(contest.baseline.w_in, experiments.svd_tables(cells, 12, 6, (0.0, 0.5)), (0.3,))
+    assert [n for n, _ in models] == ["Baseline", "SVD-only (p=0.0)", "SVD-only (p=0.5)", "Blend(a=0.3, p=0.0)", "Blend(a=0.3, p=0.5)"]
+    table = experiments.comparison(models[:3], words, asked, components=1)
+    got = table.orderBy("config_no").collect()
+    assert [r["chosen"] for r in got].count(True) == 1 and next(r for r in got if r["chosen"])["sem_pp"] == max(r["sem_pp"] for r in got)
+    raw = experiments.scores(models[1][1], words, asked).first()
+    assert (got[1]["sem_raw"], got[1]["syn_raw"]) == (raw["semantic"], raw["syntactic"])
+    lines = [r["text"] for r in experiments.table_lines(table).orderBy("line").collect()]
+    assert len(lines) == 5 and lines[2].startswith("| Baseline") and len({len(x) for x in lines}) <= 2
+    charts = plots.training_plots(contest.curves.where("model = 'baseline'"))
+    assert charts["loss"].count("<polyline") >= 1 and "<svg" in plots.comparison_plot(contest.curves)
+    store.save_text(spark, charts["loss"], f"file://{tmp_path}/loss.svg")
+    assert spark.read.text(f"file://{tmp_path}/loss.svg", wholetext=True).first()["value"].startswith("<svg")
+
+
+def test_gradient_report(spark):
+    from vocabulon.operators import experiments
+
+    lines = [r["text"] for r in experiments.gradient_lines(spark).orderBy("line").collect()]
+    assert sum("PASS" in x for x in lines) == 8 and not any("FAIL" in x for x in lines)
+    assert "FAIL" in experiments.gradient_report(lambda part: 1.0)[-1]
+
+
+def test_missing_corpus_is_refused(spark, tmp_path):
+    (tmp_path / "source.txt").write_text("x y")
+    got = corpus.fetched(spark, f"file://{tmp_path}/source.txt", f"file://{tmp_path}/copy.txt")
+    assert corpus.text_files(spark, got).first()["text"] == "x y"
+    assert corpus.fetched(spark, f"file://{tmp_path}/none.txt", f"file://{tmp_path}/copy.txt") == got
+    with pytest.raises(FileNotFoundError, match="missing"):
+        corpus.fetched(spark, f"file://{tmp_path}/none.txt", f"file://{tmp_path}/other.txt")
 
 
 def test_empty_inputs(spark):

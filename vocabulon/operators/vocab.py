@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from .ordered import BLOCK, ranked, running, running_max
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -13,19 +14,19 @@ def word_counts(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("doc_id", "pos")).alias("first"))
 
 
-def build_vocab(tokens: DataFrame, min_count: int = 5) -> DataFrame:
+def build_vocab(tokens: DataFrame, min_count: int = 5, width: int = BLOCK) -> DataFrame:
     """id, word, cnt: by falling count, ties as first seen.
 
     A word's id is the number of words with a higher count plus its rank among its own count, so no
-    task sorts the whole vocabulary: only the distinct counts meet in one window.
+    task sorts the whole vocabulary: only the distinct counts meet in one window, and the words of one
+    count are ranked by ranges of ``width`` documents.
     """
     counted = word_counts(tokens).where(F.col("cnt") >= min_count)
     sizes = counted.groupBy("cnt").agg(F.count(F.lit(1)).alias("n"))
     above = F.sum("n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("cnt", F.coalesce(above, F.lit(0)).alias("above"))
-    rank = F.row_number().over(Window.partitionBy("cnt").orderBy("first"))
-    ranked = counted.withColumn("rank", rank)
-    return ranked.join(offsets, "cnt").select((F.col("above") + F.col("rank") - 1).cast("long").alias("id"), "word", "cnt")
+    placed = ranked(counted, "cnt", F.col("first.doc_id"), ["first"], "rank", width)
+    return placed.join(offsets, "cnt").select((F.col("above") + F.col("rank") - 1).cast("long").alias("id"), "word", "cnt")
 
 
 def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -49,20 +50,18 @@ def subsample(ids: DataFrame, kept: DataFrame, seed: int = 1, epoch: int = 0) ->
     return drawn.select("doc_id", place.cast("long").alias("pos"), "id")
 
 
-def negative_table(vocab: DataFrame, size: int = 10_000_000, power: float = 0.75) -> DataFrame:
+def negative_table(vocab: DataFrame, size: int = 10_000_000, power: float = 0.75, width: int = BLOCK) -> DataFrame:
     """id, lo, hi: slots lo <= r < hi of a table of ``size`` draw the id; it is never materialised.
 
-    The cumulative share is a sum in id order and rounds half to even, which fixes the order of
-    addition: one window over the vocabulary.
+    The cumulative share is a sum in id order, by blocks of ``width`` ids, and rounds half to even.
     """
-    order = Window.orderBy("id")
     weight = F.pow(F.col("cnt").cast("double"), F.lit(power))
     total = vocab.agg(F.sum(weight).alias("total")).scalar()
-    shares = vocab.select("id", (weight / total).alias("p")).withColumn("c", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    shares = running(vocab.select("id", (weight / total).alias("p")), "id", F.col("p"), "c", width)
     end = F.least(F.bround(F.col("c") * size).cast("long"), F.lit(size).cast("long"))
-    ends = shares.select("id", end.alias("end")).withColumn("hi", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.row_number().over(Window.orderBy(F.desc("id"))) == 1
-    return ends.select("id", F.coalesce(F.lag("hi").over(order), F.lit(0).cast("long")).alias("lo"), F.when(last, F.lit(size).cast("long")).otherwise(F.col("hi")).alias("hi"))
+    ends = running_max(shares.select("id", end.alias("end")), "id", "end", "hi", "lo", width)
+    last = vocab.agg(F.max("id").alias("last")).scalar()
+    return ends.select("id", F.coalesce("lo", F.lit(0).cast("long")).alias("lo"), F.when(F.col("id") == last, F.lit(size).cast("long")).otherwise(F.col("hi")).alias("hi"))
 
 
 def draw_negatives(slots: DataFrame, table: DataFrame, size: int) -> DataFrame:
@@ -77,15 +76,33 @@ def draw_negatives(slots: DataFrame, table: DataFrame, size: int) -> DataFrame:
     return drawn.join(cells, "_cell").where("r >= lo and r < hi").drop("_cell", "lo", "hi")
 
 
-def chunk_sizes(tokens_per_doc: DataFrame, chunk: int, drop_tail: bool = False) -> DataFrame:
+def _starts(tokens_per_doc: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n) with start: where a document begins in the one stream of all documents in id order."""
+    return running(tokens_per_doc.where("n > 0"), "doc_id", F.col("n"), "start", width, inclusive=False)
+
+
+def chunk_sizes(tokens_per_doc: DataFrame, chunk: int, drop_tail: bool = False, width: int = BLOCK) -> DataFrame:
     """chunk_id, n of the one stream that all documents form in id order (doc_id, n).
 
-    Only one row a document is ordered; its tokens' global positions are its start and what follows.
+    Only one row a document is ordered, by blocks of ``width`` ids; its tokens' global positions are its start and what follows.
     """
-    start = F.sum("n").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    docs = tokens_per_doc.where("n > 0").withColumn("start", F.coalesce(start, F.lit(0)))
+    docs = _starts(tokens_per_doc, width)
     last = F.floor((F.col("start") + F.col("n") - 1) / chunk)
     met = docs.select("start", "n", F.explode(F.sequence(F.floor(F.col("start") / chunk), last)).alias("chunk_id"))
     part = F.least(F.col("start") + F.col("n"), (F.col("chunk_id") + 1) * chunk) - F.greatest("start", F.col("chunk_id") * chunk)
     sizes = met.groupBy("chunk_id").agg(F.sum(part).alias("n"))
     return sizes.where(F.col("n") == chunk) if drop_tail else sizes
+
+
+def chunked(ids: DataFrame, chunk: int, drop_tail: bool = False, width: int = BLOCK) -> DataFrame:
+    """``ids`` (doc_id, pos, id) as chunks of the one stream: doc_id is the chunk, pos the place in it.
+
+    Pairs, co-occurrence and training read the result like documents, and then look across the documents' bounds.
+    """
+    sizes = ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    at = F.col("start") + F.col("pos")
+    placed = ids.join(_starts(sizes, width).select("doc_id", "start"), "doc_id").select(F.floor(at / chunk).alias("doc_id"), (at % chunk).alias("pos"), "id")
+    if not drop_tail:
+        return placed
+    total = sizes.agg(F.sum("n").alias("total")).scalar()
+    return placed.where(F.col("doc_id") < F.floor(total / chunk))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.scalars import uniform
-from ..operators import analogy, cooc, pairs, sgns, svd, vectors, vocab
+from ..operators import analogy, cooc, experiments, pairs, sgns, svd, vectors, vocab
 from ..sources import corpus, questions
 
 S = Settings()
@@ -272,7 +272,33 @@ def covariance(spark, d):
 
 
 def postprocess(spark, d):
-    return vectors.postprocess(_model(spark, d), 2)
+    return _long(vectors.postprocess(_model(spark, d), 2), places=5)
+
+
+def experiment_scores(spark, d):
+    """Two models, raw and post-processed, side by side; the better one chosen."""
+    q, w = _questions(spark, d), _words(spark, d)
+    found = experiments.comparison([("base", _model(spark, d)), ("weaker", _weaker(spark, d))], w, q, SEMANTIC)
+    return found.select("config_no", "config", *[_r(F.col(c)).alias(c) for c in ("sem_raw", "sem_pp", "syn_raw", "syn_pp", "all_pp")], "chosen")
+
+
+#: The blends of the registered grid; experiments.POWERS and ALPHAS are the whole one.
+GRID_POWERS, GRID_ALPHAS, GRID_WORDS, GRID_DIM = (0.0, 0.5, 1.0), (0.3, 0.7), 2000, 64
+
+
+def experiment_grid(spark, d):
+    """Decompositions of the corpus' associations at several powers, blended with the words' averaged neighbours."""
+    ids = _ids(spark, d)
+    cells = cooc.sppmi(cooc.cooccurrence(ids, S.window_size, top=GRID_WORDS), 1.0)
+    tables = experiments.svd_tables(cells, GRID_WORDS, GRID_DIM, GRID_POWERS)
+    base = vectors.combine(tables[0.5], tables[1.0])
+    words = _vocab(spark, d).where(F.col("id") < GRID_WORDS).select("id", "word").persist()
+    asked = _word_fours(words)
+    return experiments.comparison(experiments.blend_grid(base, tables, GRID_ALPHAS), words, asked, SEMANTIC)
+
+
+def gradient_check(spark, d):
+    return experiments.gradient_lines(spark)
 
 
 def svd_embeddings(spark, d):
@@ -313,6 +339,20 @@ def train_sgns(spark, d):
     return sgns.train(_tokens(spark, d), S).w_in
 
 
+def experiment_adaptive(spark, d):
+    """The baseline and adaptive windows, trained with the engine's settings, evaluated on fours of neighbouring words of the vocabulary."""
+    t = _tokens(spark, d)
+    words = vocab.build_vocab(t, S.min_count).where("id < 400")
+    return experiments.baseline_and_adaptive(t, _word_fours(words).persist(), S, semantic=SEMANTIC).scores
+
+
+def _word_fours(words):
+    """Questions of four neighbouring ids; ten categories."""
+    place = lambda k: F.max(F.when(F.col("id") % 4 == k, F.col("word")))
+    fours = words.groupBy(F.floor(F.col("id") / 4).alias("qno")).agg(*[place(k).alias(x) for k, x in enumerate("abcd")])
+    return fours.select(F.concat(F.lit("label_"), (F.col("qno") % 10).cast("string")).alias("category"), "qno", "a", "b", "c", "d")
+
+
 def loss_history(spark, d):
     return sgns.loss_windows(_history(spark, d), 2000).select("win", _r(F.col("loss")).alias("loss"))
 
@@ -339,7 +379,7 @@ def queries() -> dict[str, Query]:
         tokenize, corpus_stats, subsample_probs, subsample_tokens, neg_table, neg_sample, chunk_ids, pairs_window, pairs_sampled, pairs_weighted, pairs_afws, expected_pairs,
         cooc_marginals, cooc_topn, sppmi_top, lr_schedule, l2_normalize, nearest_neighbors, analogy_topk, analogy_eval, analogy_rollup, analogy_report, failure_analysis,
         model_select, combine, blend, extend_svd, mean_center, covariance, postprocess, svd_embeddings, svd_singular_values, sgns_loss, sgns_grad, sgns_grad_last, sgns_step,
-        sgns_step_weighted, train_sgns, loss_history, smooth_loss, parse_questions,
+        sgns_step_weighted, train_sgns, loss_history, smooth_loss, parse_questions, experiment_scores, experiment_grid, experiment_adaptive, gradient_check,
     ]
     return {"build_vocab": _vocab, "encode_ids": _ids, "cooc": cooc_, "sppmi": sppmi_} | {f.__name__: f for f in plain}
 

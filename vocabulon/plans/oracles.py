@@ -6,7 +6,7 @@ from functools import reduce
 
 TOKENS = r"""
 tokens as (select doc_id, pos - 1 as pos, w[pos] as word
-  from (select doc_id, regexp_extract_all(lower(text), '\S+') as w from documents), lateral unnest(range(1, len(w) + 1)) as t(pos)),
+  from (select doc_id, regexp_extract_all(lower(text), '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+') as w from documents), lateral unnest(range(1, len(w) + 1)) as t(pos)),
 vocab as (select row_number() over (order by cnt desc, doc, pos) - 1 as id, word, cnt
   from (select word, count(*) as cnt, min(doc_id) as doc, arg_min(pos, doc_id * 4294967296 + pos) as pos from tokens group by word having count(*) >= 5)),
 ids as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, id from tokens join vocab using (word))"""
@@ -90,6 +90,41 @@ def _long(source: str, column: str = "v") -> str:
     return f"select id, dim - 1 as dim, round({column}[dim], 6) as value from {source}, lateral unnest(range(1, 65)) as t(dim)"
 
 
+def _squared(name: str, cells: str) -> str:
+    """``name``: the unit vector of the strongest direction of a symmetric table (r, c, x), which 20 squarings leave alone."""
+    return f"""
+{name}_p(k, r, c, x) as (
+  select 0, r, c, x / sqrt(sum(x * x) over ()) from {cells}
+  union all
+  select k, r, c, x / sqrt(sum(x * x) over ()) from (
+    select a.k + 1 as k, a.r, b.c, sum(a.x * b.x) as x from {name}_p a join {name}_p b on a.c = b.r and a.k = b.k where a.k < 20 group by 1, 2, 3)),
+{name}_t as (select r as dim, x / sqrt((select max(x) from {name}_p where k = 20 and r = c)) as x from {name}_p
+  where k = 20 and c = (select r from {name}_p where k = 20 and r = c order by x desc, r limit 1)),
+{name} as (select dim, x / sqrt((select sum(x * x) from {name}_t)) as x from {name}_t)"""
+
+
+def _processed(m: str) -> str:
+    """``m``_pp_raw (id, v) and ``m``_pp: the unit rows of ``m`` less their mean and two strongest directions, as they are and of unit length."""
+    return f"""
+{m}_ppl as (select id, dim, v[dim] as x from {m}, lateral unnest(range(1, 65)) as t(dim)),
+{m}_ppm as (select dim, avg(x) as m from {m}_ppl group by dim),
+{m}_ppz as (select id, dim, x - m as x from {m}_ppl join {m}_ppm using (dim)),
+{m}_ppc as (select a.dim as r, b.dim as c, avg(a.x * b.x) as x from {m}_ppz a join {m}_ppz b using (id) group by 1, 2),
+{_squared(f'{m}_ppe', f'{m}_ppc')},
+{m}_pps as (select sum(a.x * c.x * b.x) as s from {m}_ppc c join {m}_ppe a on a.dim = c.r join {m}_ppe b on b.dim = c.c),
+{m}_ppd as (select r, c, c.x - s * a.x * b.x as x from {m}_ppc c join {m}_ppe a on a.dim = c.r join {m}_ppe b on b.dim = c.c, {m}_pps),
+{_squared(f'{m}_ppf', f'{m}_ppd')},
+{m}_ppy as (select id, sum(z.x * e.x) as p, sum(z.x * f.x) as q from {m}_ppz z join {m}_ppe e using (dim) join {m}_ppf f using (dim) group by id),
+{m}_ppw as (select z.id, dim, z.x - p * e.x - q * f.x as x from {m}_ppz z join {m}_ppy using (id) join {m}_ppe e using (dim) join {m}_ppf f using (dim)),
+{m}_pp_raw as (select id, list(x order by dim) as v from {m}_ppw group by id),
+{m}_pp as (select id, [x / (sqrt(list_inner_product(v, v)) + 1e-8) for x in v] as v from {m}_pp_raw)"""
+
+
+def _scores(m: str) -> str:
+    acc = "round(case when count(*) filter (where answerable and {0}) > 0 then count(*) filter (where correct and {0}) / count(*) filter (where answerable and {0}) else 0.0 end, 6) as {1}"
+    return f"(select {acc.format(SEM, 'sem')}, {acc.format('not ' + SEM, 'syn')}, {acc.format('true', 'overall')} from {m}_j)"
+
+
 def oracle_sql() -> dict[str, str]:
     t = f"with {TOKENS}"
     digest = "select center, cast(dist as bigint) as dist, count(*) as n, cast(sum(context) as bigint) as contexts from both_ways group by 1, 2"
@@ -108,7 +143,15 @@ def oracle_sql() -> dict[str, str]:
         for no, m in enumerate(("base", "other", "weaker"))
     )
     every = ", ".join([base, other, weaker, QUESTIONS, *[f"{_answers(m, 1)}, {_judged(m)}" for m in ("base", "other", "weaker")]])
+    models = ("base", "base_pp", "weaker", "weaker_pp")
+    processed = f"with recursive {base}, {weaker}, {_processed('base')}, {_processed('weaker')}, {QUESTIONS}, " + ", ".join(f"{_answers(m, 1)}, {_judged(m)}" for m in models)
+    compared = " union all ".join(
+        f"select cast({no} as bigint) as config_no, '{m}' as config, r.sem as sem_raw, p.sem as sem_pp, r.syn as syn_raw, p.syn as syn_pp, p.overall as all_pp from {_scores(m)} r, {_scores(m + '_pp')} p"
+        for no, m in enumerate(("base", "weaker"))
+    )
     sql = {
+        "postprocess": f"with recursive {base}, {_processed('base')} select id, dim - 1 as dim, round(v[dim], 5) as value from base_pp_raw, lateral unnest(range(1, 65)) as t(dim)",
+        "experiment_scores": f"{processed}, compared as ({compared}) select *, row_number() over (order by sem_pp desc, config_no) = 1 as chosen from compared",
         "tokenize": f"{t} select doc_id, pos, word from tokens",
         "build_vocab": f"{t} select id, word, cnt from vocab",
         "encode_ids": f"{t} select doc_id, pos, id from ids",

@@ -14,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text.  A few large files give few splits, so they are dealt again where cores would idle."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs
+    """doc_id, text."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, text of whole text files, zipped ones too; ids follow the paths' order."""
+    """doc_id, text of whole text files, zipped ones too; ids follow the paths' order.  A path without files is an error.
+
+    Paths alone are ordered, one row a file, and ids join back to the texts.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def unpack(batches):
@@ -39,10 +41,40 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     texts = files.mapInPandas(unpack, "path string, text string")
-    return texts.select((F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"), "text")
+    ids = texts.select("path").select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"))
+    return texts.join(ids, "path").select("doc_id", "text")
+
+
+#: A word: anything but Unicode white space and the ASCII separators 1C to 1F.
+WORD = r"[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def tokens(docs: DataFrame, lower: bool = True) -> DataFrame:
     """doc_id, pos, word: white-space words in order."""
     text = F.lower("text") if lower else F.col("text")
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(r"\S+"), 0)).alias("pos", "word"))
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(WORD), 0)).alias("pos", "word"))
+
+
+def fetched(spark: SparkSession, url: str, path: str) -> str:
+    """``path``, fetched from ``url`` if nothing is there yet; raises where that fails, so no later step runs on nothing.
+
+    Files land by Hadoop's file systems, the shared one by default, not in the driver's own folder.
+    """
+    import urllib.request
+
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(where):
+        return path
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".part")
+    try:
+        with urllib.request.urlopen(url) as source:  # noqa: S310
+            out = system.create(part, True)
+            while block := source.read(1 << 20):
+                out.write(bytearray(block))
+            out.close()
+    except OSError as failed:
+        system.delete(part, False)
+        raise FileNotFoundError(f"{path} is missing and {url} can't be fetched") from failed
+    system.rename(part, where)
+    return path
