@@ -272,7 +272,7 @@ def covariance(spark, d):
 
 
 def postprocess(spark, d):
-    return _long(vectors.postprocess(_model(spark, d), 2), places=5)
+    return _long(vectors.postprocess(_model(spark, d), 2), places=5).withColumn("value", F.col("value") + 0.0)  # no negative zeros
 
 
 def experiment_scores(spark, d):

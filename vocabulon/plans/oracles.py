@@ -150,7 +150,7 @@ def oracle_sql() -> dict[str, str]:
         for no, m in enumerate(("base", "weaker"))
     )
     sql = {
-        "postprocess": f"with recursive {base}, {_processed('base')} select id, dim - 1 as dim, round(v[dim], 5) as value from base_pp_raw, lateral unnest(range(1, 65)) as t(dim)",
+        "postprocess": f"with recursive {base}, {_processed('base')} select id, dim - 1 as dim, round(v[dim], 5) + 0.0 as value from base_pp_raw, lateral unnest(range(1, 65)) as t(dim)",
         "experiment_scores": f"{processed}, compared as ({compared}) select *, row_number() over (order by sem_pp desc, config_no) = 1 as chosen from compared",
         "tokenize": f"{t} select doc_id, pos, word from tokens",
         "build_vocab": f"{t} select id, word, cnt from vocab",
