@@ -48,12 +48,14 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return table
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Removes written ``tables`` that nothing reads any more.
+def released(spark: SparkSession) -> None:
+    """Shuffle files of finished jobs go when the driver's collector finds their plans unreachable: runs it."""
+    spark.sparkContext._jvm.System.gc()
+
 
-    Shuffle files of finished jobs go when the driver's collector finds their plans unreachable, so it is run.
-    """
+def dropped(*tables: DataFrame) -> None:
+    """Removes written ``tables`` that nothing reads any more, and the shuffle files of finished jobs with them."""
     for t in tables:
         _delete(t.sparkSession, t._scratch)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        released(tables[0].sparkSession)
