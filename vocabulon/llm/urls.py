@@ -8,7 +8,8 @@ the longest fitting entry decides.  Everything is built of DataFrame functions.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path; entries with equal host
 and path count once, ``block`` winning over ``allow``; of entries of one length the longer host
-wins; list rows with a null host, path or action are ignored; repeated pages each get their row;
+wins; list rows with a null or empty host, a null path or action are ignored; repeated pages each get
+their row;
 empty tables give empty results, and an empty list gives every page the default verdict.
 """
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .durable import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,7 +44,7 @@ def verdicts(pages: DataFrame, listed: DataFrame, default: str = "allow") -> Dat
     ``rule`` is host + path of the longest fitting entry, else null with the verdict ``default``.
     """
     entries = (
-        listed.where("host is not null and path is not null and action is not null")
+        listed.where("host <> '' and path is not null and action is not null")
         .select(F.translate("host", UPPER, LOWER).alias("host"), "path", "action")
         .groupBy("host", "path").agg(F.max("action").alias("action"))
         .select(F.concat("host", "path").alias("key"), "host", "path", "action")
@@ -67,4 +69,6 @@ def verdicts(pages: DataFrame, listed: DataFrame, default: str = "allow") -> Dat
         .groupBy("host", "path").agg(F.max(rank).alias("best"))
         .select("host", "path", F.col("best.key").alias("rule"), F.col("best.action").alias("verdict"))
     )
-    return parsed.join(found, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # written first, so both sides of the join are plain and a URL that very many pages share is split over tasks
+    named = parsed.where("host <> ''").join(written(found, "verdicts"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    return named.unionByName(parsed.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
