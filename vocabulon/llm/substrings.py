@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import textkernel as tk
-from .durable import dropped, written
+from .durable import dropped, released, written
 
-WIDTH = 50
+WIDTH, BLOOM_BLOCKS = 50, 1 << 17
 _SECOND_BASE = 0x8CB92BA72F3D8DD7
 tk._INV[_SECOND_BASE] = pow(_SECOND_BASE, -1, 1 << 64)
 
@@ -144,30 +144,72 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 def _texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_id, rk, text) of the documents whose key is in ``rows`` (doc_id, rk), and few others: filtered before they move."""
-    return bloom.filtered(docs.select("doc_id", row_key().alias("rk"), "text"), "rk", rows.select("rk"), "rk", rows.count(), 1 << 17)
+    return bloom.filtered(docs.select("doc_id", row_key().alias("rk"), "text"), "rk", rows.select("rk"), "rk", rows.count(), BLOOM_BLOCKS)
 
 
-def _shared(windows: DataFrame) -> DataFrame:
-    """The ``windows`` (key, start, a, b) that start in two documents or more, with ``lo``, the smallest id they start in.
+def _blocks(n: int) -> int:
+    """Blocks of a filter of ``n`` windows, a power of two, so their number is a mask of the hash."""
+    return 1 << (bloom.blocks_for(n, BLOOM_BLOCKS) - 1).bit_length()
+
+
+def _filter_of(shared: DataFrame) -> np.ndarray:
+    """The Bloom filter of shared windows (a, b), 8 MB at most: ``a`` has the block, ``b`` the bits."""
+    blocks = _blocks(shared.count())
+    place = F.struct(F.col("a").bitwiseAND(F.lit(blocks - 1)).alias("block"), F.col("b").alias("bits"))
+    return np.array(bloom.build(shared, place, blocks).first()["bloom"], np.int64).view(np.uint64)
 
-    The list of shared windows is written before the join, so both sides are plain shuffles and a window that a third of all
-    documents hold is split over tasks.
-    """
-    bounds = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    return windows.join(written(bounds.select("a", "b", "lo"), "shared"), ["a", "b"])
 
+def _may_hold(bits: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    slot = (a & np.uint64(len(bits) // bloom.BLOCK_LONGS - 1)) * np.uint64(bloom.BLOCK_LONGS)
+    hit = np.ones(len(a), bool)
+    for i in range(bloom.HASHES):
+        bit = (b >> np.uint64(9 * i)) & np.uint64(64 * bloom.BLOCK_LONGS - 1)
+        hit &= (bits[slot + (bit >> np.uint64(6))] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+    return hit
 
-def _doubled(kept: DataFrame, width: int) -> DataFrame:
-    """Windows of twice ``width`` words made of two neighbouring windows of ``kept``: their hashes are those of the halves."""
-    rows = kept.groupBy(*KEY).agg(F.map_from_entries(F.collect_set(F.struct("start", F.struct("a", "b")))).alias("at"))
-    pairs = F.expr(f"filter(transform(map_entries(at), e -> struct(e.key as start, e.value as x, try_element_at(at, e.key + {width}) as y)), e -> e.y is not null)")
-    both = rows.select(*KEY, F.explode(pairs).alias("e"))
-    return both.select(*KEY, "e.start", F.xxhash64("e.x.a", "e.y.a", "e.x.b").alias("a"), F.xxhash64("e.y.b", "e.x.b", "e.y.a", F.lit(width)).alias("b"))
 
+def _doubled(batches: Iterator[pa.RecordBatch], width: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows of windows of ``width`` words become rows of windows of twice as many: two neighbours, with a hash of their hashes.
 
-def levels(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
-    """Heads with ``first_id`` and ``last_id`` (smallest and largest id with the same words), and per level from ``width`` words on the repeated
-    windows (doc_id, rk, start, lo: the smallest id they start in), until a level has none."""
+    Windows that the filter ``bits`` of the shared ones doesn't know are left out first.
+    """
+    for batch in batches:
+        lists = [batch.column(c) for c in ("start", "a", "b")]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy()))
+        start, a, b = (x.flatten().to_numpy() for x in lists)
+        a, b = a.view(np.uint64), b.view(np.uint64)
+        if bits is not None:
+            keep = _may_hold(bits, a, b)
+            row, start, a, b = row[keep], start[keep], a[keep], b[keep]
+        place = (row << 32) + start  # sorted, as starts are in a row
+        after = np.searchsorted(place, place + width)
+        first = np.flatnonzero((after < len(place)) & (place[np.minimum(after, len(place) - 1)] == place + width)) if len(place) else np.zeros(0, np.int64)
+        second = after[first]
+        with np.errstate(over="ignore"):
+            a2 = tk.mix(a[first] + tk.mix(a[second] ^ np.uint64(width)))
+            b2 = tk.mix(b[first] ^ tk.mix(b[second] + np.uint64(2 * width + 1)))
+        rows, counts = np.unique(row[first], return_counts=True)
+        bounds = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
+        new = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (start[first], a2.view(np.int64), b2.view(np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows)) for c in KEY] + new, [*KEY, "start", "a", "b"])
+
+
+def _one_each(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of each row one window that the filter knows."""
+    for batch in batches:
+        row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("a").offsets.to_numpy()))
+        a, b = (batch.column(c).flatten().to_numpy().view(np.uint64) for c in ("a", "b"))
+        at = np.flatnonzero(_may_hold(bits, a, b))
+        rows, first = np.unique(row[at], return_index=True)
+        values = [pa.array(x[at[first]].view(np.int64)) for x in (a, b)]
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(rows)) for c in KEY] + values, [*KEY, "a", "b"])
+
+
+def levels(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Heads with ``first_id`` and ``last_id`` (smallest and largest id with the same words); per row (doc_id, rk) the starts of
+    its windows of ``width`` words that start in a document with a smaller id too; and per row the level, the longest of
+    width, 2 * width, 4 * width, ... words that it has a window of which another document has as well."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     own = written(heads(docs, width), "heads")
     copies = written(own.where("doc_id is not null").groupBy("seq").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")), "copies")
     head = own.join(copies, "seq", "left")
@@ -177,42 +219,56 @@ def levels(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, list[tuple[i
     dropped(anchors, shared)
     wide = (
         _texts_of(docs, live).join(live.hint("shuffle_hash"), KEY)
-        .mapInArrow(lambda it: _wide(it, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, start array<int>, a array<long>, b array<long>")
+        .mapInArrow(lambda it: _wide(it, width), f"doc_id {kind}, rk long, start array<int>, a array<long>, b array<long>")
         .select(*KEY, F.explode(F.arrays_zip("start", "a", "b")).alias("w")).select(*KEY, "w.start", "w.a", "w.b")
     )
-    windows, found = written(wide, "windows"), []
+    windows = written(wide, "windows")
+    bounds = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b", "lo")
+    bounds = written(bounds, "shared")  # before the join, so both sides are plain shuffles and a window of very many documents is split
+    released(docs.sparkSession)
+    kept = windows.join(bounds, ["a", "b"]).groupBy(*KEY).agg(F.array_sort(F.collect_set(F.struct("start", "a", "b", "lo"))).alias("w"))
+    kept = written(kept, "repeated")
+    dropped(windows, bounds)
+    starts = kept.select(*KEY, F.expr("transform(filter(w, x -> x.lo < doc_id), x -> x.start)").alias("starts")).where("size(starts) > 0")
+    reached = [kept.select(*KEY, F.lit(width).alias("level"))]
+    rows, bits = kept.select(*KEY, *[F.col(f"w.{c}").alias(c) for c in ("start", "a", "b")]), None
+    schema = f"doc_id {kind}, rk long, start array<int>, a array<long>, b array<long>"
+    before = None
     while True:
-        kept = written(_shared(windows), "repeated")
-        dropped(windows)
-        if kept.isEmpty():
-            return head.drop("anchors"), found
-        found.append((width, kept))
-        windows = written(_doubled(kept, width), "windows")
+        candidates = written(rows.mapInArrow(lambda it, w=width, f=bits: _doubled(it, w, f), schema), "doubled")
+        if before is not None:
+            dropped(before)
+        each = candidates.select("doc_id", F.explode(F.arrays_zip("a", "b")).alias("w")).select("doc_id", "w.a", "w.b")
+        repeated = written(each.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("a", "b"), "shared")
         width *= 2
+        if repeated.isEmpty():
+            break
+        bits = _filter_of(repeated)
+        # one window a row is enough to tell that the row is on this level; where it was a false hit of the filter, all are looked at
+        one = written(candidates.mapInArrow(lambda it, f=bits: _one_each(it, f), f"doc_id {kind}, rk long, a long, b long"), "one")
+        sure = written(one.join(repeated, ["a", "b"]).select(*KEY).distinct(), "sure")
+        rest = candidates.join(one.select(*KEY).join(sure, KEY, "left_anti"), KEY, "left_semi").select(*KEY, F.explode(F.arrays_zip("a", "b")).alias("w"))
+        more = rest.select(*KEY, "w.a", "w.b").join(repeated, ["a", "b"]).select(*KEY).distinct()
+        reached.append(written(sure.unionByName(more).select(*KEY, F.lit(width).alias("level")), "level"))
+        dropped(one, sure, repeated)
+        rows = before = candidates
+    level = reduce(DataFrame.unionByName, reached).groupBy(*KEY).agg(F.max("level").alias("level"))
+    return head.drop("anchors"), starts, level
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256, level (words of its longest windows that another document has; 0: none)."""
-    head, found = levels(docs, width)
-    starts, level = None, None
-    if found:
-        again = found[0][1].where("lo < doc_id")
-        starts = written(again.groupBy(*KEY).agg(F.collect_set("start").alias("starts")), "starts")
-        per_level = [kept.select(*KEY, F.lit(w).alias("level")).distinct() for w, kept in found]
-        level = written(reduce(DataFrame.unionByName, per_level).groupBy(*KEY).agg(F.max("level").alias("level")), "levels")
-        dropped(*[kept for _, kept in found])
-        cut = (
-            _texts_of(docs, starts).join(starts.hint("shuffle_hash"), KEY).select(*KEY, "text", "starts")
-            .mapInArrow(lambda it: _cut(it, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, n_removed long, kept binary")
-            .groupBy(*KEY).agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
-        )
-        head = head.join(cut, KEY, "left").join(level, KEY, "left")
-    else:
-        head = head.select("*", F.lit(None).cast("long").alias("n_removed"), F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("int").alias("level"))
+    head, starts, level = levels(docs, width)
+    cut = (
+        _texts_of(docs, starts).join(starts, KEY).select(*KEY, "text", "starts")
+        .mapInArrow(lambda it: _cut(it, width), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, n_removed long, kept binary")
+        .groupBy(*KEY).agg(F.first("n_removed").alias("n_removed"), F.first("kept").alias("kept"))
+    )
+    found = head.join(cut, KEY, "left").join(level, KEY, "left")
     whole = F.coalesce((F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= width), F.lit(False))
     copied = F.coalesce((F.col("first_id") < F.col("last_id")) & (F.col("n_words") >= width), F.lit(False))
     doubling = F.lit(width) * F.expr(f"shiftleft(1, length(bin(greatest(n_words, {width}) div {width})) - 1)")
-    return head.select(
+    return found.select(
         "doc_id", "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "seq")))).alias("kept_sha256"),
