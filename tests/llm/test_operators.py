@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,11 +203,11 @@ def test_quality_verdicts_with_and_without_labels(sp, docs):
 
 
 def test_a_proven_threshold_rejects(sp):
-    words = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    words = lambda i, n, mark="": " ".join(f"w{i}x{j}{mark}" for j in range(n))
     clean = [(i, words(i, 40), "en") for i in range(400)]
-    junk = [(1000 + i, words(1000 + i, 40) + " #" * 50, "en") for i in range(100)]
-    other = [(2000 + i, words(2000 + i, 40), "de") for i in range(20)] + [(2100, words(2100, 40) + " #" * 50, "de")]
-    copies = [(3000 + i, clean[0][1] + " #" * 60, "fr") for i in range(400)]  # 400 rows, one trial: nothing is proven
+    junk = [(1000 + i, words(1000 + i, 40, "##"), "en") for i in range(100)]
+    other = [(2000 + i, words(2000 + i, 40), "de") for i in range(20)] + [(2100, words(2100, 40, "##"), "de")]
+    copies = [(3000 + i, words(3000, 40, "##"), "fr") for i in range(400)]  # 400 rows, one trial: nothing is proven
     docs = sp.createDataFrame(clean + junk + other + copies, "doc_id long, text string, lang string")
     truth = [(i, 1) for i, _, _ in clean + other + copies] + [(i, 0) for i, _, _ in junk]
     labels = sp.createDataFrame(truth + truth[:50], "doc_id long, quality int")
@@ -342,6 +343,31 @@ def test_one_of_each_group_stays(sp, docs):
     assert neardup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_rows_that_share_an_id(sp):
+    a, b = base_text(31, 60), base_text(32, 60)
+    df = sp.createDataFrame([(3, a), (5, a), (5, b), (9, b), (11, None), (11, None), (None, a), (None, base_text(33, 40))], "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(df).orderBy("doc_id").collect()]
+    assert Counter(got) == Counter({(3, 3): 1, (5, 3): 2, (9, 3): 1, (11, 11): 2, (None, None): 2})
+    kept = neardup.first_of_each(df.unionByName(df.where("doc_id = 9")).withColumn("_key", F.lit("mine")).withColumn("rows", F.lit(1)))
+    rows = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert rows == sorted([(3, a), (5, b), (11, None), (None, base_text(33, 40))], key=str)  # no text is gone, none is there twice
+    assert kept.columns == ["doc_id", "text", "_key", "rows"]
+
+
+def test_a_group_around_the_threshold_makes_few_pairs(sp):
+    rng = np.random.default_rng(12)
+    base, rows = base_text(50, 150).split(), []
+    for i in range(700):  # from a few to many changed words: some link with the middle of the group, others with nothing
+        own = list(base)
+        for k in rng.integers(0, 150, int(rng.integers(0, 14))):
+            own[int(k)] = f"w{i}x{k}"
+        rows.append((i, " ".join(own)))
+    df = sp.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2).collect()}
+    assert got == brute_components(rows, 2)
+    assert 20 < len({c for _, c in got.values()}) < 700
+
+
 # --- 6 --------------------------------------------------------------------------------------------
 
 
@@ -370,6 +396,21 @@ def test_vector_search(sp):
     assert annsearch.search(df.where("false"), df).count() == 0
 
 
+def test_search_is_exact_where_the_index_misses_its_goal(sp):
+    x = np.random.default_rng(5).normal(size=(300, 8)).astype(np.float32).astype(float)
+    df = sp.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    h = annsearch.fit(annsearch.clean(df), 5)
+    h.reached = False
+    got = defaultdict(list)
+    for r in annsearch.search(df, df.where("vec_id % 50 = 0"), 5, h).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert found == np.lexsort((np.arange(300), -score))[:5].tolist()
+    assert len(got) == 6
+
+
 def test_rows_of_the_querys_own_id_take_no_place():
     x = np.arange(1.0, 41.0)[::-1, None] * np.ones((1, 2))
     ids = np.concatenate((np.zeros(10, np.int64), np.arange(1, 31)))
@@ -519,6 +560,19 @@ def tokenizer():
     return path, Tokenizer.from_file(path)
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    path, t = tokenizer()
+    plain = textkernel.hash_spans
+    monkeypatch.setattr(textkernel, "hash_spans", lambda *a, **k: plain(*a, **k) & np.uint64(6))
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    texts = [f"{base_text(i, 30)} É{i} it's {'long' * i}er {'long' * i}es 日本{i}" for i in range(1, 20)]
+    ids = packing.WordIds(path)
+    for lo, hi, w in textkernel.slices(pa.array(texts)):
+        out, bounds = ids.encode(w)
+        for i in range(lo, hi):
+            assert out[bounds[i - lo] : bounds[i - lo + 1]].tolist() == [*t.encode(texts[i], add_special_tokens=False).ids, 1]
+
+
 def test_packing_round_trip(sp, docs):
     import zlib
 
