@@ -268,7 +268,7 @@ def mean_center(spark, d):
 
 
 def covariance(spark, d):
-    return vectors.covariance(vectors.l2_normalized(_model(spark, d))).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), _r(F.col("value")).alias("value"))
+    return vectors.covariance(vectors.l2_normalized(_model(spark, d))).select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), (_r(F.col("value")) + 0.0).alias("value"))
 
 
 def postprocess(spark, d):

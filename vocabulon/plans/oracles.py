@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "blend": f"with {base}, {other}, m as (select x.id, [0.7 * x.v[i] + (1 - 0.7) * y.v[i] for i in range(1, len(x.v) + 1)] as v from base x join other y using (id)) {_long('m')}",
         "extend_svd": f"with {base}, {other}, avg_norm as (select avg(sqrt(list_inner_product(v, v)) + 1e-8) as m from other_raw where id % 3 = 0), m as (select x.id, case when x.id % 3 = 0 then y.v else [e * m for e in x.v] end as v from base x join other_raw y using (id), avg_norm) {_long('m')}",
         "mean_center": f"with {base} select dim - 1 as dim, round(avg(v[dim]), 6) as mean from base, lateral unnest(range(1, 65)) as t(dim) group by dim",
-        "covariance": f"with {base}, x as (select id, dim - 1 as dim, v[dim] as x from base, lateral unnest(range(1, 65)) as t(dim)), m as (select dim, avg(x) as m from x group by dim), c as (select id, dim, x - m as x from x join m using (dim)) select a.dim as r, b.dim as c, round(avg(a.x * b.x), 6) as value from c a join c b using (id) group by 1, 2",
+        "covariance": f"with {base}, x as (select id, dim - 1 as dim, v[dim] as x from base, lateral unnest(range(1, 65)) as t(dim)), m as (select dim, avg(x) as m from x group by dim), c as (select id, dim, x - m as x from x join m using (dim)) select a.dim as r, b.dim as c, round(avg(a.x * b.x), 6) + 0.0 as value from c a join c b using (id) group by 1, 2",
         "sgns_loss": f"with {plain} select round(sum(w * (greatest(case when slot = 0 then -x else x end, 0.0) + ln(1 + exp(-abs(x))))) / count(distinct row), 6) as loss, count(distinct row) as samples from found",
         "sgns_grad": f"with {plain} select side, id, dim, round(grad, 6) as grad from grads",
         "sgns_grad_last": f"with {plain} select side, id, dim, round(sum(g), 6) as grad from (select * from parts qualify row = max(row) over (partition by side, id, dim, s)) group by 1, 2, 3",
