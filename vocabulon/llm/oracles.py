@@ -108,8 +108,39 @@ select doc_id, size, cast(source_size as bigint) as source_size, cast(target as
 """
 
 
+WHITENING_BASE = """
+with fine as (
+  select vec_id, [cast(floor(256 * cast(c as double)) as bigint) for c in embedding] as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+fit as (select distinct x from fine),
+sums as (select i, cast(sum(x[i]) as bigint) as s, cast(count(*) as bigint) as n from fit, lateral unnest(range(1, len(x) + 1)) as t(i) group by i)
+select vec_id, any_value(n) as n, cast(sum((n * x[i] - s) * (n * x[i] - s)) as bigint) as deviation
+from (select vec_id, x, row_number() over () as r from fine), sums group by vec_id, r
+"""
+
+OP13 = """
+with ends as (select sale_id, min(shipped_at) as shipped from sale_lines group by sale_id),
+homes as (select client_id, min(nation_id) as nation_id from clients group by client_id),
+sold as (
+  select coalesce(h.nation_id, -1) as nation_id, epoch_us(sold_at) // 60000000 * 60 as a, epoch_us(shipped) // 60000000 * 60 + 604800 as b,
+    case when total is null or not isfinite(total) then 0 else cast(floor(100 * total + 0.5) as bigint) end as cents
+  from sales s left join ends e on e.sale_id = s.sale_id left join homes h on h.client_id = s.client_id where sold_at is not null),
+moves as (
+  select nation_id, a as t, 1 as n, cents from sold where b is null or b > a
+  union all select nation_id, b, -1, -cents from sold where b > a),
+steps as (
+  select nation_id, t, sum(n) as n, sum(cents) as cents from (select * from moves union all select -2, t, n, cents from moves)
+  group by nation_id, t having sum(n) <> 0 or sum(cents) <> 0),
+run as (
+  select nation_id, t as from_s, lead(t) over (partition by nation_id order by t) as to_s, sum(n) over (partition by nation_id order by t) as n_open,
+    sum(cents) over (partition by nation_id order by t) as open_cents from steps)
+select cast(nation_id as int) as nation_id, cast(from_s as bigint) as from_s, cast(to_s as bigint) as to_s, cast(n_open as bigint) as n_open, cast(open_cents as bigint) as open_cents,
+  cast(max(n_open) over (partition by nation_id order by from_s) as bigint) as high_open, open_cents = max(open_cents) over (partition by nation_id) as is_peak from run
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_url_filter": OP3, "op4_substring_dedup": OP4, "op5_minhash_near_duplicates": OP5, "quality_base": QUALITY_BASE, "secret_base": SECRET_BASE,
-        "personal_base": PERSONAL_BASE, "mix_targets": MIX_TARGETS,
+        "personal_base": PERSONAL_BASE, "mix_targets": MIX_TARGETS, "op13_peak_concurrency": OP13, "whitening_base": WHITENING_BASE,
     }

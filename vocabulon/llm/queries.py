@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annsearch, extraction, mixing, neardup, oracles, packing, pii, quality, secretscan, substrings, urls
+from . import annsearch, extraction, mixing, neardup, oracles, packing, pii, quality, secretscan, substrings, sweep, urls, whitening
 from .durable import written
 from .ship import ship
 
@@ -98,6 +98,28 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_read(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitening.whitened(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact figures of op11, a row a vector: SQL can express these, not the components."""
+    return op11_embedding_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
+
+
+#: Fixed by the query: the key under which every sale counts again.
+ALL_NATIONS = -2
+
+
+def op13_peak_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    opened = sweep.sale_intervals(*(_read(spark, sf_dir, t) for t in ("sales", "sale_lines", "clients")))
+    steps = sweep.stepped(opened, total=ALL_NATIONS)
+    seconds = lambda c: (F.col(c) * 60).alias
+    return steps.select(F.col("key").cast("int").alias("nation_id"), seconds("since")("from_s"), seconds("until")("to_s"), "n_open", F.col("amount_open").alias("open_cents"), F.col("high").alias("high_open"), "is_peak")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The figures that op2 judges by, alone: SQL can express these, not the method's verdict."""
     return op2_quality_rules(spark, sf_dir).select("doc_id", *quality.FEATURES, "base_failed")
@@ -127,10 +149,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_personal_data": op10_personal_data,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op13_peak_concurrency": op13_peak_concurrency,
         "quality_base": quality_base,
         "secret_base": secret_base,
         "personal_base": personal_base,
         "mix_targets": mix_targets,
+        "whitening_base": whitening_base,
     }
 
 
