@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annsearch, extraction, mixing, neardup, oracles, packing, pii, quality, secretscan, substrings, sweep, urls, whitening
+from . import annsearch, extraction, mixing, neardup, oracles, packing, pii, quality, secretscan, substrings, sweep, toxicity, urls, whitening
 from .durable import written
 from .ship import ship
 
@@ -108,6 +108,18 @@ def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_embedding_whitening(spark, sf_dir).where("component = 1").select("vec_id", "n", "deviation")
 
 
+#: Fixed by the query: scores from here on are predicted toxic.
+TOXIC_SCORE = 0.7
+
+
+def op12_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"), spans.alias("spans"))
+
+
 #: Fixed by the query: the key under which every sale counts again.
 ALL_NATIONS = -2
 
@@ -150,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_personal_data": op10_personal_data,
         "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_toxic_spans": op12_toxic_spans,
         "op13_peak_concurrency": op13_peak_concurrency,
         "quality_base": quality_base,
         "secret_base": secret_base,
