@@ -678,3 +678,36 @@ def test_redaction_keeps_columns(sp, docs):
     assert got[1]["text"] == "see [EMAIL] and [PHONE]" and got[1]["n_chars"] == 23 and got[1]["doc"] == "x" and got[7]["text"] is None
     out = pii.digests(df)
     assert out.count() == df.count() and pii.digests(empty(docs)).count() == 0
+
+
+def templates(n, common, own, spread=0):
+    """Texts of one template: ``common`` shared words and ``own`` (up to ``spread`` more) of their own."""
+    head = " ".join(f"t{i}" for i in range(common))
+    return [(i, head + " " + " ".join(f"d{i}x{j}" for j in range(own + (i % (spread + 1))))) for i in range(n)]
+
+
+@pytest.mark.parametrize(("own", "spread"), [(30, 0), (36, 12)])
+def test_a_template_below_the_threshold_costs_a_row_a_document_at_most(sp, own, spread):
+    """170 words of 200 to 218 are common to all: each two are less than 0.8 alike, and no list of rare values may hold them all."""
+    met = {}
+    for n in (100, 400):
+        docs = sp.createDataFrame(templates(n, 140, own, spread), "doc_id long, text string")
+        texts = docs.select(F.col("doc_id").alias("cls"), F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("block"), "text")
+        live = neardup._rare_posts(neardup._wide(texts, 2), 80)
+        met[n] = sum(a.groupBy("v", "long", "short").count().join(b.groupBy("v", "long", "short").agg(F.count(F.lit(1)).alias("m")), ["v", "long", "short"]).agg(F.coalesce(F.sum(F.col("count") * F.col("m")), F.lit(0))).first()[0] for a, b in neardup._meetings(live))
+    assert met[400] <= 8 * max(met[100], 400)
+
+
+def test_template_groups_on_either_side_of_the_threshold(sp):
+    """Sizes that differ: some of the pairs reach 0.8, by brute force, and all of these are found."""
+    rows = templates(60, 140, 10, 40)
+    docs = sp.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, words=2).collect()}
+    sets = {i: set(zip(t.split(), t.split()[1:])) for i, t in rows}
+    root = {i: i for i, _ in rows}
+    for i in root:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    assert got == root and 1 < len(set(root.values())) < 60

@@ -12,9 +12,11 @@
 4. Classes that still share a list with another component keep a wider sketch of ``WIDE`` values, the
    whole set for most.  Its values are ordered by how rare they are and only the rarest are listed:
    two sets above the threshold share so many values that one of them is among the first few of
-   both, by counting for whole sets and but for a chance of 1e-8 for longer ones.  Members of a group
-   that each differ by more than the threshold list their own words alone and never meet, however
-   many they are.  Who is in one component with most of a list meets the others of it only.
+   both, by counting for whole sets and but for a chance of 1e-8 for longer ones.  How many are few
+   depends on both sizes, so a value is listed for each size of partner by that size's own bound, and the
+   sizes are part of the key that lists meet on: documents of one template whose common part stays under
+   the threshold list their own words alone and never meet, however many they are.  Who is in one
+   component with most of a list meets the others of it only.
 5. Candidates meet in cells: every group is dealt into blocks of bounded size, and a text goes once
    to each pair of blocks that it has a candidate in, not once a pair.  There the bottom-k sketch
    of the union drops what is far below the threshold, and the full sets decide the rest.
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -288,13 +291,21 @@ def _wide(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("cls", "node", "block", "text").mapInArrow(run, f"cls long, n long, root {kind}, block long, values array<long>")
 
 
-def _rare_pairs(wide: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, cell): pairs of different components that share a value which is rare for both.
+#: Sets longer than WIDE count as one size up to this factor.
+SIZE_STEP = 1.02
+
+
+def _rare_posts(wide: DataFrame, similarity: int) -> DataFrame:
+    """(v, cls, root, block, n, size, minor, longer, shorter): who lists a rare value, and for partners of which sizes.
 
     In one order of all values, rare ones first, two sets that share c values and have x and y share one of
     the first x - c + 1 and y - c + 1.  For whole sets c is the least overlap at the threshold; where one
     is longer than WIDE, c is what two wide sketches share but for a chance of 1e-8 (5.6 standard deviations).
     Values of one document alone only count: they stand before all others.
+
+    c depends on both sizes, so a value is listed for each size that its list holds by that size's own c: ``longer``
+    has the sizes of partners that are no longer, ``shorter`` of those that are no shorter.  Sets of one template whose common
+    values stay under the threshold list their own values alone, and none of them is left here.
     """
     s = similarity / 100
     least = math.floor(WIDE * s - 5.6 * math.sqrt(WIDE * s * (1 - s)))
@@ -304,24 +315,43 @@ def _rare_pairs(wide: DataFrame, similarity: int) -> DataFrame:
     ranked = posts.join(twice, "v").groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("l"))
     # the most that any partner can ask for: one as small as can be, or one longer than WIDE
     most = f"if(n <= {WIDE}, greatest(n - ceil({similarity} * n / 100), n - {least}), {WIDE} - {least}) + 1"
+    size = f"if(n <= {WIDE}, n, least(n, cast(floor({WIDE} * pow({SIZE_STEP}, floor(ln(n / {WIDE}) / ln({SIZE_STEP})))) as bigint)))"
     listed = (
         ranked.join(wide.select("cls", "n", "root", "block"), "cls").withColumn("alone", F.expr(f"{few} - size(l)"))
         .withColumn("l", F.expr(f"slice(l, 1, greatest(0, {most} - alone))"))
-        .select("cls", "n", "root", "block", "alone", F.posexplode("l").alias("p", "e")).select(F.col("e.v").alias("v"), "cls", "n", "root", "block", F.expr("alone + p").alias("p"))
+        .select("cls", "n", "root", "block", "alone", F.posexplode("l").alias("p", "e"))
+        .select(F.col("e.v").alias("v"), "cls", "n", "root", "block", F.expr("alone + p").alias("p"), F.expr(size).alias("size"))
     )
     listed = written(listed, "listed")
     per_root = listed.groupBy("v", "root").agg(F.count(F.lit(1)).alias("c"))
     lists = per_root.groupBy("v").agg(F.max(F.struct("c", "root")).alias("m"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("v", F.col("m.root").alias("most"))
-    live = written(listed.join(lists, "v").withColumn("minor", F.expr("root <> most")).drop("most"), "live")
+    lists = lists.join(listed.groupBy("v").agg(F.collect_set("size").alias("sizes")), "v")
+    overlap = f"ceil({similarity} * (n + z) / {100 + similarity})"
+    # a size above WIDE stands for those up to a step more
+    longer = f"filter(sizes, z -> z <= size and 100 * z * {SIZE_STEP} + 100 >= {similarity} * n and p <= if(n <= {WIDE}, n - {overlap}, {WIDE} - {least}))"
+    shorter = f"filter(sizes, z -> z >= size and 100 * n >= {similarity} * z and p <= if(z <= {WIDE}, n - {overlap}, {few} - {least}))"
+    own = listed.join(lists, "v").select("v", "cls", "root", "block", "n", "size", F.expr("root <> most").alias("minor"), F.expr(longer).alias("longer"), F.expr(shorter).alias("shorter"))
+    live = written(own.where("size(longer) > 0 or size(shorter) > 0"), "live")
     dropped(listed)
-    a, b = (live.select("v", *[F.col(c).alias(c + x) for c in live.columns if c != "v"]) for x in "ab")
-    # a is the longer one
-    both_whole, overlap = f"na <= {WIDE}", f"ceil({similarity} * (na + nb) / {100 + similarity})"
-    fits = F.expr(
-        f"roota <> rootb and (na > nb or (na = nb and clsa > clsb)) and 100 * nb >= {similarity} * na"
-        f" and pa <= if({both_whole}, na - {overlap}, {WIDE} - {least}) and pb <= if({both_whole}, nb - {overlap}, least(nb, {WIDE}) - {least})"
-    )
-    met = a.where("minora").join(b, "v").where(fits).unionByName(a.where("not minora").join(b.where("minorb"), "v").where(fits))
+    return live
+
+
+def _meetings(live: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of sides that meet on (v, size, other): who is the longer one, who the shorter; members of a list's largest component meet the others only."""
+
+    def side(x: str, partners: str, own: str, other: str) -> DataFrame:
+        rows = live.select(*[F.col(c).alias(c + x) for c in ("cls", "root", "block", "n", "minor")], "v", F.col("size").alias(own), F.explode(partners).alias(other))
+        return rows
+
+    a, b = side("a", "longer", "long", "short"), side("b", "shorter", "short", "long")
+    return [(a.where("minora"), b), (a.where("not minora"), b.where("minorb"))]
+
+
+def _rare_pairs(wide: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, cell): pairs of different components that share a value which is rare for both (``_rare_posts``)."""
+    live = _rare_posts(wide, similarity)
+    fits = F.expr(f"roota <> rootb and (na > nb or (na = nb and clsa > clsb)) and 100 * nb >= {similarity} * na")
+    met = reduce(DataFrame.unionByName, [a.join(b, ["v", "long", "short"]).where(fits) for a, b in _meetings(live)])
     pairs = met.select(F.col("clsa").alias("a"), F.col("clsb").alias("b"), F.xxhash64("blocka", "blockb").alias("cell")).distinct()
     found = written(pairs, "pairs")
     dropped(live)
