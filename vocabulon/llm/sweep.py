@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .durable import dropped, written
 
-#: Moments a range has; ranges a block of the carry scan has; events a task holds before it sums them up.
-WIDTH, BLOCK, HELD = 1440, 256, 500_000
+#: Moments a range has (a week of minutes: long enough that a task's functions aren't crumbs, a fifth of a megabyte at most);
+#: ranges a block of the carry scan has; events a task holds before it sums them up.
+WIDTH, BLOCK, HELD = 10_080, 256, 500_000
 _PART = "key long, range long, part long, at array<int>, n array<long>, amount array<long>"
 
 
@@ -196,10 +197,11 @@ def sale_intervals(sales: DataFrame, lines: DataFrame, clients: DataFrame, days:
     """key (the client's nation, -1 without one), start, end (``days`` after the first shipment), amount (cents), in minutes.
 
     A client that is there several times counts by its smallest nation.  Totals that are null, infinite or no number are 0 cents.
-    Sales meet their lines' minimum, one row a sale; a hot client's partition of the second join is split by Spark as it runs.
+    Sales meet their lines' minimum, one row a sale.  The clients' homes are written, so that both sides of the second join are
+    plain exchanges: only then does Spark split a hot client's partition as it runs.
     """
     shipped = lines.where("sale_id is not null and shipped_at is not null").groupBy("sale_id").agg(F.min(minutes(lines, "shipped_at")).alias("shipped"))
-    homes = clients.where("client_id is not null").groupBy("client_id").agg(F.min("nation_id").alias("nation_id"))
+    homes = written(clients.where("client_id is not null").groupBy("client_id").agg(F.min("nation_id").alias("nation_id")), "homes")
     cents = F.floor(F.col("total") * 100 + 0.5)
     finite = F.col("total").isNotNull() & ~F.isnan("total") & (F.abs("total") < float("inf"))
     sold = sales.where("sold_at is not null").select("sale_id", "client_id", minutes(sales, "sold_at").alias("start"), F.when(finite, cents).otherwise(F.lit(0)).alias("amount"))
