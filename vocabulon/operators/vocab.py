@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from ..sources.scratch import written
 from .ordered import BLOCK, ranked, running, running_max
 
 
@@ -21,7 +22,7 @@ def build_vocab(tokens: DataFrame, min_count: int = 5, width: int = BLOCK) -> Da
     task sorts the whole vocabulary: only the distinct counts meet in one window, and the words of one
     count are ranked by ranges of ``width`` documents.
     """
-    counted = word_counts(tokens).where(F.col("cnt") >= min_count)
+    counted = written(word_counts(tokens).where(F.col("cnt") >= min_count), "words")  # read three times; the text once
     sizes = counted.groupBy("cnt").agg(F.count(F.lit(1)).alias("n"))
     above = F.sum("n").over(Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("cnt", F.coalesce(above, F.lit(0)).alias("above"))
@@ -29,9 +30,14 @@ def build_vocab(tokens: DataFrame, min_count: int = 5, width: int = BLOCK) -> Da
     return placed.join(offsets, "cnt").select((F.col("above") + F.col("rank") - 1).cast("long").alias("id"), "word", "cnt")
 
 
+def known_words(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """doc_id, pos, id: words of the vocabulary where they stand, for those who need their order alone."""
+    return tokens.join(vocab.select("word", "id"), "word").select("doc_id", "pos", "id")
+
+
 def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """doc_id, pos, id: words out of the vocabulary go, and positions close up."""
-    known = tokens.join(vocab.select("word", "id"), "word")
+    known = known_words(tokens, vocab)
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     return known.select("doc_id", place.cast("long").alias("pos"), "id")
 

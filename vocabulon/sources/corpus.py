@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,14 +45,24 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return texts.join(ids, "path").select("doc_id", "text")
 
 
-#: A word: anything but Unicode white space and the ASCII separators 1C to 1F.
-WORD = r"[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+#: White space beyond ASCII, and a word of what is left when it has become plain blanks: anything but ASCII white space and the separators 1C to 1F.
+BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = r"[^\x09-\x0D\x1C-\x20]+"
+
+
+def words_of(text: Column) -> Column:
+    """The white-space words of a text, in order.
+
+    Words are cut by a class of ASCII characters, which is twice as fast as one with ranges beyond; the few texts that hold other
+    white space get plain blanks in its place first.
+    """
+    plain = F.when(text.rlike(f"[{BLANKS}]"), F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
+    return F.regexp_extract_all(plain, F.lit(WORD), 0)
 
 
 def tokens(docs: DataFrame, lower: bool = True) -> DataFrame:
     """doc_id, pos, word: white-space words in order."""
-    text = F.lower("text") if lower else F.col("text")
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(WORD), 0)).alias("pos", "word"))
+    return docs.select("doc_id", F.posexplode(words_of(F.lower("text") if lower else F.col("text"))).alias("pos", "word"))
 
 
 def fetched(spark: SparkSession, url: str, path: str) -> str:
