@@ -6,11 +6,13 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vocabulon.config import Settings
 from vocabulon.functions import scalars
-from vocabulon.operators import analogy, cooc, pairs, sgns, svd, vectors, vocab
+from vocabulon.operators import analogy, cooc, pairs, sgns, svd, training, vectors, vocab
 from vocabulon.sources import corpus, questions, store
 
 os.environ["PYTHONPATH"] = str(Path(__file__).resolve().parents[1])
@@ -139,12 +141,33 @@ def test_postprocessing_centres_and_removes(spark):
     assert np.linalg.matrix_rank(two, tol=1e-6) == 4
 
 
-def test_svd_matches_dense(spark):
-    m = np.random.default_rng(1).normal(size=(30, 30))
-    m = m @ m.T
-    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(30) for j in range(30)], "i long, j long, value double")
-    _, s = svd.randomized_svd(cells, 30, 5)
-    assert np.allclose(s, np.linalg.svd(m)[1][:5], rtol=1e-4)
+@pytest.mark.parametrize(("n", "grid"), [(30, 1), (2100, 2)])
+def test_svd_matches_dense_and_holds_no_thin_matrix_on_the_driver(spark, monkeypatch, n, grid):
+    rng = np.random.default_rng(1)
+    basis = np.linalg.qr(rng.normal(size=(n, 30)))[0]
+    m = (basis * 0.5 ** np.arange(30)) @ basis.T
+    if n > 100:  # sparse: what is large; symmetric still
+        m[np.abs(m) < np.quantile(np.abs(m), 0.97)] = 0
+    at = np.argwhere(m)
+    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in at], "i long, j long, value double").repartition(4)
+    largest = []
+    collect = type(cells).collect
+    monkeypatch.setattr(type(cells), "collect", lambda df: largest.append(rows := collect(df)) or rows)
+    u, s = svd.randomized_svd(cells, n, 5, power_iterations=3, oversample=10, grid=grid)
+    monkeypatch.undo()
+    assert all(len(rows) == 1 for rows in largest)  # triangular factors alone
+    left, values, _ = np.linalg.svd(m)
+    assert np.allclose(s, values[:5], rtol=1e-6)
+    rows = {r["id"]: r["vec"] for r in u.collect()}
+    got = np.array([rows[i] for i in range(n)])
+    assert np.allclose(got.T @ got, np.eye(5), atol=1e-10) and np.allclose(np.abs((got * left[:, :5]).sum(axis=0)), 1, atol=1e-5)
+
+
+def test_svd_of_a_table_of_less_rank_than_asked(spark):
+    cells = spark.createDataFrame([(0, 0, 3.0), (1, 2, 2.0), (2, 1, 2.0)], "i long, j long, value double")
+    u, s = svd.randomized_svd(cells, 40, 10, grid=2)
+    assert np.allclose(s, [3, 2, 2], atol=1e-12) and u.count() == 40
+    assert {r["id"]: np.round(np.abs(r["vec"]), 6).tolist() for r in u.collect()}[0][0] == 1.0
 
 
 def batch(spark, rows):
@@ -191,31 +214,101 @@ def test_extreme_dots_are_clipped_and_last_duplicate_wins(spark):
     assert both == pytest.approx((x(0.3) - 1) * 0.3 + x(0.2) * 0.2)
 
 
-def test_training_lowers_the_loss(spark):
-    text = " ".join(["a b c d e f", "g h i j k l"] * 300)
-    # gradients of equal ids add up within a batch, so with twelve words batches must be small
-    s = Settings(embed_dim=8, epochs=4, min_count=1, subsample_t=1.0, neg_table_size=1000, window_size=3, batch_size=8)
-    done = sgns.train(corpus.tokens(docs(spark, text, text)), s)
-    losses = [r["loss"] for r in done.history.orderBy("batch").collect()]
-    assert losses[-1] < losses[0] and done.w_in.count() == 12
+SMALL = Settings(embed_dim=8, epochs=4, min_count=1, subsample_t=1.0, window_size=3, batch_size=8)
+TWELVE = " ".join(["a b c d e f", "g h i j k l"] * 300)
+
+
+def vectors_of(df):
+    return {r["id"]: r["vec"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_training_lowers_the_loss(spark, monkeypatch, blocks):
+    monkeypatch.setattr(training, "LEAST_BATCH", 8)  # gradients of equal ids add up within a batch, so with twelve words batches must be small
+    done = training.train(corpus.tokens(docs(spark, TWELVE, TWELVE)), SMALL, blocks=blocks, log_every=100)
     rows = done.history.orderBy("batch").collect()
+    assert rows[-1]["loss"] < 0.8 * rows[0]["loss"] and sorted(vectors_of(done.w_in)) == sorted(vectors_of(done.w_out)) == list(range(12))
     assert [r["processed"] for r in rows] == sorted(r["processed"] for r in rows) and rows[-1]["processed"] == done.pairs
     assert {r["epoch"] for r in rows} == set(range(4)) and rows[-1]["lr"] < 0.01 < rows[0]["lr"]
+    near = vectors_of(vectors.l2_normalized(done.w_in))
+    same = [np.dot(near[i], near[j]) for i in range(12) for j in range(i) if i % 2 == j % 2]
+    assert np.isfinite(same).all()
+
+
+def test_training_does_not_depend_on_partitions_and_resumes_where_it_was_stopped(spark, tmp_path, monkeypatch):
+    texts = [TWELVE[k : k + 700] for k in range(0, 2800, 350)]
+    t = corpus.tokens(docs(spark, *texts))
+    whole = training.train(t, SMALL, blocks=2)
+    again = training.train(t.repartition(7), SMALL, blocks=2)
+    assert vectors_of(again.w_in) == vectors_of(whole.w_in) and vectors_of(again.w_out) == vectors_of(whole.w_out)
+    state, deal, dealt = f"file://{tmp_path}/state", training.dealt, []
+
+    def killed(*args):
+        dealt.append(args[3])
+        if len(dealt) == 3:
+            raise KeyboardInterrupt
+        return deal(*args)
+
+    monkeypatch.setattr(training, "dealt", killed)
+    with pytest.raises(KeyboardInterrupt):
+        training.train(t, SMALL, blocks=2, state=state)
+    resumed = training.train(t, SMALL, blocks=2, state=state)
+    assert dealt == [0, 1, 2, 2, 3]  # what was committed isn't trained again
+    assert vectors_of(resumed.w_in) == vectors_of(whole.w_in) and vectors_of(resumed.w_out) == vectors_of(whole.w_out)
+    assert [tuple(r) for r in resumed.history.collect()] == [tuple(r) for r in whole.history.collect()]
+    finished = training.train(t, SMALL, blocks=2, state=state)
+    assert len(dealt) == 5 and vectors_of(finished.w_in) == vectors_of(whole.w_in)
+    with pytest.raises(ValueError, match="other settings"):
+        training.train(t, SMALL.with_(window_size=2), blocks=2, state=state)
+
+
+def test_training_goes_on_from_a_model(spark):
+    t = corpus.tokens(docs(spark, TWELVE))
+    first = training.train(t, SMALL.with_(epochs=1), blocks=2)
+    start = (first.w_in.where("id <> 3"), first.w_out)
+    none = training.train(t, SMALL.with_(epochs=0), blocks=2, start=start)
+    got, old = vectors_of(none.w_in), vectors_of(first.w_in)
+    assert {k: v for k, v in got.items() if k != 3} == {k: v for k, v in old.items() if k != 3} and got[3] != old[3] and none.pairs == 0
+    assert vectors_of(none.w_out) == vectors_of(first.w_out)
+    more = training.train(t, SMALL.with_(epochs=1), blocks=2, start=start)
+    assert more.history.first()["loss"] < first.history.first()["loss"]
+
+
+def test_training_holds_a_block_in_a_task_and_none_on_the_driver(spark, monkeypatch):
+    """With blocks of 256 bytes, twelve words of eight dimensions need two; the driver gets counts and notes of losses alone."""
+    monkeypatch.setattr(training, "BLOCK_BYTES", 256)
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: seen.append(df.columns) or collect(df))
+    monkeypatch.setattr(SparkContext, "broadcast", lambda *a: pytest.fail("a broadcast"))
+    weights = training.initial_weights
+    cut = []
+    monkeypatch.setattr(training, "initial_weights", lambda v, s, blocks, start: cut.append(blocks) or weights(v, s, blocks, start))
+    done = training.train(corpus.tokens(docs(spark, TWELVE)), SMALL.with_(epochs=1))
+    assert cut == [2] and {tuple(c) for c in seen} <= {("rotation", "n"), ("a",)}
+    monkeypatch.undo()
+    assert done.w_in.count() == 12
 
 
-def test_training_refuses_models_that_do_not_fit_and_reports_as_it_goes(spark, monkeypatch):
+def test_training_reports_as_it_goes_and_weighs_by_distance(spark):
     t = corpus.tokens(docs(spark, "a b c d " * 40))
-    monkeypatch.setattr(sgns, "MODEL_BYTES", 100)
-    with pytest.raises(ValueError, match="raise min_count"):
-        sgns.train(t, Settings(embed_dim=8, min_count=1))
-    monkeypatch.undo()
     seen = []
-    s = Settings(embed_dim=4, epochs=5, min_count=1, subsample_t=1.0, neg_table_size=100, window_size=2, batch_size=16)
-    done = sgns.train(t, s, lambda epoch, emb: seen.append((epoch, emb.count())), log_every=3)
+    s = Settings(embed_dim=4, epochs=5, min_count=1, subsample_t=1.0, window_size=2, batch_size=16)
+    done = training.train(t, s, lambda epoch, emb: seen.append((epoch, emb.count())), log_every=3)
     assert seen == [(5, 4)] and done.history.count() > 5
-    with pytest.raises(ValueError, match="fewer"):
-        monkeypatch.setattr(svd, "THIN_BYTES", 100)
-        svd.randomized_svd(spark.createDataFrame([(0, 0, 1.0)], "i long, j long, value double"), 50, 10)
+    for more in ({"use_position_weights": True}, {"use_afws": True}):
+        assert training.train(t, s.with_(epochs=1, **more)).pairs > 0
+    nothing = training.train(t.where("false"), s)
+    assert nothing.w_in.count() == 0 and nothing.pairs == 0 and nothing.history.count() == 0
+
+
+def test_pairs_of_long_documents_are_those_of_the_whole(monkeypatch):
+    ids, counts = np.arange(1000) % 37, np.full(1000, 5)
+    s = Settings(window_size=4, subsample_t=1e9)
+    sure = type("Sure", (), {"random": staticmethod(np.zeros), "permutation": staticmethod(np.arange)})()
+    whole = np.concatenate(list(training.pairs_of(ids, counts, s, 1.0, 5.0, sure)), axis=1)
+    monkeypatch.setattr(training, "SEGMENT", 90)
+    parts = np.concatenate(list(training.pairs_of(ids, counts, s, 1.0, 5.0, sure)), axis=1)
+    assert whole.shape == parts.shape == (3, 2 * sum(1000 - d for d in range(1, 5))) and sorted(map(tuple, whole.T)) == sorted(map(tuple, parts.T))
 
 
 def test_ordered_sums_do_not_depend_on_blocks(spark):
@@ -248,6 +341,42 @@ def test_chunks_of_one_stream_are_read_like_documents(spark):
     assert cooc.cooccurrence(vocab.chunked(rows, 8), 1).count() == 14
 
 
+@pytest.mark.parametrize(("dense", "held", "stretch"), [(1024, 4_000_000, 16), (3, 50, 2)])
+def test_cells_equal_brute_force_however_they_are_held(spark, dense, held, stretch):
+    rng = np.random.default_rng(0)
+    docs_ = [rng.integers(0, 25, n).tolist() for n in (0, 1, 40, 7, 300, 2)]
+    rows = [(d, 2 * p + d, i) for d, s in enumerate(docs_) for p, i in enumerate(s)]  # places with gaps
+    table = spark.createDataFrame(rows, "doc_id long, pos long, id long").repartition(5)
+    for window, weighted, top in ((10, True, None), (3, False, 11), (4, True, 11)):
+        want = {}
+        for s in docs_:
+            for p, a in enumerate(s):
+                for k in range(1, window + 1):
+                    if p + k < len(s) and (top is None or max(a, s[p + k]) < top):
+                        for x, y in ((a, s[p + k]), (s[p + k], a)):
+                            want[x, y] = want.get((x, y), 0) + (1 / k if weighted else 1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+        unit = cooc.unit_of(window, weighted)
+        half = cooc.counted_pairs(table, window, weighted, top, dense, held, stretch)
+        got = {(r["i"], r["j"]): r["value"] for r in cooc.mirrored(cooc._values(half, unit), "value").collect()}
+        sums = {r["i"]: (r["total"], r["n_cells"]) for r in cooc.marginals_of_pairs(half, unit).collect()}
+        plain = {r["i"]: (r["total"], r["n_cells"]) for r in cooc.marginals(cooc.cooccurrence(table, window, weighted, top)).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == {k: pytest.approx(v) for k, v in want.items()}
+        assert sums == {k: (pytest.approx(t), n) for k, (t, n) in plain.items()}
+    a = {(r["i"], r["j"]): r["value"] for r in cooc.sppmi(cooc.cooccurrence(table, 4), 1.0).collect()}
+    b = {(r["i"], r["j"]): r["value"] for r in cooc.associations(table, 4, 1.0).collect()}
+    assert a and b == {k: pytest.approx(v, abs=1e-12) for k, v in a.items()}
+
+
+def test_unknown_words_of_examples_are_said_to_be(spark):
+    emb = spark.createDataFrame([(i, v) for i, v in enumerate(([1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.5, 1.0]))], "id long, vec array<double>")
+    w = spark.createDataFrame(list(enumerate("abcd")), "id long, word string")
+    asked = spark.createDataFrame([("x", 1, "a", "b", "c", "d"), ("x", 2, "a", "zz", "c", "d"), ("x", 3, "a", "b", "c", "zz")], "category string, qno long, a string, b string, c string, d string")
+    got = {(r["qno"], r["rank"]): (r["answer"], r["score"]) for r in analogy.examples(emb, w, asked, 5).collect()}
+    assert got[2, 1] == ("OOV", 0.0) and got[1, 1][0] == got[3, 1][0] == "d" and len(got) == 3
+
+
 def test_words_are_cut_at_unicode_white_space(spark):
     text = "a\u0085b\u00a0c\u2003d\u3000e\x1cf\tg\u200bh"
     got = [r["word"] for r in corpus.tokens(docs(spark, text)).orderBy("pos").collect()]
@@ -278,28 +407,57 @@ def test_experiments(spark, tmp_path):
         assert best["chosen"]
     assert [(r["model"], r["epoch"]) for r in contest.checks.collect()] == [("baseline", 5)]
     words = vocab.build_vocab(t, 1).select("id", "word")
-    cells = cooc.sppmi(cooc.cooccurrence(vocab.encode(t, vocab.build_vocab(t, 1)), 3), 1.0)
-    models = experiments.blend_grid(contest.baseline.w_in, experiments.svd_tables(cells, 12, 6, (0.0, 0.5)), (0.3,))
-    assert [n for n, _ in models] == ["Baseline", "SVD-only (p=0.0)", "SVD-only (p=0.5)", "Blend(a=0.3, p=0.0)", "Blend(a=0.3, p=0.5)"]
-    table = experiments.comparison(models[:3], words, asked, components=1)
+    table = experiments.comparison([("one", contest.baseline.w_in), ("two", contest.adaptive.w_in)], words, asked, components=1)
     got = table.orderBy("config_no").collect()
     assert [r["chosen"] for r in got].count(True) == 1 and next(r for r in got if r["chosen"])["sem_pp"] == max(r["sem_pp"] for r in got)
-    raw = experiments.scores(models[1][1], words, asked).first()
+    raw = experiments.scores(contest.adaptive.w_in, words, asked).first()
     assert (got[1]["sem_raw"], got[1]["syn_raw"]) == (raw["semantic"], raw["syntactic"])
-    lines = [r["text"] for r in experiments.table_lines(table).orderBy("line").collect()]
-    assert len(lines) == 5 and lines[2].startswith("| Baseline") and len({len(x) for x in lines}) <= 2
+    lines = [r["text"].split("\t") for r in experiments.table_lines(table).orderBy("line").collect()]
+    assert [x[0] for x in lines] == ["model", "one", "two"] and [x[1] for x in lines[1:]] == [f"{100 * r['sem_raw']:.1f}" for r in got] and sum(x[-1] == "chosen" for x in lines) == 1
     charts = plots.training_plots(contest.curves.where("model = 'baseline'"))
     assert charts["loss"].count("<polyline") >= 1 and "<svg" in plots.comparison_plot(contest.curves)
     store.save_text(spark, charts["loss"], f"file://{tmp_path}/loss.svg")
     assert spark.read.text(f"file://{tmp_path}/loss.svg", wholetext=True).first()["value"].startswith("<svg")
 
 
-def test_gradient_report(spark):
-    from vocabulon.operators import experiments
-
-    lines = [r["text"] for r in experiments.gradient_lines(spark).orderBy("line").collect()]
-    assert sum("PASS" in x for x in lines) == 8 and not any("FAIL" in x for x in lines)
-    assert "FAIL" in experiments.gradient_report(lambda part: 1.0)[-1]
+def test_gradients_of_a_table_are_held_against_differences(spark, monkeypatch):
+    rng = np.random.default_rng(42)
+    table = lambda: spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(8)], "id long, vec array<double>")
+    b = batch(spark, [(0, 3, 5, [1, 1, 5], 1.0), (1, 3, 5, [2, 3, 0], 0.5), (2, 7, 1, [7, 6, 6], 1.0)])
+    w_in, w_out = table().cache(), table().cache()
+    got = {r["side"]: r for r in sgns.gradient_errors(b, w_in, w_out).collect()}
+    assert {k: r["parameters"] for k, r in got.items()} == {"in": 2 * 4, "out": 7 * 4} and all(r["ok"] and r["error"] < 1e-7 for r in got.values())
+    right = sgns.gradients
+    monkeypatch.setattr(sgns, "gradients", lambda *a: right(*a).withColumn("grad", F.when(F.col("side") == "in", F.col("grad") * 1.01).otherwise(F.col("grad"))))
+    assert {r["side"]: r["ok"] for r in sgns.gradient_errors(b, w_in, w_out).collect()} == {"in": False, "out": True}
+
+
+def test_a_grid_equals_its_models_as_tables(spark):
+    from vocabulon.operators import experiments, grid
+
+    rng = np.random.default_rng(8)
+    n, d = 60, 6
+    emb = lambda ids, scale: spark.createDataFrame([(int(i), (scale * rng.normal(size=d)).tolist()) for i in ids], "id long, vec array<double>").cache()
+    trained, u, s = emb(range(n), 2.0), emb(range(40), 0.3), np.array([5.0, 4.0, 2.5, 2.0, 1.0, 0.0])
+    words = spark.createDataFrame([(i, f"w{i}") for i in range(n)], "id long, word string")
+    pick = [rng.choice(n, 4, replace=False) for _ in range(150)]
+    x = {r["id"]: np.array(r["vec"]) for r in trained.collect()}
+    unit = {i: v / np.linalg.norm(v) for i, v in x.items()}
+
+    def answer(a, b, c):
+        t = unit[b] - unit[a] + unit[c]
+        return max((i for i in range(n) if i not in (a, b, c)), key=lambda i: t @ unit[i])
+
+    rows = [("family" if q % 2 else "other", q, *[f"w{k}" for k in p[:3]], f"w{answer(*p[:3]) if q % 3 else p[3]}") for q, p in enumerate(pick)]
+    rows += [("family", 900, "w1", "none", "w2", "w3"), ("other", 901, "w1", "w2", "w3", "none")]
+    asked = spark.createDataFrame(rows, "category string, qno long, a string, b string, c string, d string")
+    models = grid.mixes(powers=(0.0, 0.5), alphas=(0.3, 0.7))
+    got = [tuple(r) for r in grid.scores(trained, u, s, models, words, asked).orderBy("config_no").collect()]
+    want = [tuple(r)[:7] for r in experiments.comparison(grid.as_tables(trained, u, s, models), words, asked).orderBy("config_no").collect()]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-9)
+    assert len({g[2:] for g in got}) > 3 and got[0][2] > 0.5  # models differ, and there is something to get right
+    whole = grid.whole_grid(trained, emb(range(n), 1.0), u, s, words, asked).orderBy("config_no").collect()
+    assert len(whole) == 1 + 5 + 35 + 1 + 3 and [r["chosen"] for r in whole].count(True) == 1 and [r["config_no"] for r in whole] == list(range(45))
 
 
 def test_missing_corpus_is_refused(spark, tmp_path):
@@ -326,10 +484,21 @@ def test_text_and_zip_files_and_store(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "in/b.zip", "w") as z:
         z.writestr("b.txt", "z")
     assert {(r["doc_id"], r["text"]) for r in corpus.text_files(spark, f"file://{tmp_path}/in/*").collect()} == {(0, "x y"), (1, "z")}
-    made = []
-    for _ in range(2):
-        df = store.load_or(spark, f"file://{tmp_path}/m", lambda: made.append(1) or spark.range(3).toDF("id"))
-    assert df.count() == 3 and len(made) == 1
+    made, path, source = [], f"file://{tmp_path}/m", spark.range(3).toDF("id")
+    make = lambda: made.append(1) or source
+    for window in (10, 10, 4):
+        df = store.load_or(spark, path, make, store.manifest(Settings(window_size=window), source))
+    assert df.count() == 3 and len(made) == 2  # other settings: made again
+    with pytest.raises(ValueError, match="settings"):
+        store.load_or(spark, path, make, store.manifest(Settings(), source), on_mismatch="refuse")
+    spark.range(5).toDF("id").write.parquet(f"{tmp_path}/source")
+    files = spark.read.parquet(f"{tmp_path}/source")
+    before = store.manifest({"k": 15}, files)
+    store.load_or(spark, path, make, before)
+    spark.range(6).toDF("id").write.mode("append").parquet(f"{tmp_path}/source")
+    after = store.manifest({"k": 15}, spark.read.parquet(f"{tmp_path}/source"))
+    assert before == store.manifest({"k": 15}, files) and before != after  # other files: made again
+    assert store.load_or(spark, path, make, after).count() == 3 and len(made) == 4
     assert '"window_size": 4' in Settings().with_(window_size=4).to_json()
 
 
@@ -351,6 +520,6 @@ def test_registered_training_is_the_whole_job(monkeypatch):
 
     asked = []
     monkeypatch.setattr(catalogue, "_tokens", lambda spark, d: None)
-    monkeypatch.setattr(catalogue.sgns, "train", lambda tokens, s: asked.append(s) or type("Trained", (), {"w_in": None}))
+    monkeypatch.setattr(catalogue.training, "train", lambda tokens, s: asked.append(s) or type("Trained", (), {"w_in": None}))
     catalogue.queries()["train_sgns"](None, "")
     assert asked == [Settings()] and (asked[0].embed_dim, asked[0].epochs, asked[0].subsample_t, asked[0].batch_size) == (300, 20, 1e-5, 4096)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.scalars import uniform
-from ..operators import analogy, cooc, experiments, pairs, sgns, svd, vectors, vocab
+from ..operators import analogy, cooc, experiments, grid, pairs, sgns, svd, training, vectors, vocab
 from ..sources import corpus, questions
+from ..sources.scratch import written
 
 S = Settings()
 SEMANTIC = ("label_0", "label_1", "label_2", "label_3", "label_4")
@@ -37,8 +38,14 @@ def _ids(spark, d):
     return vocab.encode(t, vocab.build_vocab(t, S.min_count))
 
 
+def _known(spark, d):
+    """Known words in their order, where places needn't close up."""
+    t = _tokens(spark, d)
+    return vocab.known_words(t, vocab.build_vocab(t, S.min_count))
+
+
 def _lengths(spark, d):
-    return _ids(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return _known(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _model(spark, d):
@@ -163,32 +170,41 @@ def expected_pairs(spark, d):
 
 
 def cooc_(spark, d):
-    return cooc.cooccurrence(_ids(spark, d), S.window_size).select("i", "j", _r(F.col("value")).alias("value"))
+    return cooc.cooccurrence(_known(spark, d), S.window_size).select("i", "j", _r(F.col("value")).alias("value"))
 
 
 def cooc_marginals(spark, d):
-    return cooc.marginals(cooc.cooccurrence(_ids(spark, d), S.window_size)).select("i", _r(F.col("total"), 4).alias("total"), "n_cells")
+    sums = cooc.marginals_of_pairs(cooc.counted_pairs(_known(spark, d), S.window_size), cooc.unit_of(S.window_size))
+    return sums.select("i", _r(F.col("total"), 4).alias("total"), "n_cells")
 
 
-def _sppmi(spark, d, top=None):
-    cells = cooc.cooccurrence(_ids(spark, d), S.window_size, top=top)
-    return cooc.sppmi(cells, 15.0)
+def sppmi_(spark, d):
+    return cooc.associations(_known(spark, d), S.window_size, 15.0).select("i", "j", _r(F.col("value"), 5).alias("value"))
 
 
-def sppmi_(spark, d):
-    return _sppmi(spark, d).select("i", "j", _r(F.col("value"), 5).alias("value"))
+#: The vocabulary that decompositions are made of.
+TOP_WORDS = 30_000
 
 
 def cooc_topn(spark, d):
-    cells = cooc.cooccurrence(_ids(spark, d), S.window_size, top=2000)
+    cells = cooc.cooccurrence(_known(spark, d), S.window_size, top=TOP_WORDS)
+    return cells.groupBy("i").agg(F.count(F.lit(1)).alias("n_cells"), _r(F.sum("value"), 4).alias("total"))
+
+
+def cooc_stream(spark, d):
+    """Co-occurrence of the one stream of all documents, in chunks of 200,000 words: pairs cross the documents' bounds, not the chunks'."""
+    cells = cooc.cooccurrence(vocab.chunked(_ids(spark, d), STREAM_CHUNK), S.window_size)
     return cells.groupBy("i").agg(F.count(F.lit(1)).alias("n_cells"), _r(F.sum("value"), 4).alias("total"))
 
 
+STREAM_CHUNK = 200_000
+
+
 def sppmi_top(spark, d):
     """For each word its five strongest associations."""
     t = _tokens(spark, d)
     v = vocab.build_vocab(t, S.min_count)
-    scored = cooc.sppmi(cooc.cooccurrence(vocab.encode(t, v), S.window_size), 15.0)
+    scored = cooc.associations(vocab.known_words(t, v), S.window_size, 15.0)
     order = Window.partitionBy("i").orderBy(F.desc(_r(F.col("value"), 5)), "j")
     best = scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 5")
     w = v.select(F.col("id").alias("i"), F.col("word").alias("word"))
@@ -216,7 +232,9 @@ def nearest_neighbors(spark, d):
 
 
 def analogy_topk(spark, d):
-    found = analogy.answers(_model(spark, d), _words(spark, d), _questions(spark, d), 5)
+    """Every seventh question asks with a word that doesn't exist."""
+    asked = _questions(spark, d).withColumn("b", F.when(F.col("qno") % 7 == 0, "w-1").otherwise(F.col("b")))
+    found = analogy.examples(_model(spark, d), _words(spark, d), asked, 5)
     return found.select("category", "qno", "rank", "answer", _r(F.col("score")).alias("score"))
 
 
@@ -282,32 +300,43 @@ def experiment_scores(spark, d):
     return found.select("config_no", "config", *[_r(F.col(c)).alias(c) for c in ("sem_raw", "sem_pp", "syn_raw", "syn_pp", "all_pp")], "chosen")
 
 
-#: The blends of the registered grid; experiments.POWERS and ALPHAS are the whole one.
-GRID_POWERS, GRID_ALPHAS, GRID_WORDS, GRID_DIM = (0.0, 0.5, 1.0), (0.3, 0.7), 2000, 64
+#: Of the registered grid's models: the settings' 300 dimensions and 20 epochs cost minutes a model.
+GRID_DIM, GRID_EPOCHS = 64, 1
 
 
 def experiment_grid(spark, d):
-    """Decompositions of the corpus' associations at several powers, blended with the words' averaged neighbours."""
-    ids = _ids(spark, d)
-    cells = cooc.sppmi(cooc.cooccurrence(ids, S.window_size, top=GRID_WORDS), 1.0)
-    tables = experiments.svd_tables(cells, GRID_WORDS, GRID_DIM, GRID_POWERS)
-    base = vectors.combine(tables[0.5], tables[1.0])
-    words = _vocab(spark, d).where(F.col("id") < GRID_WORDS).select("id", "word").persist()
-    asked = _word_fours(words)
-    return experiments.comparison(experiments.blend_grid(base, tables, GRID_ALPHAS), words, asked, SEMANTIC)
+    """The whole grid: a trained model, a decomposition of the corpus' associations at five powers, 35 blends of the two, the
+    position-weighted model and its three blends, on the reduced vocabulary's bound."""
+    t = _tokens(spark, d)
+    v = vocab.build_vocab(t, S.min_count)
+    cells = cooc.associations(vocab.known_words(t, v), S.window_size, 15.0, TOP_WORDS)
+    u, s = svd.randomized_svd(cells, min(TOP_WORDS, v.count()), GRID_DIM)
+    plain = S.with_(embed_dim=len(s), epochs=GRID_EPOCHS)
+    models = []
+    for settings in (plain, plain.with_(use_position_weights=True, position_weight_power=0.5)):
+        done = training.train(t, settings)
+        models.append(written(vectors.combine(done.w_in, done.w_out), "model"))
+    return grid.whole_grid(*models, written(u, "u"), s, v.select("id", "word"), _word_fours(v.where("id < 2000")), SEMANTIC)
 
 
 def gradient_check(spark, d):
-    return experiments.gradient_lines(spark)
+    """The plain and the weighted step's gradients on a batch of the table, against differences."""
+    out = None
+    for weighted in (False, True):
+        b = _batch(spark, d)
+        b = b if weighted else b.withColumn("w", F.lit(1.0))
+        found = sgns.gradient_errors(b, _model(spark, d), _other(spark, d)).select(F.lit(weighted).alias("weighted"), "side", "parameters", _r(F.col("error"), 5).alias("error"), "ok")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def svd_embeddings(spark, d):
     n = _vocab(spark, d).count()
-    return svd.svd_embeddings(_sppmi(spark, d), n, S.embed_dim)
+    return svd.svd_embeddings(cooc.associations(_known(spark, d), S.window_size, 15.0), n, S.embed_dim)
 
 
 def svd_singular_values(spark, d):
-    _, s = svd.randomized_svd(_sppmi(spark, d), _vocab(spark, d).count(), S.embed_dim)
+    _, s = svd.randomized_svd(cooc.associations(_known(spark, d), S.window_size, 15.0), _vocab(spark, d).count(), S.embed_dim)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "rank long, value double")
 
 
@@ -336,7 +365,7 @@ def sgns_step_weighted(spark, d):
 
 
 def train_sgns(spark, d):
-    return sgns.train(_tokens(spark, d), S).w_in
+    return training.train(_tokens(spark, d), S).w_in
 
 
 def experiment_adaptive(spark, d):
@@ -381,7 +410,7 @@ def parse_questions(spark, d):
 def queries() -> dict[str, Query]:
     plain = [
         tokenize, corpus_stats, subsample_probs, subsample_tokens, neg_table, neg_sample, chunk_ids, pairs_window, pairs_sampled, pairs_weighted, pairs_afws, expected_pairs,
-        cooc_marginals, cooc_topn, sppmi_top, lr_schedule, l2_normalize, nearest_neighbors, analogy_topk, analogy_eval, analogy_rollup, analogy_report, failure_analysis,
+        cooc_marginals, cooc_topn, cooc_stream, sppmi_top, lr_schedule, l2_normalize, nearest_neighbors, analogy_topk, analogy_eval, analogy_rollup, analogy_report, failure_analysis,
         model_select, combine, blend, extend_svd, mean_center, covariance, postprocess, svd_embeddings, svd_singular_values, sgns_loss, sgns_grad, sgns_grad_last, sgns_step,
         sgns_step_weighted, train_sgns, loss_history, smooth_loss, parse_questions, experiment_scores, experiment_grid, experiment_adaptive, gradient_check,
     ]

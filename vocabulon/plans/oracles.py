@@ -86,6 +86,16 @@ grads as (select side, id, dim, sum(g) as grad from parts group by 1, 2, 3)"""
 STEP = "select o.side, o.id, o.dim, round(o.v - 0.025 * coalesce(g.grad, 0.0), 6) as value from (select 'in' as side, id, dim - 1 as dim, v[dim] as v from w_in, lateral unnest(range(1, 65)) as t(dim) union all select 'out', id, dim - 1, v[dim] from w_out, lateral unnest(range(1, 65)) as t(dim)) o left join grads g using (side, id, dim)"
 
 
+_LOSS = "w * (greatest({0}, 0.0) + ln(1 + exp(-abs({0}))))"
+_MOVED = "greatest(-10.0, least(10.0, raw {0} 1e-5 * other)) * case when slot = 0 then -1 else 1 end"
+DIFFERENCES = f"""
+entries as (select 'in' as side, center as id, dim - 1 as dim, w, slot, list_inner_product(vc, vt) as raw, vt[dim] as other from found, lateral unnest(range(1, 65)) as t(dim)
+  union all select 'out', target, dim - 1, w, slot, list_inner_product(vc, vt), vc[dim] from found, lateral unnest(range(1, 65)) as t(dim)),
+differences as (select side, id, dim, sum({_LOSS.format('(' + _MOVED.format('+') + ')')} - {_LOSS.format('(' + _MOVED.format('-') + ')')}) / 2e-5 as numeric from entries group by 1, 2, 3)
+select {{0}} as weighted, side, count(*) as parameters, round(max(abs(grad - numeric) / greatest(abs(grad), abs(numeric), 1e-4)), 5) as error,
+  max(abs(grad - numeric) / greatest(abs(grad), abs(numeric), 1e-4)) < 1e-5 as ok from grads join differences using (side, id, dim) group by side"""
+
+
 def _long(source: str, column: str = "v") -> str:
     return f"select id, dim - 1 as dim, round({column}[dim], 6) as value from {source}, lateral unnest(range(1, 65)) as t(dim)"
 
@@ -169,12 +179,14 @@ def oracle_sql() -> dict[str, str]:
         "cooc": f"{cells} select i, j, round(value, 6) as value from cells",
         "cooc_marginals": f"{cells} select i, round(sum(value), 4) as total, count(*) as n_cells from cells group by i",
         "sppmi": f"{cells}, {SPPMI} select i, j, round(value, 5) as value from scored where value > 0",
-        "cooc_topn": f"{t}, {_ahead(10)}, {COOC.format('where l < 2000 and r < 2000')} select i, count(*) as n_cells, round(sum(value), 4) as total from cells group by i",
+        "cooc_topn": f"{t}, {_ahead(10)}, {COOC.format('where l < 30000 and r < 30000')} select i, count(*) as n_cells, round(sum(value), 4) as total from cells group by i",
+        "cooc_stream": f"{t}, stream as (select g // 200000 as doc_id, g % 200000 as pos, id from (select id, row_number() over (order by doc_id, pos) - 1 as g from ids)), {_ahead(10, 'stream')}, {COOC.format('')} select i, count(*) as n_cells, round(sum(value), 4) as total from cells group by i",
         "sppmi_top": f"{cells}, {SPPMI}, ranked as (select *, row_number() over (partition by i order by round(value, 5) desc, j) as rank from scored where value > 0 qualify rank <= 5) select a.word, rank, b.word as associate, round(value, 5) as value from ranked join vocab a on a.id = i join vocab b on b.id = j",
         "lr_schedule": "with e as (select l_orderkey as batch, count(*) as n from lineitem group by 1), p as (select batch, coalesce(sum(n) over (order by batch rows between unbounded preceding and 1 preceding), 0) as before from e) select batch, cast(before as bigint) as processed, round(greatest(0.025 * (1 - least(before / 50000.0, 1.0)), 0.0001), 9) as lr from p",
         "l2_normalize": f"with {base} {_long('base')}",
         "nearest_neighbors": f"with {base}, s as (select q.id as q, e.id as e, list_inner_product(q.v, e.v) as score from base q join base e on q.id <> e.id), r as (select *, row_number() over (partition by q order by score desc, e) as rank from s qualify rank <= 10) select 'w' || q as query, rank, 'w' || e as word, round(score, 6) as score from r union all select 'w-1', 1, 'OOV', 0.0",
-        "analogy_topk": f"with {base}, {QUESTIONS}, {_answers('base', 5)} select category, qno, rank, 'w' || answer as answer, round(score, 6) as score from base_r",
+        "analogy_topk": f"with {base}, {QUESTIONS}, asked as (select category, qno, a, case when qno % 7 = 0 then -1 else b end as b, c, d from questions), {_answers('base', 5, 'asked')} select category, qno, rank, 'w' || answer as answer, round(score, 6) as score from base_r union all select category, qno, 1, 'OOV', 0.0 from asked where b < 0",
+        "gradient_check": " union all ".join(f"select * from (with {batch}, {DIFFERENCES.format(weighted)})" for batch, weighted in ((plain, "false"), (weighted, "true"))),
         "analogy_eval": f"{judged} select category, {COUNTS}, {SEM} as is_semantic from base_j group by category",
         "analogy_rollup": f"{judged} {rolled}",
         "analogy_report": f"{judged} select row_number() over (order by place, label) as line, label, correct, total, skipped, percent from ({report_rows})",
