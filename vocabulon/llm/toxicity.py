@@ -75,14 +75,15 @@ class Tokens:
 
 def tokens(w: tk.Words) -> Tokens:
     buf, n = w.buf, len(w.buf)
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     solid = ~_OUTSIDE[buf]
-    last = np.maximum.accumulate(np.where(solid, at, -1)) if n else at
-    following = np.minimum.accumulate(np.where(solid, at, n)[::-1])[::-1] if n else at
+    last = np.maximum.accumulate(np.where(solid, at, at.dtype.type(-1))) if n else at
+    following = np.minimum.accumulate(np.where(solid, at, at.dtype.type(n))[::-1])[::-1] if n else at
     start = np.minimum(following[w.start], w.end)
     end = np.maximum(last[w.end - 1] + 1, start)
+    del last, following, solid
     heads = (buf & 0xC0) != 0x80
-    chars = np.cumsum(heads)
+    chars = np.cumsum(heads, dtype=at.dtype)
     h = tk.hash_spans(buf, start, end, tk.BYTE_TABLE_LOWER)
     distinct, first, word = np.unique(h, return_index=True, return_inverse=True)
     s, e = start[first], end[first]
@@ -92,8 +93,7 @@ def tokens(w: tk.Words) -> Tokens:
     cut = lambda k: np.minimum(place[np.minimum(head + k, len(place) - 1)], e)  # noqa: E731  the end of the first k characters
     prefixes = {k: tk.hash_spans(buf, s, np.maximum(cut(k), s), tk.BYTE_TABLE_LOWER) for k in _PREFIXES}
     tail = np.where(e > s, place[np.minimum(head + np.maximum(count - _SUFFIX, 0), len(place) - 1)], s)
-    upper = np.concatenate(([0], np.cumsum((buf >= 65) & (buf <= 90))))
-    digit = np.concatenate(([0], np.cumsum((buf >= 48) & (buf <= 57))))
+    upper, digit = (np.concatenate((np.zeros(1, at.dtype), np.cumsum((buf >= lo) & (buf <= hi), dtype=at.dtype))) for lo, hi in ((65, 90), (48, 57)))
     shape = 4 * np.minimum(upper[e] - upper[s], 2) + 2 * (digit[e] > digit[s]) + (upper[e] - upper[s] == e - s)
     templates = [distinct, *(prefixes[k] for k in _PREFIXES), tk.hash_spans(buf, tail, e, tk.BYTE_TABLE_LOWER), shape.astype(np.uint64)]
     own = np.stack([_bucket(x, i) for i, x in enumerate(templates)], axis=1) if len(distinct) else np.zeros((0, _OWN), np.int64)
@@ -129,6 +129,9 @@ class Field:
         before, after = _beside(t)
         return self.weights[t.own].sum(axis=1)[t.word] + self.weights[before] + self.weights[after] + self.bias
 
+    def scores_of(self, features: np.ndarray) -> np.ndarray:
+        return self.weights[features].sum(axis=1) + self.bias
+
 
 def _times(p: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Products of 2 x 2 matrices (4, any), to a scale."""
@@ -191,6 +194,43 @@ def marginals(field: Field, scores: np.ndarray, opens: np.ndarray) -> np.ndarray
 # --- fitting --------------------------------------------------------------------------------------
 
 
+@dataclass
+class Sample:
+    """What is kept of the sample's texts: a few numbers a token."""
+
+    features: np.ndarray  # (tokens, buckets)
+    markers: np.ndarray  # (tokens, 3): the word and its first 4 and 5 characters
+    first: np.ndarray  # of each text, its first token; one more entry at the end
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+
+    @property
+    def opens(self) -> np.ndarray:
+        out = np.zeros(len(self.features), bool)
+        out[self.first[:-1][np.diff(self.first) > 0]] = True
+        return out
+
+    def tokens_of(self, rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.first[r], self.first[r + 1]) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+
+    def of(self, rows: np.ndarray) -> Sample:
+        at = self.tokens_of(rows)
+        return Sample(self.features[at], self.markers[at], np.concatenate(([0], np.cumsum(np.diff(self.first)[rows]))))
+
+
+def sampled(texts: list[str]) -> Sample:
+    features, markers, lengths = [np.zeros((0, _OWN + 2), np.int32)], [np.zeros((0, 3), np.uint32)], [np.zeros(0, np.int64)]
+    for _, _, w in tk.slices(pa.array(texts, pa.large_string())):
+        t = tokens(w)
+        before, after = _beside(t)
+        features.append(np.concatenate((t.own[t.word], before[:, None], after[:, None]), axis=1).astype(np.int32))
+        markers.append((t.markers >> np.uint64(32)).astype(np.uint32)[t.word])
+        lengths.append(w.n_words)
+    return Sample(np.concatenate(features), np.concatenate(markers), np.concatenate(([0], np.cumsum(np.concatenate(lengths)))))
+
+
 def apart(hashes: list[np.ndarray], least: int = 16) -> np.ndarray:
     """Which documents (their words' hashes) aren't near-copies of an earlier one: half of the ``least`` smallest hashes in common."""
     seen: dict[int, int] = {}
@@ -209,39 +249,38 @@ def apart(hashes: list[np.ndarray], least: int = 16) -> np.ndarray:
     return keep
 
 
-def marked(t: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Which tokens are, or begin like, words that toxic texts (``toxic`` by row) hold far oftener than others."""
+def marked(sample: Sample, toxic: np.ndarray) -> np.ndarray:
+    """Which tokens are, or begin like, words that toxic texts (``toxic`` by text) hold far oftener than others."""
     n_toxic, n_other = int(toxic.sum()), int((~toxic).sum())
-    hit = np.zeros(len(t.word), bool)
-    for column in t.markers.T:
+    row = sample.row
+    hit = np.zeros(len(row), bool)
+    log = lambda k, n, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / n / np.maximum(p, 1e-12)), 0.0)
+    for column in sample.markers.T:
         names, of = np.unique(column, return_inverse=True)
-        held = np.unique(t.words.row * len(names) + of[t.word])  # a document counts once
+        held = np.unique(row * len(names) + of)  # a text counts once
         doc, name = np.divmod(held, len(names))
-        a = np.bincount(name[toxic[doc]], minlength=len(names)).astype(float)
-        b = np.bincount(name[~toxic[doc]], minlength=len(names)).astype(float)
+        a, b = (np.bincount(name[of_kind[doc]], minlength=len(names)).astype(float) for of_kind in (toxic, ~toxic))
         share = (a + b) / (n_toxic + n_other)
-        log = lambda k, n, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / n / p), 0.0)
-        ratio = 2 * (log(a, n_toxic, share) + log(b, n_other, share) + log(n_toxic - a, n_toxic, np.maximum(1 - share, 1e-12)) + log(n_other - b, n_other, np.maximum(1 - share, 1e-12)))
+        ratio = 2 * (log(a, n_toxic, share) + log(b, n_other, share) + log(n_toxic - a, n_toxic, 1 - share) + log(n_other - b, n_other, 1 - share))
         good = (a >= LEAST_DOCS) & (ratio >= EVIDENCE) & ((a + 0.5) / n_toxic >= ODDS * (b + 0.5) / n_other)
-        hit |= good[of][t.word]
-    return hit & toxic[t.words.row]
+        hit |= good[of]
+    return hit & toxic[row]
 
 
-def fitted(t: Tokens, tags: np.ndarray, rng: np.random.Generator) -> Field:
+def fitted(sample: Sample, tags: np.ndarray, rng: np.random.Generator) -> Field:
     """Maximum conditional likelihood of ``tags``, by adaptive gradient steps on batches of texts."""
-    w = t.words
-    before, after = _beside(t)
-    features = np.concatenate((t.own[t.word], before[:, None], after[:, None]), axis=1).astype(np.int32)
+    features = sample.features
     field = Field(np.zeros(1 << BITS), -4.0, np.zeros((2, 2)), 0.0)
     seen_w, seen_rest = np.full(1 << BITS, 1e-8), np.full(6, 1e-8)
-    opens, rows = t.opens, np.flatnonzero(np.diff(w.first))
+    lengths = np.diff(sample.first)
+    opens, rows = sample.opens, np.flatnonzero(lengths)
     for _ in range(EPOCHS):
         order = rng.permutation(rows)
-        cuts = np.cumsum(np.diff(w.first)[order]) * BATCHES // max(1, len(t.word))
+        cuts = np.cumsum(lengths[order]) * BATCHES // max(1, len(features))
         for part in np.split(order, np.flatnonzero(np.diff(cuts)) + 1):
-            at = np.concatenate([np.arange(w.first[r], w.first[r + 1]) for r in part])
+            at = sample.tokens_of(part)
             x, y, new = features[at], tags[at], opens[at]
-            alpha, beta = forward_backward(m := _potentials(field, field.weights[x].sum(axis=1) + field.bias, new))
+            alpha, beta = forward_backward(m := _potentials(field, field.scores_of(x), new))
             p = (alpha * beta)[1] / (alpha * beta).sum(axis=0)
             off = y - p
             inner = np.flatnonzero(~new)
@@ -261,11 +300,11 @@ def fitted(t: Tokens, tags: np.ndarray, rng: np.random.Generator) -> Field:
     return field
 
 
-def _of_documents(t: Tokens, p: np.ndarray, n: int) -> np.ndarray:
+def _of_documents(rows: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     """(texts, 3): the two largest marginals of each text and the logarithm of one plus their sum, faint ones left out."""
     out = np.zeros((n, 3))
     at = np.flatnonzero(p > FAINT)
-    row = t.words.row[at]
+    row = rows[at]
     out[:, 2] = np.log1p(np.bincount(row, p[at], n))
     order = np.lexsort((-p[at], row))
     place = np.arange(len(at)) - np.searchsorted(row[order], row[order])
@@ -302,31 +341,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> tuple[np.ndar
 
 def fit_texts(texts: list[str], toxic: np.ndarray, seed: int = SEED) -> Model | None:
     """A model of labelled ``texts``; None if one of the labels is missing or no word tells them apart."""
-    parts, toxic = list(tk.slices(pa.array(texts, pa.large_string()), 1 << 62)), np.asarray(toxic, bool)
-    if not parts or not toxic.any() or toxic.all():
+    toxic = np.asarray(toxic, bool)
+    if not len(texts) or not toxic.any() or toxic.all():
+        return None
+    sample = sampled(texts)
+    keep = np.flatnonzero(apart(np.split(sample.markers[:, 0], sample.first[1:-1])))
+    sample, toxic = sample.of(keep), toxic[keep]
+    if not toxic.any() or toxic.all():
         return None
-    t = tokens(parts[0][2])
-    names = t.markers[:, 0][t.word]
-    keep = apart(np.split(names, t.words.first[1:-1]))
-    if not keep.all():
-        return fit_texts([x for x, k in zip(texts, keep, strict=True) if k], toxic[keep], seed)
-    tags = marked(t, toxic)
-    told = np.bincount(t.words.row, tags, len(texts)) > 0
+    tags = marked(sample, toxic)
+    told = np.bincount(sample.row, tags, len(toxic)) > 0
     if not told.any():
         return None
-    use = np.flatnonzero(told | ~toxic)
-    if len(use) < len(texts):  # toxic texts that no marker tells apart teach no tags
-        whole = tokens(next(tk.slices(pa.array([texts[i] for i in use], pa.large_string()), 1 << 62))[2])
-        field = fitted(whole, marked_like(t, tags, use), np.random.default_rng(seed))
-    else:
-        field = fitted(t, tags.astype(float), np.random.default_rng(seed))
-    figures = _of_documents(t, marginals(field, field.scores(t), t.opens), len(texts))
-    return Model(field, *_logistic(figures, toxic.astype(float)))
-
-
-def marked_like(t: Tokens, tags: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """``tags`` of the texts ``rows`` alone."""
-    return np.concatenate([tags[t.words.first[r] : t.words.first[r + 1]] for r in rows]).astype(float)
+    use = np.flatnonzero(told | ~toxic)  # toxic texts that no marker tells apart teach no tags
+    field = fitted(sample.of(use), tags[sample.tokens_of(use)].astype(float), np.random.default_rng(seed))
+    figures = [_of_documents(part.row, marginals(field, field.scores_of(part.features), part.opens), len(rows)) for rows in np.array_split(np.arange(len(toxic)), BATCHES) if len(rows) for part in (sample.of(rows),)]
+    return Model(field, *_logistic(np.concatenate(figures), toxic.astype(float)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -384,7 +414,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 else:
                     t = tokens(w)
                     p = marginals(model.field, model.field.scores(t), t.opens)
-                    score, spans = model.document_scores(_of_documents(t, p, n)), _spans(t, p, n)
+                    score, spans = model.document_scores(_of_documents(w.row, p, n)), _spans(t, p, n)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], pa.array(score), spans], ["doc_id", "score", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
