@@ -1,23 +1,24 @@
 """Nearest neighbours by multiprobe p-stable hashing.
 
-Largest inner product becomes nearest Euclidean distance by one more dimension (with M the largest
-norm: sqrt(M^2 - |x|^2) for rows, 0 for queries).  Each of ``tables`` hash tables cuts space by
-``functions`` projections on Gaussian directions into cells of one width.  A query visits, beside
-its own cell, the cells reached by moving some coordinates over their nearest walls, in the order
-of the success that the distances to those walls promise.  Rows meet the queries that probe their
-cell; a cell that holds many rows is dealt to several tasks and its queries to all of them.  Each
-task reranks exactly and passes on the nearest ``k`` of each query, which merge over cells and tables.
-
-Cell width, number of functions and of probes are fitted on at most ``SAMPLE`` rows: the number of
-functions follows the number of rows (a cell holds ``CELL_ROWS`` or so), and the probes grow until the
-sample's own queries find ``RECALL`` of their true neighbours; where the moves over the nearest
-walls run out before that, the index isn't used and all queries are answered by exact search.  All
-rows are indexed.  A query that has met fewer than ``k`` rows is answered again by exact search over
-all rows, in blocks.
+Largest inner product becomes nearest Euclidean distance on the unit sphere: rows go into bands by their norm
+(each ``BAND`` of the one above), a row x of a band with largest norm M becomes x / M and one more entry
+that fills it up to length 1, a query q / |q| and 0 there; the order of a band's rows by distance is that of
+their inner products.  Each of ``tables`` hash tables cuts the sphere by ``functions`` projections on Gaussian
+directions into cells of one width.  A query visits, beside its own cell, the cells reached by moving some
+coordinates over their nearest walls, in the order of the success that the distances to those walls promise, in
+every band.  Rows meet the queries that probe their cell; a cell that holds many rows is dealt to several
+tasks and its queries to all of them.  Each task reranks exactly and passes on the nearest ``k`` of each query,
+which merge over cells and tables.
+
+Width, functions, tables and probes are fitted on at most ``SAMPLE`` rows, of which ``SAMPLE_QUERIES`` ask for their
+``k`` nearest among all rows of the table, by exact search: of the candidates in ``SHAPES`` the one that visits the
+least at a recall of ``RECALL`` is taken.  All rows are indexed.  A query that has met fewer than ``k`` rows is
+answered again by exact search over all rows, in blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 nor do those whose width is not the commonest; a query's own rows (its id) are never its neighbours;
-rows equal in id and vector count once; ties go to the smaller id; empty tables give no rows.
+rows equal in id and vector count once; ties go to the smaller id; extra columns are not read; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,26 +33,36 @@ from pyspark.sql import functions as F
 
 from .durable import written
 
-SAMPLE, SAMPLE_QUERIES, RECALL, CELL_ROWS, TABLES, SEED = 4096, 256, 0.95, 4000, 2, 20240301
+SAMPLE, SAMPLE_QUERIES, RECALL, TABLES, SEED = 4096, 64, 0.95, 2, 20240301
+#: Norms of a band to those of the one above; bands, the last of which has all that is shorter.
+BAND, BANDS = 0.9, 12
+#: (width in standard deviations of a projection, functions) that are tried, and the most probes of a table.
+SHAPES, MOST_PROBES = ((2.0, 1), (2.0, 3), (2.0, 5), (2.0, 8), (2.0, 11), (1.0, 3), (1.0, 5)), 256
+#: What a probe of a cell costs, in rows visited: the query travels there.
+PROBE_ROWS = 4
 SPLIT_ROWS, HELD_ROWS = 8000, 400_000
 
 
 class Hashing:
     """The hash functions and how to probe them."""
 
-    def __init__(self, dim: int, functions: int, tables: int, width: float, norm: float):
+    def __init__(self, dim: int, functions: int, tables: int, width: float, norm: float, probes: int = 1):
         rng = np.random.default_rng(SEED)
-        self.dim, self.functions, self.tables, self.width, self.norm, self.probes = dim, functions, tables, width, norm, 1
-        self.reached = True  # whether the sample's queries found enough; if not, search is exact
-        self.a = rng.standard_normal((tables, functions, dim + 1))
-        self.shift = rng.random((tables, functions)) * width
-
-    def _augmented(self, x: np.ndarray, query: bool) -> np.ndarray:
-        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))
-        return np.concatenate((x, more[:, None]), axis=1)
-
-    def project(self, x: np.ndarray, table: int, query: bool) -> np.ndarray:
-        return (self._augmented(x, query) @ self.a[table].T + self.shift[table]) / self.width
+        self.dim, self.functions, self.tables, self.width, self.norm, self.probes = dim, functions, tables, width, norm, probes
+        self.recall = self.visited = None  # of the sample's queries, and the share of rows they visit
+        self.a = rng.standard_normal((TABLES, functions, dim + 1))
+        self.shift = rng.random((TABLES, functions)) * width
+
+    def bands(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The band of each row, and the rows on the unit sphere."""
+        length = np.sqrt((x * x).sum(axis=1))
+        with np.errstate(divide="ignore"):
+            band = np.clip(np.floor(np.log(length / self.norm) / np.log(BAND) + 1e-9), 0, BANDS - 1).astype(np.int64)
+        y = x / (self.norm * BAND**band)[:, None]
+        return band, np.concatenate((y, np.sqrt(np.maximum(1 - (y * y).sum(axis=1), 0))[:, None]), axis=1)
+
+    def place(self, sphere: np.ndarray, table: int) -> np.ndarray:
+        return (sphere @ self.a[table].T + self.shift[table]) / self.width
 
     def cells(self, coordinates: np.ndarray) -> np.ndarray:
         """One number for each row of whole coordinates."""
@@ -62,17 +73,21 @@ class Hashing:
                 h ^= h >> np.uint64(29)
         return h.view(np.int64)
 
+    def in_band(self, cells: np.ndarray, band: np.ndarray | int) -> np.ndarray:
+        return self.cells(np.stack(np.broadcast_arrays(cells, band), axis=-1).reshape(-1, 2))
+
     def index(self, x: np.ndarray, table: int) -> np.ndarray:
-        return self.cells(np.floor(self.project(x, table, False)).astype(np.int64))
+        band, sphere = self.bands(x)
+        return self.in_band(self.cells(np.floor(self.place(sphere, table)).astype(np.int64)), band)
 
-    def probe(self, x: np.ndarray, table: int) -> list[np.ndarray]:
-        """For each query the cells to visit, the likeliest first.
+    def visits(self, x: np.ndarray, table: int) -> list[np.ndarray]:
+        """For each query the cells to visit in each band, the likeliest first.
 
         Moving coordinate i over a wall at distance d costs d^2; a set of moves costs their sum.
         Sets come in order of cost from a heap, each grown from the one before by shifting or
         adding the next costly move; no set moves a coordinate both ways.
         """
-        p = self.project(x, table, True)
+        p = self.place(np.concatenate((x / np.sqrt((x * x).sum(axis=1))[:, None], np.zeros((len(x), 1))), axis=1), table)
         base = np.floor(p).astype(np.int64)
         low = p - base
         costs = np.concatenate((low**2, (1 - low) ** 2), axis=1)
@@ -93,9 +108,13 @@ class Hashing:
                     cell = base[i].copy()
                     cell[at] += np.where(o[list(moves)] < m, -1, 1)
                     seen.append(cell)
-            out.append(np.unique(self.cells(np.array(seen))))
+            out.append(self.cells(np.array(seen)))
         return out
 
+    def probe(self, x: np.ndarray, table: int) -> list[np.ndarray]:
+        """For each query the cells to visit, of all bands."""
+        return [np.unique(np.concatenate([self.in_band(c, b) for b in range(BANDS)])) for c in self.visits(x, table)]
+
 
 def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query (ids, scores) of its ``k`` largest inner products, ties to the smaller id, its own id left out.
@@ -126,37 +145,58 @@ def clean(vectors: DataFrame) -> DataFrame:
 
 
 def fit(vectors: DataFrame, k: int) -> Hashing | None:
-    """Hash functions for ``vectors`` (vec_id, x), fitted on at most SAMPLE rows drawn by hash."""
+    """Hash functions for ``vectors`` (vec_id, x), fitted on at most SAMPLE rows drawn by hash and the nearest that SAMPLE_QUERIES of them have in the table."""
     facts = vectors.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("m"))
     facts = facts.orderBy(F.desc("n"), "dim").first()
     if facts is None:
         return None
-    keep = vectors.where(F.size("x") == facts["dim"])
-    bound = int(min(1.0, 1.2 * SAMPLE / facts["n"]) * (1 << 30))
-    drawn = keep.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < bound).orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE)
-    x = np.array([r["x"] for r in drawn.select("x").collect()]).reshape(-1, facts["dim"])
-    functions = int(np.clip(np.round(np.log2(max(facts["n"], 2) / CELL_ROWS)), 1, 48))
-    norm = float(np.sqrt(facts["m"]))
-    spread = np.sqrt(((x - x.mean(axis=0)) ** 2).sum() / max(1, len(x)))  # a projection's standard deviation
-    h = Hashing(facts["dim"], functions, TABLES, max(2.0 * float(spread), 1e-9 * max(norm, 1e-300)), norm)
-    # probes: doubled until the sample's queries find enough of their nearest
-    queries = x[:SAMPLE_QUERIES]
-    ids = np.arange(len(x))
-    true = nearest(queries, ids[: len(queries)], x, ids, min(k, 10))
-    cells = [h.index(x, t) for t in range(h.tables)]
-    most = 3**functions
-    while True:
-        probes = [h.probe(queries, t) for t in range(h.tables)]
-        found = total = 0
-        for i, (near, _) in enumerate(true):
-            hit = np.zeros(len(near), bool)
-            for t in range(h.tables):
-                hit |= np.isin(cells[t][near], probes[t][i])
-            found, total = found + int(hit.sum()), total + len(near)
-        h.reached = found >= RECALL * total
-        if h.reached or h.probes >= most:
-            return h
-        h.probes = min(most, int(np.ceil(h.probes * 1.5)))
+    n, dim, norm = facts["n"], facts["dim"], float(np.sqrt(facts["m"])) * (1 + 1e-12)
+    keep = vectors.where(F.size("x") == dim)
+    bound = int(min(1.0, 1.2 * SAMPLE / n) * (1 << 30))
+    order = F.xxhash64("vec_id", F.lit(SEED))
+    drawn = keep.where(F.pmod(order, F.lit(1 << 30)) < bound).orderBy(order, "vec_id", "x").limit(SAMPLE).collect()
+    x = np.array([r["x"] for r in drawn]).reshape(-1, dim)
+    asking = list({r["vec_id"]: r["x"] for r in drawn[:SAMPLE_QUERIES]}.items())
+    asked = vectors.sparkSession.createDataFrame(asking, keep.select("vec_id", "x").schema)
+    near = exact(keep, asked, dim, k, n).join(keep.withColumnRenamed("x", "near"), "vec_id").select("query_id", "near").collect()  # k rows a query of the sample
+    place = {v: i for i, (v, _) in enumerate(asking)}
+    of, true = np.array([place[r["query_id"]] for r in near], np.int64), np.array([r["near"] for r in near]).reshape(-1, dim)
+    queries = np.array([v for _, v in asking]).reshape(-1, dim)
+    plain = Hashing(dim, 1, 1, 1.0, norm)
+    sphere = plain.bands(x)[1]
+    spread = max(float(np.sqrt(sphere.var(axis=0).sum())), 1e-9)  # a projection's standard deviation
+    deep = int(np.clip(np.round(np.log2(max(n, 2) / 1000)), 1, 24))
+    best = None
+    for width, functions in (*SHAPES, *[(2.0, deep)] * (deep > 11)):
+        for h in _probed(Hashing(dim, functions, TABLES, width * spread, norm, MOST_PROBES), x, queries, of, true):
+            cost = h.visited * n + PROBE_ROWS * h.probes * h.tables
+            better = (h.recall >= RECALL, -cost) if h.recall >= RECALL else (False, h.recall)
+            if best is None or better > best[0]:
+                best = better, h
+    return best[1]
+
+
+def _probed(h: Hashing, x: np.ndarray, queries: np.ndarray, of: np.ndarray, true: np.ndarray) -> Iterator[Hashing]:
+    """``h`` with one table and with all, each with the fewest probes that find RECALL of the ``true`` neighbours of the queries ``of``, or all."""
+    found = np.full(len(true), h.probes)  # the probe that meets a neighbour first
+    share = np.zeros(h.probes)
+    for t in range(h.tables):
+        (names, counts), target = np.unique(h.index(x, t), return_counts=True), h.index(true, t)
+        band = h.bands(true)[0]
+        for i, cells in enumerate(h.visits(queries, t)):
+            own = np.flatnonzero(of == i)
+            hits = h.in_band(np.repeat(cells, len(own)), np.tile(band[own], len(cells))).reshape(len(cells), -1) == target[own]
+            found[own] = np.minimum(found[own], np.where(hits.any(axis=0), hits.argmax(axis=0), h.probes))
+            every = np.stack([h.in_band(cells, b) for b in range(BANDS)], axis=1)
+            at = np.minimum(np.searchsorted(names, every), len(names) - 1)
+            rows = np.where(names[at] == every, counts[at], 0).sum(axis=1)
+            share[: len(rows)] += rows / (len(x) * len(queries))
+        recall = np.cumsum(np.bincount(found, minlength=h.probes + 1)[: h.probes]) / max(1, len(true))
+        enough = np.flatnonzero(recall >= RECALL)
+        probes = int(enough[0]) + 1 if len(enough) else h.probes
+        out = Hashing(h.dim, h.functions, t + 1, h.width, h.norm, probes)
+        out.recall, out.visited = float(recall[probes - 1]) if len(true) else 1.0, float(share[:probes].sum())
+        yield out
 
 
 def _vectors(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -272,8 +312,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, hashing: Hashing
         return none.where("false")
     dim = h.dim
     rows, asked = rows.where(F.size("x") == dim), asked.where(F.size("x") == dim)
-    if not h.reached:
-        return exact(rows, asked, dim, k, rows.count())
     kind = rows.schema["vec_id"].dataType.simpleString()
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
