@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import dropped, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that it reaches."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, step = None, edges
     while (now := _fingerprint(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,6 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("root"))
         small = large.join(least, "a")
         edges = small.where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(least.select("a", F.col("root").alias("b")))
-        edges = written(edges.where("a <> b").distinct(), "small")
+        after = written(edges.where("a <> b").distinct(), "small")
+        dropped(step, large)
+        edges = step = after
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())

@@ -7,45 +7,11 @@ A table goes as soon as nothing reads it any more (``dropped``), at the latest w
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; raises on a cluster that names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.conf.get("spark.master", "")
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file://" + _own.setdefault("dir", tempfile.mkdtemp(prefix="vocabulon-"))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone: its scratch tables go with the shared folder
-        return
-
+from ..sources.scratch import delete, shared_dir, written
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written once to the shared folder and read back; removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/vocabulon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._scratch = path
-    return table
+__all__ = ["dropped", "released", "shared_dir", "written"]
 
 
 def released(spark: SparkSession) -> None:
@@ -56,6 +22,6 @@ def released(spark: SparkSession) -> None:
 def dropped(*tables: DataFrame) -> None:
     """Removes written ``tables`` that nothing reads any more, and the shuffle files of finished jobs with them."""
     for t in tables:
-        _delete(t.sparkSession, t._scratch)
+        delete(t.sparkSession, t._scratch)
     if tables:
         released(tables[0].sparkSession)

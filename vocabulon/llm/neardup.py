@@ -26,8 +26,9 @@ by 64-bit hashes.
 
 Defined cases: null text and texts without words have empty sets and link with nothing; with fewer
 words than a shingle has, the whole sequence is the one shingle; rows with a null id stay alone;
-rows that share an id are one document, linked with whatever any of them links with; empty tables
-give no rows.
+rows that share an id are one document, linked with whatever any of them links with; a text of any
+length is read whole, one at a time if it is longer than a slice; extra columns, whatever their names,
+aren't looked at, and ``first_of_each`` returns them as they were; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ RUN, SHORT_RUN, SHORT_SET, ANY_RUN = 4, 2, 19, 16
 #: A block holds so many shingles or one document; a cell meets two blocks.
 BLOCK_VALUES = 100_000
 SHARE = 0.56
+#: Texts travel to Python in batches of so many bytes, or one text, so a worker and its JVM hold little more than a slice.
+BATCH_BYTES = "16m"
 SIGN = np.uint64(1 << 63)
 BLOOM_BLOCKS = 1 << 17
 
@@ -173,7 +176,9 @@ def _hubs(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     placed = rows.join(blocks, "hub").withColumn("block", F.xxhash64("hub", F.pmod(F.xxhash64("cls", F.lit(1)), "blocks")))
     own = written(placed.where("first").select("cls", "rep", "t", "n", "block"), "own")
     stars = placed.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.xxhash64("hub", "block").alias("cell"))
-    return own, written(stars.distinct(), "stars")
+    stars = written(stars.distinct(), "stars")
+    dropped(picks, rows)
+    return own, stars
 
 
 def _texts_of(docs: DataFrame, listed: DataFrame) -> DataFrame:
@@ -360,6 +365,7 @@ def _rare_pairs(wide: DataFrame, similarity: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sketched = written(sketches(docs, words, k), "sketches")
     key = ["n", "set1", "set2"]
     per_set = sketched.where("doc_id is not null and n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("r"))
@@ -373,6 +379,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     texts = written(_texts_of(docs, listed), "texts")
     links = _verified(stars, texts.withColumn("node", F.col("rep")), words, similarity, k)
     first = written(components(links.unionByName(one_id)), "roots")
+    dropped(stars, listed)
     known = texts.select("cls", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("cls", "rep", F.coalesce("root", "rep").alias("node"))
     known = written(known, "known")
     open_ = members.join(known.select("cls", "node"), "cls").groupBy("run").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("run")
@@ -386,6 +393,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     # a class in no list is its own root; one that the hub left alone may be linked by the second step only
     alone = known.select(F.col("rep").alias("node"), F.col("node").alias("root")).unionByName(first.select("node", "root")).distinct()
     whole = written(alone.join(second, "root", "left").select(F.col("node").alias("rep"), F.coalesce("top", "root").alias("component")), "components")
+    dropped(known, first, classes)
     return own.join(whole, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
