@@ -15,7 +15,10 @@ third of the table is one row here.  Every choice is drawn from a unit's own col
 agree whatever the partitions.
 
 Defined cases: null text has size 0, documents of size 0 are never taken; a null source is a source,
-ordered last; repeated rows count and are taken each on its own; empty tables give no rows.
+ordered last; repeated rows count and are taken each on its own; units of one size stand in the order
+of a hash of their columns, so ties are settled alike in every run; a text of any length is counted
+whole; extra columns, whatever their names, aren't looked at, and ``mixed`` returns them as they were;
+empty tables give no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ Words repeat, so each worker keeps the ids of the words it has met and asks the
 new ones: words are cut at ASCII white space, which the tokenizer drops and never joins across.
 
 Defined cases: null text counts as empty and gives the end id alone; repeated rows are packed each;
-a text of any length is tokenised whole; an empty table gives no rows.
+a text of any length is tokenised whole; of pieces of one length it doesn't matter which goes first,
+and which bins they share follows the order of rows in the partitions, so reruns over other partitions
+may pack other, equally full, sequences; extra columns aren't looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

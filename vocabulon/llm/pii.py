@@ -8,7 +8,8 @@ spans.  Base spans always stay; a further span is added unless a base span of it
 
 Defined cases: null text counts as empty; repeated rows each get a row; matches that fail their
 test (a part over 255, a wrong checksum, too few digits) are dropped without a second try; matching
-is linear in the text's length, so long texts and long runs are safe.
+is linear in the text's length, so long texts and long runs are safe; extra columns aren't looked at,
+and ``redacted`` returns them as they were; an empty table gives no rows.
 """
 
 from __future__ import annotations

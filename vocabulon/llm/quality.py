@@ -11,8 +11,9 @@ prove anything rejects nothing.
 
 Defined cases: null text counts as empty; a null stratum is a stratum of its own; a document
 with several label rows is good only if all say so; null labels are ignored; repeated document rows
-each get their own row, and all copies of a text in a stratum are one trial; empty tables give empty
-results.
+each get their own row, and all copies of a text in a stratum are one trial; a text of any length is
+read whole, one at a time if it is longer than a slice; extra columns, whatever their names, aren't
+looked at, and ``passing`` returns them as they were; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ where they are, and only the others' texts move, one a blob and task, to meet th
 unseen blobs.  So a blob that fills a third of the table is scanned once.
 
 Defined cases: null text counts as empty; repeated rows each get a row; null ids are kept; matches
-that fail their kind's test are dropped without a second try, as the kinds' rules say.
+that fail their kind's test are dropped without a second try, as the kinds' rules say; a text of any
+length is scanned whole, in time that grows with its length; extra columns aren't looked at; an empty
+table gives no rows and an empty ledger.
 """
 
 from __future__ import annotations

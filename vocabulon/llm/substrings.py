@@ -14,7 +14,8 @@ fills a third of the table costs one row per copy.
 
 Defined cases: null text has no words; rows with a null id neither remove nor lose words; rows that
 share an id don't remove each other's words; texts shorter than the width stay; documents of any
-length are read whole; empty tables give no rows.
+length are read whole; repeated rows share their id; extra columns aren't looked at; empty tables
+give no rows.
 """
 
 from __future__ import annotations

@@ -9,8 +9,7 @@ the longest fitting entry decides.  Everything is built of DataFrame functions.
 Defined cases: a null URL or one without ``://`` has an empty host and path; entries with equal host
 and path count once, ``block`` winning over ``allow``; of entries of one length the longer host
 wins; list rows with a null or empty host, a null path or action are ignored; repeated pages each get
-their row;
-empty tables give empty results, and an empty list gives every page the default verdict.
+their row; a URL of any length is read whole; extra columns aren't looked at; empty tables give empty results, and an empty list gives every page the default verdict.
 """
 
 from __future__ import annotations
