@@ -479,6 +479,22 @@ def brute_secrets(text):
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(out)), [sum(k == x for _, k, _ in out) for x in range(BASE)]
 
 
+def test_a_ledger_at_a_path_is_scanned_into_once(sp, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    df = lambda *texts: sp.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    key = "token = abcdef123456"
+    assert secretscan.ledger_at(sp, path) is None
+    assert secretscan.scan_into(df(key, key, "clean", None), path).count() == 3
+    assert secretscan.scan_into(df("clean", key, "new one", ""), path).count() == 1  # what earlier runs have seen is not scanned again
+    ledger = secretscan.ledger_at(sp, path)
+    assert ledger.count() == 4
+    every = df(key, "new one", "new one")
+    found = {r["doc_id"]: len(r["findings"]) for r in secretscan.findings(secretscan.addressed(every), ledger).collect()}
+    assert found == {0: 1, 1: 0, 2: 0}
+    monkeypatch.setattr(secretscan, "RULE_VERSION", secretscan.RULE_VERSION + 1)
+    assert secretscan.scan_into(df(key, "clean"), path).count() == 2  # new rules scan everything anew
+
+
 def test_base_secrets_against_brute_force(sp):
     rng = np.random.default_rng(4)
     parts = ["password", "TOKEN", "api_key", "apikey", "secret", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCD1234EFGH5678", "0a1b2c3d4e5f", "deadbeef", "x", "é", "\n", "abcdef", "+/", "-"]

@@ -158,7 +158,8 @@ def fit(vectors: DataFrame, k: int) -> Hashing | None:
     x = np.array([r["x"] for r in drawn]).reshape(-1, dim)
     asking = list({r["vec_id"]: r["x"] for r in drawn[:SAMPLE_QUERIES]}.items())
     asked = vectors.sparkSession.createDataFrame(asking, keep.select("vec_id", "x").schema)
-    near = exact(keep, asked, dim, k, n).join(keep.withColumnRenamed("x", "near"), "vec_id").select("query_id", "near").collect()  # k rows a query of the sample
+    near = exact(keep, asked, dim, k, n).join(keep.withColumnRenamed("x", "near"), "vec_id")
+    near = near.groupBy("query_id", "vec_id").agg(F.min("near").alias("near")).collect()  # k rows a query of the sample, however many share an id
     place = {v: i for i, (v, _) in enumerate(asking)}
     of, true = np.array([place[r["query_id"]] for r in near], np.int64), np.array([r["near"] for r in near]).reshape(-1, dim)
     queries = np.array([v for _, v in asking]).reshape(-1, dim)

@@ -20,10 +20,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import exists
 from . import bloom
 from .durable import written
 
@@ -100,6 +101,23 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFra
     return alone.select("blob", "text").mapInArrow(_scan, FINDINGS).unionByName(once.mapInArrow(_scan, FINDINGS))
 
 
+def ledger_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger that earlier runs left at ``path``; None before the first."""
+    return spark.read.schema(FINDINGS).parquet(path) if exists(spark, f"{path.rstrip('/')}/_SUCCESS") else None
+
+
+def scan_into(versions: DataFrame, path: str) -> DataFrame:
+    """Scans what the ledger at ``path`` lacks of ``versions`` (doc_id, text), adds it there, and returns what is new.
+
+    The new rows are written before they are added, so a run that breaks off adds all of them or none, and the next one scans
+    what is missing still; rows of other rule versions stay, and count for those who hold these rules.
+    """
+    spark = versions.sparkSession
+    new = written(scan_unseen(versions, ledger_at(spark, path)), "ledger")
+    new.write.mode("append").parquet(path)
+    return new
+
+
 def findings(paths: DataFrame, ledger: DataFrame) -> DataFrame:
     """doc_id, blob, findings: the ledger's findings joined to all rows of ``paths`` (of addressed())."""
     known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "findings")
