@@ -377,6 +377,24 @@ def test_unknown_words_of_examples_are_said_to_be(spark):
     assert got[2, 1] == ("OOV", 0.0) and got[1, 1][0] == got[3, 1][0] == "d" and len(got) == 3
 
 
+def test_top_k_with_pruning_is_exact_and_skips_most_of_clustered_rows(spark):
+    from vocabulon.operators import scoring
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(30, 12))[rng.integers(0, 30, 3000)] + 0.05 * rng.normal(size=(3000, 12))
+    x[:5] = x[7]  # ties
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(4)
+    queries = rows.where("id % 15 = 0 or id < 8").select(F.col("id").alias("qid"), "vec", F.array("id").alias("banned"))
+    want = [tuple(r) for r in scoring.top_k(rows, queries, 6).orderBy("qid", "rank").collect()]
+    for cells in (1, 60):
+        got = scoring.pruned_top_k(rows, queries, 6, cells)
+        assert [tuple(r) for r in got.found.orderBy("qid", "rank").collect()] == want
+    assert got.visits < 0.3 * got.meetings, (got.visits, got.meetings)
+    few = rows.where("id < 4")  # fewer rows than are asked for
+    assert [tuple(r) for r in scoring.pruned_top_k(few, queries, 6, 3).found.orderBy("qid", "rank").collect()] == [tuple(r) for r in scoring.top_k(few, queries, 6).orderBy("qid", "rank").collect()]
+    assert scoring.pruned_top_k(rows.where("false"), queries, 6).found.count() == 0
+
+
 def test_words_are_cut_at_unicode_white_space(spark):
     text = "a\u0085b\u00a0c\u2003d\u3000e\x1cf\tg\u200bh"
     got = [r["word"] for r in corpus.tokens(docs(spark, text)).orderBy("pos").collect()]
