@@ -45,19 +45,16 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return texts.join(ids, "path").select("doc_id", "text")
 
 
-#: White space beyond ASCII, and a word of what is left when it has become plain blanks: anything but ASCII white space and the separators 1C to 1F.
-BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = r"[^\x09-\x0D\x1C-\x20]+"
+#: All white space: ASCII's, the separators 1C to 1F, and what is beyond ASCII.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def words_of(text: Column) -> Column:
     """The white-space words of a text, in order.
 
-    Words are cut by a class of ASCII characters, which is twice as fast as one with ranges beyond; the few texts that hold other
-    white space get plain blanks in its place first.
+    All white space becomes plain blanks first, and the text is cut at single ones: half the time that one pattern of all ranges takes.
     """
-    plain = F.when(text.rlike(f"[{BLANKS}]"), F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
-    return F.regexp_extract_all(plain, F.lit(WORD), 0)
+    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
 
 
 def tokens(docs: DataFrame, lower: bool = True) -> DataFrame:
