@@ -52,8 +52,6 @@ RUN, SHORT_RUN, SHORT_SET, ANY_RUN = 4, 2, 19, 16
 #: A block holds so many shingles or one document; a cell meets two blocks.
 BLOCK_VALUES = 100_000
 SHARE = 0.56
-#: Texts travel to Python in batches of so many bytes, or one text, so a worker and its JVM hold little more than a slice.
-BATCH_BYTES = "16m"
 SIGN = np.uint64(1 << 63)
 BLOOM_BLOCKS = 1 << 17
 
@@ -365,7 +363,6 @@ def _rare_pairs(wide: DataFrame, similarity: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sketched = written(sketches(docs, words, k), "sketches")
     key = ["n", "set1", "set2"]
     per_set = sketched.where("doc_id is not null and n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("r"))

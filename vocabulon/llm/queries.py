@@ -17,8 +17,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Executors can import this package; Arrow batches of whole texts stay small: 1,000 rows."""
+    """Executors can import this package; Arrow batches of whole texts stay small: 1,000 rows and 8 MB, or one text."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
