@@ -377,6 +377,33 @@ def test_unknown_words_of_examples_are_said_to_be(spark):
     assert got[2, 1] == ("OOV", 0.0) and got[1, 1][0] == got[3, 1][0] == "d" and len(got) == 3
 
 
+def test_blocks_meet_however_many_partitions_there_are(spark, monkeypatch):
+    """Without partitions that are merged as they are small, keys of both sides must hash alike."""
+    from vocabulon.operators import grid, scoring
+
+    monkeypatch.setattr(scoring, "LEAST_BLOCK", 20)
+    monkeypatch.setattr(scoring, "QUERY_BLOCK", 7)
+    x = np.random.default_rng(1).normal(size=(90, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    queries = rows.where("id < 30").select(F.col("id").alias("qid"), "vec", F.array("id").alias("banned"))
+    words = spark.createDataFrame([(i, f"w{i}") for i in range(90)], "id long, word string")
+    asked = spark.createDataFrame([("family", q, f"w{q}", f"w{q + 1}", f"w{q + 2}", f"w{q + 3}") for q in range(40)], "category string, qno long, a string, b string, c string, d string")
+    best = analogy.answers(rows, words, asked).select("category", "qno", F.col("answer").alias("d"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for found in (scoring.top_k(rows, queries, 4), scoring.pruned_top_k(rows, queries, 4, 5).found):
+            got = {}
+            for r in found.orderBy("qid", "rank").collect():
+                got.setdefault(r["qid"], []).append(r["id"])
+            assert got == {q: [i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:4] for q in range(30)}
+        scores = grid.scores(rows, rows.limit(50), np.ones(5), [grid.Mix("one", 1.0)], words, asked.drop("d").join(best, ["category", "qno"])).first()
+        assert scores["sem_raw"] == 1.0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_top_k_with_pruning_is_exact_and_skips_most_of_clustered_rows(spark):
     from vocabulon.operators import scoring
 
