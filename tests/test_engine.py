@@ -55,6 +55,13 @@ def test_negative_table_fills_its_size(spark):
     assert [(r["lo"], r["hi"]) for r in got] == [(0, 8), (8, 10)]
 
 
+def test_negative_table_shares_don_t_drift(spark):
+    n = 3000  # a share's end is a half for every other word
+    table = spark.range(n).select("id", F.lit("x").alias("word"), F.lit(16).cast("long").alias("cnt")).repartition(7)
+    got = [r["hi"] for r in vocab.negative_table(table, n // 2, width=700).orderBy("id").collect()]
+    assert got == [round((i + 1) / 2) for i in range(n)]
+
+
 def test_cooccurrence_and_pmi(spark):
     cells = cooc.cooccurrence(ids(spark, [0, 1, 2, 0]), 2)
     got = {(r["i"], r["j"]): r["value"] for r in cells.collect()}
