@@ -882,3 +882,44 @@ def test_a_plain_meeting_takes_little_memory():
     scores = x @ x.T
     np.fill_diagonal(scores, -np.inf)
     assert [set(g["id"]) for _, g in got.groupby("qid")] == [set(r) for r in np.argsort(-scores, axis=1)[:, :5]]
+
+
+def _wordy(spark, n=40, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(d if d % 7 else None if d == 7 else 1000 * d, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, int(rng.integers(0, 60))) % 40)) for d in range(n)]
+    return corpus.tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_counts_of_pairs_equal_pairs_however_the_text_is_cut(spark, whole):
+    t = _wordy(spark)
+    t = t if whole else t.repartition(3, "word")
+    v = vocab.build_vocab(t, 2)
+    text = vocab.Encoded(t, v)
+    assert text.whole == whole
+    rows = vocab.encode(t, v)
+    count = lambda p: {tuple(r) for r in p.groupBy("center", F.col("dist").cast("long").alias("dist")).agg(F.count(F.lit(1)).alias("n"), F.sum("context").alias("contexts")).collect()}
+    widths = pairs.adaptive_widths(v, 2, 6)
+    for got, expected in (
+        (pairs.tallied(text, 4, part=3, at_once=11), pairs.both_ways(pairs.look_ahead(rows, 4))),
+        (pairs.tallied(text, 12, "sampled", seed=5, part=3, at_once=11), pairs.sampled(rows, 12, 5)),
+        (pairs.tallied(text, 6, "adaptive", widths, 5, part=3, at_once=11), pairs.adaptive(rows, v, 2, 6, seed=5)),
+    ):
+        assert {tuple(r) for r in got.collect()} == count(expected)
+    kept = vocab.keep_probabilities(v, 0.02)
+    assert sorted(map(str, vocab.subsampled(text, kept, 5).collect())) == sorted(map(str, vocab.subsample(rows, kept, 5).collect()))
+
+
+def test_pair_counts_make_no_row_a_pair(spark, tmp_path):
+    spark.createDataFrame([(d, "a b c d e f g a b c " * 3) for d in range(3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("pairs_window", "pairs_sampled", "pairs_weighted", "pairs_afws", "subsample_tokens"):
+        plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "lead(" not in plan and "windowspecdefinition(doc_id" not in plan, name
+
+
+def test_long_keys_draw_like_short_ones():
+    keys = [b"1|pair|0|7|", b"1|pair|0|" + b"x" * 60 + b"|", b"1|pair|0||"]
+    own, pos = np.array([0, 1, 2, 0, 2]), np.array([0, 9, 10, 123456, 99])
+    got = digests.draws_of(keys, own, pos, [b"", b"|2", b"|10"])
+    for row, tail in enumerate((b"", b"|2", b"|10")):
+        assert got[row].tolist() == [int(hashlib.md5(keys[o] + str(p).encode() + tail).hexdigest()[:8], 16) for o, p in zip(own, pos, strict=True)]
