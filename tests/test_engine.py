@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import time
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +17,7 @@ from vocabulon.config import Settings
 from vocabulon.functions import digests, scalars
 from vocabulon.operators import analogy, cooc, negatives, pairs, sgns, svd, training, vectors, vocab
 from vocabulon.plans import catalogue
-from vocabulon.sources import corpus, questions, store
+from vocabulon.sources import corpus, questions, scratch, store
 
 os.environ["PYTHONPATH"] = str(Path(__file__).resolve().parents[1])
 
@@ -923,3 +924,42 @@ def test_long_keys_draw_like_short_ones():
     got = digests.draws_of(keys, own, pos, [b"", b"|2", b"|10"])
     for row, tail in enumerate((b"", b"|2", b"|10")):
         assert got[row].tolist() == [int(hashlib.md5(keys[o] + str(p).encode() + tail).hexdigest()[:8], 16) for o, p in zip(own, pos, strict=True)]
+
+
+@pytest.mark.parametrize("whole", [True, False])
+@pytest.mark.parametrize(("window", "top", "dense", "stretch", "sorted_", "part_cells", "together"), [(10, None, 1024, 16, 1 << 22, 1 << 20, 8), (4, None, 5, 2, 50, 7, 3), (4, 9, 0, 1, 50, 1, 1)])
+def test_cells_of_a_text_equal_cells_of_its_rows(spark, whole, window, top, dense, stretch, sorted_, part_cells, together):
+    t = _wordy(spark)
+    t = t if whole else t.repartition(3, "word")
+    v = vocab.build_vocab(t, 2)
+    counted = cooc.Counted(vocab.Encoded(t, v), window, top=top, dense=dense, stretch=stretch, sorted_=sorted_, part_cells=part_cells, together=together)
+    half = cooc.counted_pairs(vocab.encode(t, v), window, top=top)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(counted.pairs(), half)
+    sums = cooc.marginals_of_pairs(half, counted.unit)
+    assert same(counted.marginals(), sums)
+    assert same(counted.sums().select("i", (F.col("w") / counted.unit).alias("total")), sums.select("i", "total"))
+    got = {(r["i"], r["j"]): r["value"] for r in counted.associations(2.0).collect()}
+    expected = {(r["i"], r["j"]): r["value"] for r in cooc.associations(vocab.encode(t, v), window, 2.0, top).collect()}
+    assert got.keys() == expected.keys() and got == pytest.approx(expected, abs=1e-12)
+
+
+def test_registered_associations_join_no_cells(spark, tmp_path):
+    spark.createDataFrame([(d, "a b c d e f g a b c " * 3) for d in range(3)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = catalogue.queries()["sppmi"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("MapInArrow")[0]
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    rows = spark.range(1000).repartition(3)
+    setting = spark.conf.get(scratch._CLEANUP)
+    table = scratch.written(rows.groupBy((F.col("id") % 7).alias("k")).count())
+    assert table.count() == 7 and spark.conf.get(scratch._CLEANUP) == setting
+    where = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = {p for p in where.rglob("shuffle_*")}
+    scratch.written(rows.groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not {p for p in where.rglob("shuffle_*")} - before:
+            break
+        time.sleep(0.1)
+    assert not {p for p in where.rglob("shuffle_*")} - before
