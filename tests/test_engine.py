@@ -963,3 +963,13 @@ def test_a_written_step_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not {p for p in where.rglob("shuffle_*")} - before
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_cells_of_a_stream_equal_cells_of_its_chunks(spark, whole):
+    t = _wordy(spark).where("doc_id is not null")
+    t = t if whole else t.repartition(3, "word")
+    v = vocab.build_vocab(t, 2)
+    stream = vocab.Stream(vocab.Encoded(t, v), 23, width=5)
+    half = cooc.counted_pairs(vocab.chunked(vocab.encode(t, v), 23), 4)
+    assert sorted(map(tuple, cooc.Counted(stream, 4).pairs().collect())) == sorted(map(tuple, half.collect()))
