@@ -973,3 +973,17 @@ def test_cells_of_a_stream_equal_cells_of_its_chunks(spark, whole):
     stream = vocab.Stream(vocab.Encoded(t, v), 23, width=5)
     half = cooc.counted_pairs(vocab.chunked(vocab.encode(t, v), 23), 4)
     assert sorted(map(tuple, cooc.Counted(stream, 4).pairs().collect())) == sorted(map(tuple, half.collect()))
+
+
+def test_slices_of_columns_multiply_like_the_whole(spark):
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(40, 40)) * (rng.random((40, 40)) < 0.3)
+    m = m + m.T
+    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, value double")
+    made = []
+    for wide in (96, 3):
+        u, s = svd.randomized_svd(cells, 40, 5, 6, 3, grid=3, wide=wide)
+        v = np.array([r["vec"] for r in u.orderBy("id").collect()])
+        made.append((s, (v * s) @ v.T))
+    assert made[0][0] == pytest.approx(made[1][0], rel=1e-9) and made[0][1] == pytest.approx(made[1][1], abs=1e-8)
+    assert made[0][0][0] == pytest.approx(np.abs(np.linalg.eigvalsh(m)).max(), rel=1e-3)
